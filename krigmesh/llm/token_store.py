@@ -2,8 +2,9 @@
 
 Layout of a store, one pair of files for each shard (a range of document keys, rows in ascending key order):
 
-``shard-NNNNN.bin``  the ids of all its documents, little-endian unsigned 32-bit, nothing else.
-``shard-NNNNN.idx``  header ``KMTS``, then (all little-endian) u32 version, u64 rows, u64 keys, u64 buckets;
+``shard-NNNNN.bin``  the ids of all its documents, little-endian unsigned, nothing else: 16 bits wide where the
+                     vocabulary fits, else 32.
+``shard-NNNNN.idx``  header ``KMTS``, then (all little-endian) u32 bytes of an id, u64 rows, u64 keys, u64 buckets;
                      i32 displacement of each bucket; u32 fingerprint, u32 first row, u32 rows of each slot;
                      u64 place of each row in ids, and one more for the end.
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, columns_or_null, partitions
 from .tokens import chunks, encoder, tokenizer_path
 
-MAGIC, VERSION, NULL_KEY, MASK = b"KMTS", 1, -(1 << 63), (1 << 64) - 1
+MAGIC, NULL_KEY, MASK = b"KMTS", -(1 << 63), (1 << 64) - 1
 
 
 def mix(key: int, seed: int) -> int:
@@ -81,7 +82,7 @@ def perfect_hash(keys: list[int], per_bucket: int = 3) -> tuple[list[int], list[
     return shift, slot
 
 
-def build_index(keys: list[int], ends: list[int]) -> bytes:
+def build_index(keys: list[int], ends: list[int], width: int) -> bytes:
     """The index file of rows with ascending keys; ends: place behind each row's ids."""
     first = [i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]]
     own = [keys[i] for i in first]
@@ -89,7 +90,7 @@ def build_index(keys: list[int], ends: list[int]) -> bytes:
     table = np.zeros((len(own), 3), "<u4")
     for k, (i, s) in enumerate(zip(first, slot)):
         table[s] = fingerprint(own[k]), i, (first[k + 1] if k + 1 < len(first) else len(keys)) - i
-    head = MAGIC + struct.pack("<IQQQ", VERSION, len(keys), len(own), len(shift))
+    head = MAGIC + struct.pack("<IQQQ", width, len(keys), len(own), len(shift))
     return head + np.array(shift, "<i4").tobytes() + table.tobytes() + np.array([0, *ends], "<u8").tobytes()
 
 
@@ -102,7 +103,7 @@ class Shard:
             raw = f.read()
         if raw[:4] != MAGIC:
             raise ValueError("not a token store index")
-        _, self.rows, self.keys, buckets = struct.unpack_from("<IQQQ", raw, 4)
+        self.width, self.rows, self.keys, buckets = struct.unpack_from("<IQQQ", raw, 4)
         at = 4 + struct.calcsize("<IQQQ")
         self.shift = np.frombuffer(raw, "<i4", buckets, at)
         at += 4 * buckets
@@ -120,14 +121,15 @@ class Shard:
         return (int(row), int(n)) if int(mark) == fingerprint(key) else None
 
     def read(self, key: int) -> list[tuple[int, bytes]]:
-        """(place in the shard, ids as bytes) of each row of a key."""
+        """(place in the shard, ids as 32-bit little-endian bytes) of each row of a key."""
         found = self.find(key)
         if not found:
             return []
         out = []
         for row in range(found[0], found[0] + found[1]):
             a, b = int(self.place[row]), int(self.place[row + 1])
-            out.append((a, self.data.read_at(4 * (b - a), 4 * a)))
+            raw = self.data.read_at(self.width * (b - a), self.width * a)
+            out.append((a, raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
         return out
 
     def close(self) -> None:
@@ -222,19 +224,20 @@ def write_store(spark: SparkSession, docs: DataFrame, root: str | None = None, t
         fs, base = file_system(root)
         fs.create_dir(base)
         enc, keys, ends, at = encoder(path), [], [], 0
+        width = 2 if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
         def body(f):
             nonlocal at
             for b in chunks(batches):
                 for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                     ids = enc.payload(text) + end
-                    f.write(ids)
+                    f.write(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                     at += len(ids) // 4
                     keys.append(NULL_KEY if key is None else key)
                     ends.append(at)
 
         put(fs, f"{base}/{name(own)}.bin", body)
-        put(fs, f"{base}/{name(own)}.idx", lambda f: f.write(build_index(keys, ends)))
+        put(fs, f"{base}/{name(own)}.idx", lambda f: f.write(build_index(keys, ends, width)))
         yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([at], pa.int64())], ["shard", "n_docs", "n_ids"])
 
     dealt = rows.withColumn("shard", shard_column("doc_id", bounds)).repartitionById(n, F.col("shard")).drop("shard").sortWithinPartitions("doc_id", "text")
