@@ -99,18 +99,22 @@ def _selected(place: np.ndarray):
 
 
 def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Accelerated full gradient descent; the weight of feature f is learned on the value scale[f]."""
+    """Accelerated full gradient descent; the weight of feature f is learned on the value scale[f].
+
+    Rows of label 1 weigh the square root of the labels' odds, as the rarer label would else be missed too often.
+    """
     m, n = len(scale), len(rows)
+    heavy = np.where(y > 0, max(1.0, ((n - y.sum()) / max(1.0, y.sum())) ** 0.5), 1.0)
     idx = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     value = scale[idx]
     norm = np.bincount(row, value * value, n)
-    step = 4.0 / (float(np.percentile(norm, 99)) + 1.0)
+    step = 4.0 / (float(np.percentile(norm, 99)) + 1.0) / float(heavy.mean())
     w, b = np.zeros(m), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, vw[idx] * value, n) + vb, -40, 40)))
-        g = (p - y) / n
+        g = heavy * (p - y) / n
         gw = np.bincount(idx, g[row] * value, m) + decay * vw
         nw, nb = vw - step * gw, vb - step * float(g.sum())
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -137,7 +141,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(spark: SparkSession, labelled: DataFrame, features: int = 8192, max_train: int = 20_000, decay: float = 1e-6, rounds: int = 300) -> Model:
+def train(spark: SparkSession, labelled: DataFrame, features: int = 8192, max_train: int = 20_000, decay: float = 1e-6, row_rounds: int = 6_000_000) -> Model:
     """labelled: doc_id, text, toxic (0 or 1); training rows only."""
     empty = np.zeros(0, np.int64)
     counts = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -152,7 +156,7 @@ def train(spark: SparkSession, labelled: DataFrame, features: int = 8192, max_tr
     place, scale = best["place"].to_numpy(np.int64), best["r"].to_numpy(float)
     sample = labelled.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "text").limit(max_train) if n1 + n0 > max_train else labelled
     got = sample.select("toxic", "text").mapInArrow(_selected(place), "toxic int, ids binary").toPandas()  # bounded by max_train
-    w, bias = fit_logistic([np.frombuffer(x, "<u2") for x in got["ids"]], got["toxic"].to_numpy(float), scale, decay, rounds)
+    w, bias = fit_logistic([np.frombuffer(x, "<u2") for x in got["ids"]], got["toxic"].to_numpy(float), scale, decay, min(2000, max(300, row_rounds // max(1, len(got)))))
     return Model(place, w * scale, bias)
 
 
