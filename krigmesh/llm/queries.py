@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(spark, table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_store_digests
 
@@ -40,6 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_token_ids": op3_token_ids,
     "op4_decontamination": op4_decontamination,
     "op8_token_counts": op8_token_counts,
