@@ -15,6 +15,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark, table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeat_digests
+
+    return repeat_digests(spark, table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_store_digests
 
@@ -47,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_ids": op3_token_ids,
     "op4_decontamination": op4_decontamination,
     "op8_token_counts": op8_token_counts,
