@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A side is broadcast only after its rows were counted and found to be at most so many bytes.
 BROADCAST_BYTES = 32 << 20
@@ -74,24 +73,62 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Connected components of undirected edges (a, b): rows (node, comp), comp the smallest node reachable.
-
-    Alternating hook-and-shortcut on written tables: each round hooks the parent of every node to the smallest
-    parent over its edges, then halves the depth of the parent forest. Rounds grow with the logarithm of the
-    longest path; nothing is collected but one boolean a round. Nodes are of any orderable type. Grouping by
-    node pre-aggregates before the shuffle, so a hub of any degree costs one row a task.
+#: Edges (two 64-bit nodes each) that one task takes into memory.
+FOREST_EDGES = 2_000_000
+
+
+def _forest(batches):
+    """Edges -> node, comp by union-find with the smallest node as root."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = [], []
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+    if not a:
+        return
+    nodes, flat = np.unique(np.concatenate(a + b), return_inverse=True)
+    x, y = flat[: len(flat) // 2], flat[len(flat) // 2 :]
+    label = np.arange(len(nodes))
+    while True:  # hook the larger root to the smaller, then flatten
+        lx, ly = label[x], label[y]
+        low, high = np.minimum(lx, ly), np.maximum(lx, ly)
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "comp"])
+
+
+def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64, forest_edges: int = FOREST_EDGES) -> DataFrame:
+    """Connected components of undirected edges (a, b) of 64-bit nodes: rows (node, comp), comp the smallest node reachable.
+
+    Every task first contracts its own edges to a forest, which leaves at most one edge a node and task. If the edges
+    that remain were counted and are few (forest_edges), one task joins the forests. Else rounds on written tables
+    do: each hooks the parent of every node to the smallest parent over its edges, then halves the depth of the
+    parent forest; rounds grow with the logarithm of the longest path. Nothing is collected to the driver but
+    counts. Grouping by node pre-aggregates, so a hub of any degree costs one row a task. Both ways give the same.
     """
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y")
+    forests = edges.where("a <> b").select("a", "b").mapInArrow(_forest, "node bigint, comp bigint").where("node <> comp")
+    forests = scratch.save(forests, "forests")
+    n = forests.count()
+    if n <= forest_edges:
+        return scratch.save(forests.coalesce(1).mapInArrow(_forest, "node bigint, comp bigint"), "comp")
+    both = forests.select(F.col("node").alias("x"), F.col("comp").alias("y"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     both = scratch.save(both, "edges")
     parent = scratch.save(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("comp")), "parent")
     for _ in range(max_rounds):
         p = parent.select(F.col("node").alias("y"), F.col("comp").alias("py"))
         near = both.join(p, "y").groupBy("x").agg(F.min("py").alias("near"))
-        # hooks: the root that x hangs on learns of the smallest root near x
         hooked = parent.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("new"))
         hooked = scratch.save(hooked, "hooked")
+        # the root that a node hangs on learns of the smallest root near it
         of_root = hooked.groupBy(F.col("comp").alias("root")).agg(F.min("new").alias("best"))
         step = hooked.join(of_root, hooked["comp"] == of_root["root"], "left").select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("best", "new")).alias("mid"))
         step = scratch.save(step, "step")
@@ -105,11 +142,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 64) -> Data
             break
     else:
         raise RuntimeError("components did not settle")
-    scratch.drop(both)
+    scratch.drop(both, forests)
     out = parent.select("node", "comp")
     out._scratch_path = parent._scratch_path
     return out
-
-
-DOC_FIELDS = {"doc_id": "bigint", "text": "string"}
-DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
