@@ -197,6 +197,7 @@ class Join:
         """shingle, rep, n, rest of the prefix entries whose n-gram is in the prefix of another set too."""
         entries = self.scratch.save(self.docs.select("text").mapInArrow(_prefixes(self.n, self.num, self.den, self.hot), "shingle bigint, k1 bigint, k2 bigint, n int, rest int"), "entries")
         shared = entries.groupBy("shingle").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("shingle")
+        shared = self.scratch.save(shared, "often")  # written first: a join right above an aggregate could not split a hot n-gram
         shared = self.scratch.save(entries.join(shared, "shingle").dropDuplicates(["shingle", "k1", "k2"]), "shared")
         self.scratch.drop(entries)
         active = self.scratch.save(shared.join(self.reps, ["k1", "k2"]).select("shingle", "rep", "n", "rest"), "active")
