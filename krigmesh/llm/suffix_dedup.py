@@ -347,8 +347,9 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, length: int = 400, block
     texts = keyed(docs.select("text")).where(F.col("len") >= length).select(F.col("_body").alias("text"), *KEY)
     rows = scratch.save(texts.mapInArrow(_anchor_rows(length), ANCHOR_SCHEMA), "anchors")
     shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1").select("gram", (F.col("a") < F.col("b")).alias("mixed"))
+    shared = scratch.save(shared, "shared")  # written first: a join right above an aggregate could not split a hot gram
     met = scratch.save(rows.join(shared, "gram"), "met")
-    scratch.drop(rows)
+    scratch.drop(rows, shared)
     plain = met.where("not mixed").select(*KEY, F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
 
     mixed = met.where("mixed")
@@ -356,8 +357,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, length: int = 400, block
     one = scratch.save(one, "contexts")
     want = one.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "ctx", "off", "n", "first", "last")).alias("want"))
     want = scratch.save(want, "wanted")
-    n_contexts, n_texts = one.count(), want.count()
-    bodies = texts.join(small(want, 40, rows=2 * n_contexts + n_texts), KEY)
+    bodies = texts.join(want, KEY)
     bodies = scratch.save(bodies.mapInArrow(_cut_contexts(length), "gram bigint, ctx bigint, off int, n bigint, body binary"), "bodies")
     hot = scratch.save(one.groupBy("gram").agg(F.count("*").alias("g")).where(F.col("g") > hot_contexts).select("gram"), "hot")
     hot_side = small(hot, 16)
@@ -380,8 +380,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, length: int = 400, block
 def with_runs(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """docs with _body and runs (null where nothing goes)."""
     runs = repeated_runs(spark, docs, **how)
-    rows, size = runs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("runs")), F.lit(0))).first()
-    return keyed(docs).join(small(runs, 1, rows=size + 60 * rows), KEY, "left").drop(*KEY)
+    return keyed(docs).join(runs, KEY, "left").drop(*KEY)
 
 
 def kept_bytes(body: bytes, runs: bytes | None) -> tuple[bytes, int, int]:
