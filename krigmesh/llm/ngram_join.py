@@ -9,8 +9,8 @@ of the first n - ceil(num/den * n) + 1 of each; so only these prefixes are index
   its documents and reports those that it saw in several; their summed counts come last in the order, all others
   first, by hash. At most ``order_entries`` counts are sent out (16 bytes each).
 * A prefix entry carries the set's size and how much of the set follows it. Length filter: sizes within num/den.
-  Positional filter: what follows in both must suffice for the overlap. Suffix filter: the sets' counts over 16
-  cells of the hash range bound their difference from below.
+  Positional filter: what follows in both must suffice for the overlap. Suffix filter: the sets' counts over 256
+  cells of the hash range (up to 127 each) bound their difference from below.
 * An n-gram's list of a group of near copies would give all their pairs. Instead, in rounds, one centre of each list
   (the entry with most of its set behind it) is verified against the others; found links join components, and pairs
   inside one component need no further look. Entries of classes (size, rest) that no other class of the list can
@@ -33,7 +33,7 @@ from .common import Scratch, columns_or_null, components, small
 from .tokens import chunks, worker_cached
 
 ORDER_ENTRIES = 500_000
-CELLS = 16
+CELLS = 256
 
 
 class Shingler:
@@ -79,7 +79,7 @@ def shingler(n: int) -> Shingler:
     return worker_cached(("shingler", n), lambda: Shingler(n))
 
 
-META = "kind int, doc_id bigint, k1 bigint, k2 bigint, n int, cells array<int>, shingle bigint, seen bigint"
+META = "kind int, doc_id bigint, k1 bigint, k2 bigint, n int, cells array<tinyint>, shingle bigint, seen bigint"
 
 
 def _profiles(n: int, window: int = 2 << 20):
@@ -92,18 +92,18 @@ def _profiles(n: int, window: int = 2 << 20):
         h, c = h[c >= 3].view(np.int64), c[c >= 3]
         m = len(h)
         null = lambda t: pa.nulls(m, t)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.int32()), null(pa.list_(pa.int32())), pa.array(h), pa.array(c.astype(np.int64))], META_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.int32()), null(pa.list_(pa.int8())), pa.array(h), pa.array(c.astype(np.int64))], META_NAMES)
 
     def run(batches):
         s, held, size = shingler(n), [], 0
         for b in chunks(batches):
             sets = [s.hashes(t) for t in b.column("text").to_pylist()]
             keys = [s.keys(h) if len(h) else (None, None) for h in sets]
-            cells = [np.bincount((h >> np.uint64(60)).astype(np.int64), minlength=CELLS).astype(np.int32) for h in sets]
+            cells = [np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=CELLS), 127).astype(np.int8) for h in sets]
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int32)), b.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(h) for h in sets], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, CELLS * m + 1, CELLS, dtype=np.int32)), pa.array(np.concatenate(cells) if m else np.zeros(0, np.int32))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                 pa.ListArray.from_arrays(pa.array(np.arange(0, CELLS * m + 1, CELLS, dtype=np.int32)), pa.array(np.concatenate(cells) if m else np.zeros(0, np.int8))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
                 META_NAMES,
             )
             held += sets
@@ -218,18 +218,19 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of the distinct pairs (a, b) of representatives, those that link."""
-        cells = self.reps.join(self.meta, ["k1", "k2"]).where("rep = doc_id").dropDuplicates(["rep"]).select("rep", "n", "cells")
-        pa_, pb_ = cells.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")), cells.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(pa_, "a").join(pb_, "b").where(apart <= F.col("na") + F.col("nb") - 2 * self.least_overlap("na", "nb"))  # suffix filter
-        near = self.scratch.save(near.select("a", "b"), "near")
+        named = self.scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "named")
+        cells = self.scratch.save(self.meta.join(small(named, 16), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "cells"), "cells")
+        of_a, of_b = cells.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")), cells.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
+        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        near = pairs.join(of_a, "a").join(of_b, "b").where(apart <= F.col("na") + F.col("nb") - 2 * self.least_overlap("na", "nb"))  # suffix filter
+        near = self.scratch.save(near.select("a", "b").distinct(), "near")
         wanted = self.scratch.save(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
         sets = self.scratch.save(self.docs.join(small(wanted, 16), "doc_id", "left_semi").mapInArrow(_sets(self.n), "rep bigint, hashes array<bigint>"), "sets")
         sa, sb = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
         both = F.size(F.array_intersect("ha", "hb"))
         out = near.join(sa, "a").join(sb, "b").withColumn("i", both).where(F.col("i") * self.den >= self.num * (F.size("ha") + F.size("hb") - F.col("i")))
         out = self.scratch.save(out.select("a", "b"), "links")
-        self.scratch.drop(near, wanted, sets)
+        self.scratch.drop(named, cells, near, wanted, sets)
         return out
 
     def pairs_of(self, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -298,3 +299,11 @@ def ngram_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: int
         rows = rows.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **how) -> DataFrame:
+    """docs without all but the smallest key of each component; rows that share a key stay or go together."""
+    scratch = Scratch(spark, "keep-one")
+    gone = ngram_components(spark, docs, n, num, den, **how).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = scratch.save(gone, "gone")
+    return docs.join(small(gone, 16), "doc_id", "left_anti").select(*docs.columns)

@@ -312,9 +312,10 @@ def _window_hashes(length: int):
                 text, w = np.frombuffer(body, np.uint8).astype(np.uint64) + np.uint64(1), len(body) - length + 1
                 cols = []
                 for m in mult:
-                    power = np.cumprod(np.full(len(text), m, np.uint64))
-                    s = np.concatenate([[np.uint64(0)], np.cumsum(text * power[::-1], dtype=np.uint64)])
-                    cols.append(((s[length:] - s[:-length]) * power[:w]).view(np.int64))
+                    power = np.cumprod(np.full(max(len(text), 2 * length), m, np.uint64))
+                    s = np.concatenate([[np.uint64(0)], np.cumsum(text * power[: len(text)], dtype=np.uint64)])
+                    # a window at i times m ** (2 * length - i): the same wherever it starts
+                    cols.append(((s[length:] - s[:-length]) * power[2 * length - 1 - np.arange(w)]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(w, g)), pa.array(np.full(w, ctx)), pa.array(np.arange(w, dtype=np.int32)), pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(w, n))], ["gram", "ctx", "at", "h1", "h2", "n"])
 
     return run
