@@ -420,8 +420,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
 
     def run(batches):
         for b in chunks(batches):
-            text = [t if not r else kept_bytes(t.encode(), r)[0].decode("utf-8", "ignore") for t, r in zip(b.column("text").to_pylist(), b.column("runs").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if x == "text" else b.column(x) for x in names], names)
+            own = dict(zip(names, b.column("row").flatten()))
+            own["text"] = pa.array([t if not r else kept_bytes(t.encode(), r)[0].decode("utf-8", "ignore") for t, r in zip(own["text"].to_pylist(), b.column("runs").to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([own[x] for x in names], names)
 
-    rows = with_runs(spark, docs, **how).drop("_body")
-    return rows.select(*names, "runs").mapInArrow(run, docs.schema)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
+    return with_runs(spark, packed, **how).select("row", "runs").mapInArrow(run, docs.schema)
