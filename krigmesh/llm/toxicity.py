@@ -8,7 +8,7 @@ the ratio, and a logistic regression with weight decay learns a weight for each.
 feature, so a few telling words weigh the same in a long text.
 
 The log-count ratios cover every labelled training row. The regression is fitted on at most ``max_train`` of them,
-those with the smallest hash of the key (a documented bound; the driver sees their selected features only).
+those whose labels have the smallest hash of the key (a documented bound; the driver sees their selected features only).
 Nothing but the text enters a score.
 
 Defined results: null and empty texts score by the intercept; several labels of one key count as their largest;
@@ -141,8 +141,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(spark: SparkSession, labelled: DataFrame, features: int = 8192, max_train: int = 20_000, decay: float = 1e-6, row_rounds: int = 6_000_000) -> Model:
-    """labelled: doc_id, text, toxic (0 or 1); training rows only."""
+def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 20_000, decay: float = 1e-6, row_rounds: int = 6_000_000) -> Model:
+    """rows: doc_id, text; own: one label (doc_id, toxic) of each training key."""
+    labelled = rows.join(small(own, 16), "doc_id").select("doc_id", "text", "toxic")
     empty = np.zeros(0, np.int64)
     counts = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -154,8 +155,9 @@ def train(spark: SparkSession, labelled: DataFrame, features: int = 8192, max_tr
     best = by.where("p + q >= 3").withColumn("r", ratio).withColumn("z", F.abs("r") / F.sqrt(1 / (F.col("p") + 1.0) + 1 / (F.col("q") + 1.0)))
     best = best.orderBy(F.desc("z"), "place").limit(min(features, 65_535)).select("place", "r").toPandas()  # bounded by features
     place, scale = best["place"].to_numpy(np.int64), best["r"].to_numpy(float)
-    sample = labelled.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "text").limit(max_train) if n1 + n0 > max_train else labelled
-    got = sample.select("toxic", "text").mapInArrow(_selected(place), "toxic int, ids binary").toPandas()  # bounded by max_train
+    # the sample is picked among keys alone, so no text is sorted; its bound is that of a broadcast
+    picked = F.broadcast(own.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(max_train)) if n1 + n0 > max_train else small(own, 16)
+    got = rows.join(picked, "doc_id").select("toxic", "text").mapInArrow(_selected(place), "toxic int, ids binary").toPandas()  # bounded by max_train
     w, bias = fit_logistic([np.frombuffer(x, "<u2") for x in got["ids"]], got["toxic"].to_numpy(float), scale, decay, min(2000, max(300, row_rounds // max(1, len(got)))))
     return Model(place, w * scale, bias)
 
@@ -166,7 +168,7 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> Mo
     rows = columns_or_null(docs, {"doc_id": "bigint", "text": "string"})
     own = columns_or_null(labels, {"doc_id": "bigint", "toxic": "int"}).where("toxic in (0, 1) and doc_id is not null").where(~held_out())
     own = scratch.save(own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
-    model = train(spark, rows.join(small(own, 16), "doc_id").select("doc_id", "text", "toxic"), **how)
+    model = train(spark, rows, own, **how)
     scratch.drop(own)
     return model
 
