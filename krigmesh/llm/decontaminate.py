@@ -54,7 +54,7 @@ class Myers:
         """(distance, end) of the best end with distance <= k, the first of equals."""
         n = self.n
         mask, top = (1 << n) - 1, 1 << (n - 1)
-        pv, mv, score, best, at = mask, 0, n, k + 1, -1
+        pv, mv, score, best, at = mask, 0, n, min(n, k + 1), 0
         get = self.peq.get
         for j, c in enumerate(text):
             eq = get(c, 0)
