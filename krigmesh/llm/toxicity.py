@@ -105,17 +105,16 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay
     """
     m, n = len(scale), len(rows)
     heavy = np.where(y > 0, max(1.0, ((n - y.sum()) / max(1.0, y.sum())) ** 0.5), 1.0)
-    idx = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    value = scale[idx]
-    norm = np.bincount(row, value * value, n)
+    idx = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    norm = np.bincount(row, (scale * scale)[idx], n)
     step = 4.0 / (float(np.percentile(norm, 99)) + 1.0) / float(heavy.mean())
     w, b = np.zeros(m), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, vw[idx] * value, n) + vb, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, (vw * scale)[idx], n) + vb, -40, 40)))
         g = heavy * (p - y) / n
-        gw = np.bincount(idx, g[row] * value, m) + decay * vw
+        gw = np.bincount(idx, g[row], m) * scale + decay * vw
         nw, nb = vw - step * gw, vb - step * float(g.sum())
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
@@ -141,7 +140,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 20_000, decay: float = 1e-6, row_rounds: int = 6_000_000) -> Model:
+def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 10_000, decay: float = 1e-6, row_rounds: int = 4_000_000) -> Model:
     """rows: doc_id, text; own: one label (doc_id, toxic) of each training key."""
     labelled = rows.join(small(own, 16), "doc_id").select("doc_id", "text", "toxic")
     empty = np.zeros(0, np.int64)
