@@ -39,7 +39,7 @@ def data_quality(df: DataFrame, value: str, hard: tuple | None = None, soft: tup
     v = F.col(value).cast("double")
     rows = df.withColumn("_x", F.when(finite(v), v))
     q = rows.groupBy(*by).agg(F.percentile(F.col("_x"), F.lit(0.25)).alias("_q1"), F.percentile(F.col("_x"), F.lit(0.75)).alias("_q3"))
-    both = rows.join(F.broadcast(q), by) if by else rows.crossJoin(F.broadcast(q))  # one row a group
+    both = rows.join(q, by) if by else rows.crossJoin(F.broadcast(q))  # one row
     iqr = 1.5 * (F.col("_q3") - F.col("_q1"))
     out = (F.col("_x") < F.col("_q1") - iqr) | (F.col("_x") > F.col("_q3") + iqr)
 
