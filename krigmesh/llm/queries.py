@@ -82,4 +82,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for the operators that SQL can express.
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+i AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT n_shingles, min(r.at) component_id FROM documents d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
+    "op2_suffix_dedup": """
+WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) x FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 399)) i FROM h WHERE len(x) >= 800),
+k AS (SELECT p.doc_id, i, md5(substring(x, 2 * i + 1, 800)) m FROM p JOIN h USING (doc_id)),
+m AS (SELECT m FROM k GROUP BY 1 HAVING count(*) > 1), c AS (SELECT doc_id, i FROM k JOIN m USING (m)),
+e AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true)::INT new FROM c),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) g FROM e),
+r AS (SELECT doc_id, g, min(i) lo, max(i) + 400 hi FROM g GROUP BY 1, 2),
+q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) after, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) nxt FROM r),
+t AS (SELECT doc_id, string_agg(substring(x, 2 * after + 1, 2 * (lo - after)) || CASE WHEN nxt IS NULL THEN substring(x, 2 * hi + 1) ELSE '' END, '' ORDER BY lo) kept, sum(hi - lo)::BIGINT gone, count(*) n FROM q JOIN h USING (doc_id) GROUP BY 1)
+SELECT doc_id, (len(x) // 2)::BIGINT n_bytes, coalesce(gone, 0)::BIGINT n_removed, coalesce(n, 0)::BIGINT n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256 FROM h LEFT JOIN t USING (doc_id)""",
+    "op6_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
+r AS (SELECT vec_id, vec_id AS node FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT vec_id, min(node) component_id FROM r GROUP BY 1), d AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN d USING (vec_id)""",
+}
