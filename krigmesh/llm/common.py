@@ -28,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Rows and bytes of an Arrow batch for the Python workers, where the session has not set its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(8 << 20))}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows, which for long texts are a worker's largest object."""
+    for key, (default, own) in BATCH.items():
+        found = spark.conf.get(key, default)
+        if found == default or (key.endswith("BytesPerBatch") and found in ("67108864", "64MB", "2147483647", "-1")):
+            spark.conf.set(key, own)
+
+
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder.
 
@@ -36,6 +48,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
@@ -66,6 +79,7 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
 
 def columns_or_null(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; a column that is absent becomes null. Extra columns are left out."""
+    bounded_batches(df.sparkSession)
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
 
 

@@ -39,7 +39,7 @@ CELLS = 256
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
 
-    def __init__(self, n: int, cache_words: int = 300_000):
+    def __init__(self, n: int, cache_words: int = 120_000):
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
@@ -82,7 +82,7 @@ def shingler(n: int) -> Shingler:
 META = "kind int, doc_id bigint, k1 bigint, k2 bigint, n int, cells array<tinyint>, shingle bigint, seen bigint"
 
 
-def _profiles(n: int, window: int = 2 << 20):
+def _profiles(n: int, window: int = 1 << 20):
     """Kind 0: a row for each document; kind 1: n-grams that several documents of a window of the task hold."""
 
     def frequent(held):
@@ -119,7 +119,7 @@ def _profiles(n: int, window: int = 2 << 20):
 META_NAMES = [x.split(" ")[0] for x in META.split(", ")]
 
 
-def _prefixes(n: int, num: int, den: int, hot, kept: int = 200_000):
+def _prefixes(n: int, num: int, den: int, hot, kept: int = 50_000):
     """The index entries of each distinct set of a task: n-gram, set key, size, how many n-grams from here on."""
 
     def run(batches):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, small
-from .tokens import chunks
+from .tokens import chunks, forget
 
 KEY = ["t", "c", "len"]
 #: A difference cover of the residues modulo 31: every difference is one of two members (a perfect difference set).
@@ -108,6 +108,7 @@ def _anchor_rows(length: int, kept: int = 300_000):
     def run(batches):
         import xxhash
 
+        forget()
         anchors, seen = Anchors(length), {}
         for b in chunks(batches, 2 << 20):
             text, ends = binary_slices(b.column("text"))
@@ -288,6 +289,7 @@ def _sorted_blocks(length: int, block_bytes: int, bucket_suffixes: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(cols)], ["gram", "ctx", "lo", "hi"])
 
     def run(batches):
+        forget()
         held, size = [], 0
         for b in batches:
             for row in zip(*(b.column(x).to_pylist() for x in ("gram", "ctx", "off", "n", "body"))):

@@ -9,6 +9,7 @@ Texts that hold special strings are given to the library whole.
 from __future__ import annotations
 
 import array
+import gc
 from collections.abc import Callable, Iterator
 
 #: Distinct pieces that a worker keeps; beyond it the cache starts anew. Only speed depends on it.
@@ -91,9 +92,24 @@ class PieceEncoder:
 _CACHED: dict[tuple, object] = {}
 
 
+def forget() -> None:
+    """Give back what earlier tasks of this Python worker have left: cached objects and freed but kept memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    _CACHED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_cached(key: tuple, make: Callable):
-    """One object for each Python worker and key (workers are reused over tasks)."""
+    """One object for each Python worker (workers are reused over tasks); another key takes its place."""
     if key not in _CACHED:
+        forget()
         _CACHED[key] = make()
     return _CACHED[key]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, columns_or_null, small
-from .tokens import chunks
+from .tokens import chunks, forget
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -70,6 +70,7 @@ class Marker:
 
 def _counts(batches):
     """Rows with each place, by label, over all rows of a task: one row for each place that it has seen."""
+    forget()
     n, mark = np.zeros((2, 1 << BITS), np.int64), Marker()
     for b in chunks(batches):
         hashes, at = hashed_ngrams(b.column("text").to_pylist())
@@ -140,7 +141,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 10_000, decay: float = 1e-6, row_rounds: int = 4_000_000) -> Model:
+def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 10_000, decay: float = 1e-6, row_rounds: int = 3_000_000) -> Model:
     """rows: doc_id, text; own: one label (doc_id, toxic) of each training key."""
     labelled = rows.join(small(own, 16), "doc_id").select("doc_id", "text", "toxic")
     empty = np.zeros(0, np.int64)
@@ -174,6 +175,7 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame, **how) -> Mo
 
 def _scores(model: Model, batches):
     """Each bounded slice of a task's rows and the scores of its texts."""
+    forget()
     table = np.zeros(1 << BITS, np.int32)
     table[model.place] = np.arange(1, len(model.place) + 1)
     for b in chunks(batches, 2 << 20):

@@ -82,21 +82,21 @@ def test_only_the_first_piece_is_short(n):
 def test_best_fit_against_a_list_of_bins():
     rng = np.random.default_rng(3)
     for most in (1, 3, 50):
-        fit, open_bins, made = BestFit(64, most), {}, 0
-        for x in rng.integers(1, 64, 400).tolist():
-            b, off = fit.add(x)
-            best = min((f for f in open_bins.values() if f >= x), default=None)
-            if best is None:
-                if len(open_bins) >= most:
-                    del open_bins[min(open_bins, key=lambda k: (open_bins[k]))]
-                assert b == made and off == 0
-                open_bins[b], made = 64, made + 1
-            assert best is None or open_bins[b] == best
-            assert off == 64 - open_bins[b]
-            open_bins[b] -= x
-            if not open_bins[b]:
-                del open_bins[b]
-            assert len(open_bins) <= most
+        fit, bins, made = BestFit(64, most), {}, 0  # bin -> (free, time of its last piece)
+        for now, x in enumerate(rng.integers(1, 64, 400).tolist()):
+            fits = {k: v for k, v in bins.items() if v[0] >= x}
+            if fits:  # the fullest, of equals the last used
+                want = min(fits, key=lambda k: (fits[k][0], -fits[k][1]))
+            else:
+                if len(bins) >= most:
+                    del bins[min(bins, key=lambda k: (bins[k][0], -bins[k][1]))]
+                want, made = made, made + 1
+                bins[want] = (64, now)
+            assert fit.add(x) == (want, 64 - bins[want][0])
+            bins[want] = (bins[want][0] - x, now)
+            if not bins[want][0]:
+                del bins[want]
+            assert len(bins) <= most
 
 
 def test_packing_is_whole_gapless_and_tight(spark, sf):
