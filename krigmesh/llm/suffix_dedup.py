@@ -360,7 +360,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, length: int = 400, block
     one = scratch.save(one, "contexts")
     want = one.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "ctx", "off", "n", "first", "last")).alias("want"))
     want = scratch.save(want, "wanted")
-    bodies = texts.join(want, KEY)
+    bodies = texts.join(want.hint("merge"), KEY)  # shuffled at every size, so that small runs tell how large ones grow
     bodies = scratch.save(bodies.mapInArrow(_cut_contexts(length), "gram bigint, ctx bigint, off int, n bigint, body binary"), "bodies")
     hot = scratch.save(one.groupBy("gram").agg(F.count("*").alias("g")).where(F.col("g") > hot_contexts).select("gram"), "hot")
     hot_side = small(hot, 16)
@@ -383,7 +383,7 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, length: int = 400, block
 def with_runs(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """docs with _body and runs (null where nothing goes)."""
     runs = repeated_runs(spark, docs, **how)
-    return keyed(docs).join(runs, KEY, "left").drop(*KEY)
+    return keyed(docs).join(runs.hint("merge"), KEY, "left").drop(*KEY)
 
 
 def kept_bytes(body: bytes, runs: bytes | None) -> tuple[bytes, int, int]:
