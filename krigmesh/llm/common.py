@@ -77,6 +77,19 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """At most `most` rows of df, those with the smallest hash of key. rows: how many df has.
+
+    A cut on the hash that keeps about twice as many comes first, so the sort that picks them meets few rows,
+    however many tasks read df.
+    """
+    h = F.xxhash64(key)
+    if rows > 4 * most:
+        cut = int(2.0 * most / rows * (1 << 64)) - (1 << 63)
+        df = df.where(h < F.lit(cut))
+    return df.orderBy(h, key).limit(most)
+
+
 def columns_or_null(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; a column that is absent becomes null. Extra columns are left out."""
     bounded_batches(df.sparkSession)

@@ -7,7 +7,8 @@ of the first n - ceil(num/den * n) + 1 of each; so only these prefixes are index
 * Exact copies (equal sets, by a 128-bit hash) are one node, whatever their number.
 * The order needs no exact counts to be right, only to be the same everywhere: each task counts the n-grams of all
   its documents and reports those that it saw in several; their summed counts come last in the order, all others
-  first, by hash. At most ``order_entries`` counts are sent out (16 bytes each).
+  first, by hash. At most ``order_entries`` counts are sent out
+  (16 bytes each), those from some power of two on.
 * A prefix entry carries the set's size and how much of the set follows it. Length filter: sizes within num/den.
   Positional filter: what follows in both must suffice for the overlap. Suffix filter: the sets' counts over 256
   cells of the hash range (up to 127 each) bound their difference from below.
@@ -187,7 +188,15 @@ class Join:
     def prepare(self) -> None:
         rows = self.scratch.save(self.docs.mapInArrow(_profiles(self.n), META), "profiles")
         self.meta = rows.where("kind = 0").select("doc_id", "k1", "k2", "n", "cells")
-        hot = rows.where("kind = 1").groupBy("shingle").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "shingle").limit(self.order_entries).toPandas()  # bounded by order_entries
+        seen = self.scratch.save(rows.where("kind = 1").groupBy("shingle").agg(F.sum("seen").alias("seen")), "seen")
+        # the counts from a power of two on, as many as fit: a histogram of the powers tells which, without a sort
+        powers = {r.p: r.n for r in seen.groupBy(F.floor(F.log2("seen")).alias("p")).agg(F.count("*").alias("n")).collect()}
+        least, total = max(powers, default=0) + 1, 0
+        while least - 1 in range(0, 64) and total + powers.get(least - 1, 0) <= self.order_entries:
+            least -= 1
+            total += powers.get(least, 0)
+        hot = seen.where(F.col("seen") >= 2**least).toPandas()  # bounded by order_entries
+        self.scratch.drop(seen)
         h, c = hot["shingle"].to_numpy(np.int64).view(np.uint64), hot["seen"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(h)
         self.hot = self.spark.sparkContext.broadcast(np.stack([h[by], c[by]]).tobytes())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null, small
+from .common import Scratch, columns_or_null, hash_sample, small
 from .tokens import chunks
 from .toxicity import held_out
 
@@ -173,7 +173,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, round
         return df.withColumn("m", F.array(F.coalesce("source_mean", F.lit(rate)), F.coalesce("lang_mean", F.lit(rate)), size, size * size, F.col("n_chars").isNull().cast("double"))).drop("source_mean", "lang_mean", "source", "lang", "n_chars")
 
     pick = meta.select("doc_id", "quality").withColumn("h", F.xxhash64("doc_id"))
-    some = pick.where("quality is not null").orderBy("h", "doc_id").limit(max_labelled).unionByName(pick.where("quality is null and doc_id is not null").orderBy("h", "doc_id").limit(max_unlabelled))
+    rest = pick.where("quality is null and doc_id is not null")
+    some = hash_sample(pick.where("quality is not null"), "doc_id", max_labelled, n).unionByName(hash_sample(rest, "doc_id", max_unlabelled, rest.count()))
     some = scratch.save(some.select("doc_id", "quality", "h").dropDuplicates(["doc_id"]), "picked")
     got = metadata(rows.join(F.broadcast(some), "doc_id")).select("h", "quality", "m", "text").mapInArrow(_with_content, "h bigint, quality int, m array<double>, f binary").toPandas()  # bounded by max_labelled + max_unlabelled
     got = got.sort_values("h", kind="stable").reset_index(drop=True)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null, small
+from .common import Scratch, columns_or_null, hash_sample, small
 from .tokens import chunks, forget
 
 BITS = 20
@@ -156,7 +156,7 @@ def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int =
     best = best.orderBy(F.desc("z"), "place").limit(min(features, 65_535)).select("place", "r").toPandas()  # bounded by features
     place, scale = best["place"].to_numpy(np.int64), best["r"].to_numpy(float)
     # the sample is picked among keys alone, so no text is sorted; its bound is that of a broadcast
-    picked = F.broadcast(own.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(max_train)) if n1 + n0 > max_train else small(own, 16)
+    picked = F.broadcast(hash_sample(own, "doc_id", max_train, n1 + n0)) if n1 + n0 > max_train else small(own, 16)
     got = rows.join(picked, "doc_id").select("toxic", "text").mapInArrow(_selected(place), "toxic int, ids binary").toPandas()  # bounded by max_train
     w, bias = fit_logistic([np.frombuffer(x, "<u2") for x in got["ids"]], got["toxic"].to_numpy(float), scale, decay, min(2000, max(300, row_rounds // max(1, len(got)))))
     return Model(place, w * scale, bias)
