@@ -90,14 +90,15 @@ def grid_consistency(schema: DataFrame) -> DataFrame:
     return g.withColumn("valid", (F.col("n_resolutions") <= 1) & (F.col("n_extents") <= 1) & (F.col("n_empty") == 0))
 
 
-SOURCE_ENUMS = {
-    "source_type": ["paper", "book", "standard", "report", "manual", "dataset", "website", "thesis", "other"],
-    "evidence_strength": ["low", "medium", "high"],
-}
+# Columns, required fields and allowed words of library metadata and evidence cards.
+SOURCE_COLUMNS = "doc_id title authors year source_type journal_or_publisher doi url access_date language topic_tags soil_indicators geography method_tags quality_level license_or_access_note notes".split()
+SOURCE_ENUMS = {"source_type": ["book", "peer_reviewed_paper", "guideline", "report", "thesis", "documentation"], "quality_level": ["core", "supporting", "weak", "exclude"]}
+CARD_FIELDS = "claim_id claim applies_to evidence_sources strength conditions limitations recommended_action not_allowed_action".split()
+STRENGTHS = ["strong", "moderate", "weak"]
 
 
-def blank_ids(df: DataFrame, key: str) -> DataFrame:
-    return df.agg(F.count_if(F.coalesce(F.trim(F.col(key).cast("string")) == "", F.lit(True))).alias("n_blank"))
+def _blank(c: Column) -> Column:
+    return F.coalesce(F.trim(c.cast("string")) == "", F.lit(True))
 
 
 def enum_violations(df: DataFrame, key: str, field: str, allowed: DataFrame, multi: bool = False) -> DataFrame:
@@ -106,8 +107,28 @@ def enum_violations(df: DataFrame, key: str, field: str, allowed: DataFrame, mul
     return df.select(key, v.alias("value")).withColumn("value", F.trim("value")).where("value <> ''").join(allowed, "value", "left_anti").select(key, "value")
 
 
-def card_violations(cards: DataFrame, sources: DataFrame, required: list[str]) -> DataFrame:
-    """card_id and what is wrong: a required field that is blank, or a source that does not exist."""
-    blank = cards.select("card_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True)), F.lit(c)) for c in required]))).alias("problem"))
-    unknown = cards.select("card_id", F.explode("evidence_sources").alias("source_id")).join(sources.select("source_id"), "source_id", "left_anti")
-    return blank.withColumn("problem", F.concat(F.lit("missing:"), "problem")).unionByName(unknown.select("card_id", F.concat(F.lit("unknown_source:"), F.col("source_id").cast("string")).alias("problem")))
+def source_violations(sources: DataFrame) -> DataFrame:
+    """doc_id and what is wrong with library metadata: blank or repeated ids, words that are not allowed, missing columns."""
+    spark = sources.sparkSession
+    out = spark.createDataFrame([(None, f"missing_column:{c}") for c in missing_columns(sources, SOURCE_COLUMNS)], "doc_id string, problem string")
+    if "doc_id" in sources.columns:
+        ids = sources.select(F.col("doc_id").cast("string").alias("doc_id"))
+        out = out.unionByName(ids.where(_blank(F.col("doc_id"))).withColumn("problem", F.lit("blank_id")))
+        out = out.unionByName(ids.where(~_blank(F.col("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit("duplicate_id").alias("problem")))
+        for field, words in SOURCE_ENUMS.items():
+            if field in sources.columns:
+                bad = sources.where(~_blank(F.col(field)) & ~F.trim(field).isin(*words))
+                out = out.unionByName(bad.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit(f"{field}:"), field).alias("problem")))
+    return out
+
+
+def card_violations(cards: DataFrame, sources: DataFrame, key: str = "claim_id", required: list[str] | None = None) -> DataFrame:
+    """key and what is wrong with a card: a missing field, a strength that is not allowed, a source that does not exist."""
+    required = CARD_FIELDS if required is None else required
+    absent = [F.when(F.col(c).isNull() if c in cards.columns and dict(cards.dtypes)[c].startswith("array") else _blank(F.col(c)) if c in cards.columns else F.lit(True), F.lit(f"missing:{c}")) for c in required]
+    strength = [F.when(~_blank(F.col("strength")) & ~F.col("strength").isin(*STRENGTHS), F.concat(F.lit("strength:"), "strength"))] if "strength" in cards.columns else []
+    out = cards.select(key, F.explode(F.array_compact(F.array(*absent, *strength, F.lit(None).cast("string")))).alias("problem"))
+    if "evidence_sources" not in cards.columns:
+        return out
+    unknown = cards.select(key, F.explode("evidence_sources").alias("source_id")).join(sources.select("source_id"), "source_id", "left_anti")
+    return out.unionByName(unknown.select(key, F.concat(F.lit("unknown_source:"), F.col("source_id").cast("string")).alias("problem")))

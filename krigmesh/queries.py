@@ -666,7 +666,7 @@ def metadata_enum_check(spark, sf):
 @query("SELECT l.doc_id::VARCHAR card_id, 'unknown_source:' || (l.doc_id * 3)::VARCHAR problem FROM labels l WHERE l.doc_id * 3 NOT IN (SELECT doc_id FROM documents)")
 def card_referential_integrity(spark, sf):
     cards = load(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("card_id"), F.array((F.col("doc_id") * 3)).alias("evidence_sources"))
-    return validate.card_violations(cards, load(spark, sf, "documents").select(F.col("doc_id").alias("source_id")), ["card_id"])
+    return validate.card_violations(cards, load(spark, sf, "documents").select(F.col("doc_id").alias("source_id")), "card_id", ["card_id"])
 
 
 @query("SELECT k, trim(v) AS tag FROM (SELECT k, unnest(string_split(t, ';')) v FROM (VALUES (1, 'soil; kriging;pH'), (2, ''), (3, 'a;;b')) x(k, t)) WHERE trim(v) <> ''")

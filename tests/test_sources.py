@@ -47,10 +47,15 @@ def test_layers(spark):
     assert [(r.cell, r.PC1, r.PC2) for r in g] == [(1, 3.0, 3.0), (2, None, None)]
 
 
-def test_cards(spark):
-    cards = spark.createDataFrame([("c1", "t", ["s1", "s9"]), ("c2", " ", [])], "card_id string, title string, evidence_sources array<string>")
+def test_metadata(spark):
+    cards = spark.createDataFrame([("c1", "t", ["s1", "s9"], "strong"), ("c2", " ", [], "huge")], "claim_id string, claim string, evidence_sources array<string>, strength string")
     src = spark.createDataFrame([("s1",)], "source_id string")
-    assert {(r.card_id, r.problem) for r in validate.card_violations(cards, src, ["title"]).collect()} == {("c1", "unknown_source:s9"), ("c2", "missing:title")}
+    got = {(r.claim_id, r.problem) for r in validate.card_violations(cards, src, required=["claim_id", "claim", "evidence_sources"]).collect()}
+    assert got == {("c1", "unknown_source:s9"), ("c2", "missing:claim"), ("c2", "strength:huge")}
+    assert ("c1", "missing:limitations") in {(r.claim_id, r.problem) for r in validate.card_violations(cards, src).collect()}
+    rows = spark.createDataFrame([("a", "book", "core"), ("a", "blog", "weak"), ("", "report", "best")], "doc_id string, source_type string, quality_level string")
+    got = {(r.doc_id, r.problem) for r in validate.source_violations(rows).collect()}
+    assert {("a", "duplicate_id"), ("", "blank_id"), ("a", "source_type:blog"), ("", "quality_level:best"), (None, "missing_column:title")} <= got
 
 
 def test_reports(spark):
