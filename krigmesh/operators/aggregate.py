@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from ..functions.quantiles import exact_quantiles
 from ..functions.transforms import sample_skewness
 
 
@@ -38,8 +39,8 @@ def data_quality(df: DataFrame, value: str, hard: tuple | None = None, soft: tup
     by = by or []
     v = F.col(value).cast("double")
     rows = df.withColumn("_x", F.when(finite(v), v))
-    q = rows.groupBy(*by).agg(F.percentile(F.col("_x"), F.lit(0.25)).alias("_q1"), F.percentile(F.col("_x"), F.lit(0.75)).alias("_q3"))
-    both = rows.join(q, by) if by else rows.crossJoin(F.broadcast(q))  # one row
+    q = exact_quantiles(rows, "_x", {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, by).drop("n")
+    both = rows.join(q, by, "left") if by else rows.join(F.broadcast(q), F.lit(True), "left")  # one row
     iqr = 1.5 * (F.col("_q3") - F.col("_q1"))
     out = (F.col("_x") < F.col("_q1") - iqr) | (F.col("_x") > F.col("_q3") + iqr)
 
@@ -53,7 +54,7 @@ def data_quality(df: DataFrame, value: str, hard: tuple | None = None, soft: tup
         return F.count_if(F.coalesce(c, F.lit(False)))
 
     g = both.groupBy(*by).agg(
-        F.count("*").alias("n_total"), F.count("_x").alias("n_valid"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"), F.percentile(F.col("_x"), F.lit(0.5)).alias("median"),
+        F.count("*").alias("n_total"), F.count("_x").alias("n_valid"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"), F.max("median").alias("median"),
         F.stddev_samp("_x").alias("sd"), sample_skewness(F.col("_x")).alias("skewness"), F.count_if(F.coalesce(out, F.lit(False))).alias("_out"), outside(hard).alias("n_outside_valid"), outside(soft).alias("n_outside_soft"),
     )
     g = g.withColumn("n_missing", F.col("n_total") - F.col("n_valid")).withColumn("outlier_count", F.when(F.col("n_valid") >= 5, F.col("_out")).otherwise(F.lit(0).cast("bigint"))).drop("_out")
@@ -85,7 +86,9 @@ def vif(df: DataFrame, predictors: list[str]) -> dict[str, float | None]:
 
 def grid_summary(grid: DataFrame, value: str, threshold: float | None = None, quantile: float = 0.8) -> DataFrame:
     """Minimum, maximum, mean, sum of a layer, its quantile (or a given threshold) and the share at or above it."""
-    g = grid.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.sum(value).alias("sum"), (F.percentile(F.col(value), F.lit(quantile)) if threshold is None else F.lit(float(threshold))).alias("threshold"))
+    g = grid.agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.sum(value).alias("sum"))
+    at = exact_quantiles(grid, value, {"threshold": quantile}).drop("n") if threshold is None else grid.sparkSession.range(1).select(F.lit(float(threshold)).alias("threshold"))
+    g = g.join(F.broadcast(at), F.lit(True), "left")  # one row on either side
     high = grid.crossJoin(F.broadcast(g.select("threshold"))).agg((F.avg((F.col(value) >= F.col("threshold")).cast("double")) * 100).alias("high_percent"))
     return g.crossJoin(F.broadcast(high))  # one row on either side
 

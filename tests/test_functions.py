@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from krigmesh.config import DEFAULT
 from krigmesh.functions import numeric, text, transforms
+from krigmesh.functions.quantiles import exact_quantiles
 from krigmesh.operators import control, retrieval, validate
 
 
@@ -119,3 +120,15 @@ def test_next_parameters():
     assert p["SEARCH_RADIUS"] == 13800 and p["NMAX_NEIGHBORS"] == 16
     assert control.next_parameters({"r2": 0.5}, {}) == {}
     assert control.check_parameters(control.next_parameters(run, {}))[1] == {}
+
+
+@pytest.mark.parametrize("accuracy", [10, 10_000])
+def test_exact_quantiles(spark, accuracy):
+    df = spark.range(0, 1000).selectExpr("id % 3 g", "if(id % 50 = 0, null, double((id * 7919) % 211)) v").unionByName(spark.createDataFrame([(9, 5.0), (8, None)], "g bigint, v double"))
+    named = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    want = {r.g: tuple(r.q) for r in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in named.values()])).alias("q")).collect()}
+    got = {r.g: tuple(r[k] for k in named) for r in exact_quantiles(df, "v", named, ["g"], accuracy).collect()}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)
+    one = exact_quantiles(df, "v", {"m": 0.5}, accuracy=accuracy).first()
+    assert one.n == 981 and one.m == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
+    assert exact_quantiles(df.where("g = 8"), "v", {"m": 0.5}).first().m is None
