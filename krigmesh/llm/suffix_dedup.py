@@ -104,13 +104,13 @@ def binary_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
-def _anchor_rows(length: int, kept: int = 300_000):
+def _anchor_rows(length: int, kept: int = 100_000):
     def run(batches):
         import xxhash
 
         forget()
         anchors, seen = Anchors(length), {}
-        for b in chunks(batches, 2 << 20):
+        for b in chunks(batches, 1 << 20):
             text, ends = binary_slices(b.column("text"))
             found = anchors.runs(text, ends)
             if found is None:
