@@ -105,20 +105,21 @@ class Shard:
             raise ValueError("not a token store index")
         self.width, self.rows, self.keys, buckets = struct.unpack_from("<IQQQ", raw, 4)
         at = 4 + struct.calcsize("<IQQQ")
-        self.shift = np.frombuffer(raw, "<i4", buckets, at)
+        # plain lists: single look-ups in them are several times faster than in arrays
+        self.shift = np.frombuffer(raw, "<i4", buckets, at).tolist()
         at += 4 * buckets
-        self.table = np.frombuffer(raw, "<u4", 3 * self.keys, at).reshape(-1, 3)
-        self.place = np.frombuffer(raw, "<u8", self.rows + 1, at + 12 * self.keys)
+        self.table = np.frombuffer(raw, "<u4", 3 * self.keys, at).reshape(-1, 3).tolist()
+        self.place = np.frombuffer(raw, "<u8", self.rows + 1, at + 12 * self.keys).tolist()
         self.data = self.fs.open_input_file(f"{base}/{name(shard)}.bin")
 
     def find(self, key: int) -> tuple[int, int] | None:
         """First row and number of rows of a key, or None."""
         if not self.keys:
             return None
-        d = int(self.shift[mix(key, 0) % len(self.shift)])
+        d = self.shift[mix(key, 0) % len(self.shift)]
         s = -d - 1 if d < 0 else mix(key, d) % self.keys
         mark, row, n = self.table[s]
-        return (int(row), int(n)) if int(mark) == fingerprint(key) else None
+        return (row, n) if mark == fingerprint(key) else None
 
     def read(self, key: int) -> list[tuple[int, bytes]]:
         """(place in the shard, ids as 32-bit little-endian bytes) of each row of a key."""
@@ -127,7 +128,7 @@ class Shard:
             return []
         out = []
         for row in range(found[0], found[0] + found[1]):
-            a, b = int(self.place[row]), int(self.place[row + 1])
+            a, b = self.place[row], self.place[row + 1]
             raw = self.data.read_at(self.width * (b - a), self.width * a)
             out.append((a, raw if self.width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
         return out

@@ -13,7 +13,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 #: Distinct pieces that a worker keeps; beyond it the cache starts anew. Only speed depends on it.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 360_000
 
 
 def tokenizer_path(name: str) -> str:
