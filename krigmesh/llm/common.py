@@ -51,6 +51,7 @@ class Scratch:
         bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append(self.root)
         self.n = 0
 
     def path(self, label: str) -> str:
@@ -65,10 +66,22 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_ROOTS: list[str] = []
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete all that operators of this driver have written to the shared folder; their results can't be read any more."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
