@@ -50,7 +50,7 @@ def fingerprint(key: int) -> int:
     return mix(key, 0x5EED) >> 32
 
 
-def perfect_hash(keys: list[int], per_bucket: int = 3) -> tuple[list[int], list[int]]:
+def perfect_hash(keys: list[int], per_bucket: int = 2) -> tuple[list[int], list[int]]:
     """Displacement of each bucket, slot of each key: a bijection of the distinct keys to 0..n-1.
 
     Buckets are placed largest first; each takes the first displacement that sends all its keys to free slots.
