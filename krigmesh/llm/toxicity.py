@@ -9,7 +9,9 @@ feature, so a few telling words weigh the same in a long text.
 
 The log-count ratios cover every labelled training row. The regression is fitted on at most ``max_train`` of them,
 those whose labels have the smallest hash of the key (a documented bound; the driver sees their selected features only).
-Nothing but the text enters a score.
+At any size the fit runs until the norm of the mean loss's gradient is at most ``tolerance`` (0.01), or for ``rounds``
+(1,000) and then warns. Weight decay is slight, so the tolerance keeps the weights small as well: far below it the fit
+follows single training rows. Nothing but the text enters a score.
 
 Defined results: null and empty texts score by the intercept; several labels of one key count as their largest;
 without rows of both labels every score is the share of toxic labels (0 without any); repeated rows each get a row.
@@ -17,6 +19,8 @@ without rows of both labels every score is the share of toxic labels (0 without
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,28 +103,64 @@ def _selected(place: np.ndarray):
     return run
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Accelerated full gradient descent; the weight of feature f is learned on the value scale[f].
+def objective(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float):
+    """Weights and intercept in one array -> mean loss with weight decay, and its gradient.
 
     Rows of label 1 weigh the square root of the labels' odds, as the rarer label would else be missed too often.
     """
     m, n = len(scale), len(rows)
     heavy = np.where(y > 0, max(1.0, ((n - y.sum()) / max(1.0, y.sum())) ** 0.5), 1.0)
-    idx = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    norm = np.bincount(row, (scale * scale)[idx], n)
-    step = 4.0 / (float(np.percentile(norm, 99)) + 1.0) / float(heavy.mean())
-    w, b = np.zeros(m), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
-    vw, vb, t = w.copy(), b, 1.0
+    size = np.array([len(r) for r in rows], np.int64)
+    idx, at = np.concatenate([np.zeros(0, "<u2"), *rows]).astype("<u2"), np.concatenate([[0], np.cumsum(size)])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(at[:-1], np.arange(1 << 20, max(at[-1], 1), 1 << 20)), [n]]))  # bounded slices
+
+    def f(v: np.ndarray) -> tuple[float, np.ndarray]:
+        ws, loss, g = v[:m] * scale, 0.0, np.zeros(m + 1)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            i, row = idx[at[lo] : at[hi]].astype(np.intp), np.repeat(np.arange(hi - lo), size[lo:hi])
+            s = np.bincount(row, ws[i], hi - lo) + v[m]
+            loss += float(heavy[lo:hi] @ (np.logaddexp(0, s) - y[lo:hi] * s))
+            d = heavy[lo:hi] * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - y[lo:hi])
+            g[:m] += np.bincount(i, d[row], m)
+            g[m] += d.sum()
+        g[:m] = g[:m] * scale / n + decay * v[:m]
+        g[m] /= n
+        return loss / n + decay / 2 * float(v[:m] @ v[:m]), g
+
+    return f
+
+
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float, tolerance: float = 0.01, rounds: int = 1000) -> tuple[np.ndarray, float]:
+    """L-BFGS until the gradient's norm is at most tolerance; the weight of feature f is learned on the value scale[f].
+
+    The test and the limit of rounds are the same for any number of rows; a fit that ends otherwise warns.
+    """
+    m, f = len(scale), objective(rows, y, scale, decay)
+    v = np.append(np.zeros(m), np.log((y.sum() + 1) / (len(rows) - y.sum() + 1)))
+    loss, g = f(v)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []  # steps, changes of the gradient, 1 / their product
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, (vw * scale)[idx], n) + vb, -40, 40)))
-        g = heavy * (p - y) / n
-        gw = np.bincount(idx, g[row], m) * scale + decay * vw
-        nw, nb = vw - step * gw, vb - step * float(g.sum())
-        nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
-        w, b, t = nw, nb, nt
-    return w, b
+        if g @ g <= tolerance**2:
+            break
+        d, shares = -g, []
+        for s, t, r in reversed(past):
+            shares.append(r * (s @ d))
+            d = d - shares[-1] * t
+        d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(g @ g) ** 0.5))
+        for (s, t, r), a in zip(past, reversed(shares)):
+            d = d + s * (a - r * (t @ d))
+        step = 1.0
+        while (new := f(v + step * d))[0] > loss + 1e-4 * step * float(g @ d) and step > 1e-10:
+            step /= 2
+        if new[0] > loss:
+            break
+        s, t = step * d, new[1] - g
+        if s @ t > 1e-12 * float((s @ s) * (t @ t)) ** 0.5:
+            past = [*past, (s, t, 1 / float(s @ t))][-20:]
+        v, (loss, g) = v + s, new
+    if g @ g > tolerance**2:
+        warnings.warn(f"toxicity: gradient norm {float(g @ g) ** 0.5:.2g} after the last round, not {tolerance:g}", RuntimeWarning, stacklevel=2)
+    return v[:m], float(v[m])
 
 
 class Model:
@@ -141,7 +181,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 10_000, decay: float = 1e-6, row_rounds: int = 3_000_000) -> Model:
+def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 10_000, decay: float = 1e-6, tolerance: float = 0.01, rounds: int = 1000) -> Model:
     """rows: doc_id, text; own: one label (doc_id, toxic) of each training key."""
     labelled = rows.join(small(own, 16), "doc_id").select("doc_id", "text", "toxic")
     empty = np.zeros(0, np.int64)
@@ -158,7 +198,7 @@ def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int =
     # the sample is picked among keys alone, so no text is sorted; its bound is that of a broadcast
     picked = F.broadcast(hash_sample(own, "doc_id", max_train, n1 + n0)) if n1 + n0 > max_train else small(own, 16)
     got = rows.join(picked, "doc_id").select("toxic", "text").mapInArrow(_selected(place), "toxic int, ids binary").toPandas()  # bounded by max_train
-    w, bias = fit_logistic([np.frombuffer(x, "<u2") for x in got["ids"]], got["toxic"].to_numpy(float), scale, decay, min(2000, max(300, row_rounds // max(1, len(got)))))
+    w, bias = fit_logistic([np.frombuffer(x, "<u2") for x in got["ids"]], got["toxic"].to_numpy(float), scale, decay, tolerance, rounds)
     return Model(place, w * scale, bias)
 
 

@@ -7,7 +7,7 @@ import pytest
 from krigmesh.llm.decontaminate import Myers, contaminated, cut, drop_contaminated, fold
 from krigmesh.llm.html_extract import blocks, extract, main_text
 from krigmesh.llm.quality import score_quality
-from krigmesh.llm.toxicity import drop_toxic, score_documents
+from krigmesh.llm.toxicity import drop_toxic, fit_logistic, score_documents
 
 
 def distance(pattern, text):
@@ -136,6 +136,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {k for k, r in by.items() if not r.predicted}
 
 
+@pytest.mark.parametrize("n", [200, 10_000])
+def test_toxicity_fit_ends_by_its_gradient_at_any_size(n):
+    rng = np.random.default_rng(3)
+    y = (rng.random(n) < 0.1).astype(float)
+    scale = np.linspace(-2, 2, 400)
+    rows = [np.flatnonzero(rng.random(400) < np.where(scale > 0, 0.02 + 0.02 * v, 0.03 - 0.01 * v)).astype("<u2") for v in y]
+    w, b = fit_logistic(rows, y, scale, 1e-6)
+    heavy = np.where(y > 0, ((n - y.sum()) / y.sum()) ** 0.5, 1.0)
+    x = np.zeros((n, 400))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r]
+    d = heavy * (1 / (1 + np.exp(-(x @ w + b))) - y) / n
+    assert np.hypot(np.linalg.norm(x.T @ d + 1e-6 * w), d.sum()) <= 0.01
+    with pytest.warns(RuntimeWarning, match="gradient norm"):
+        fit_logistic(rows, y, scale, 1e-6, rounds=1)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
