@@ -9,8 +9,8 @@ task, so a host with a third of all pages is no larger a group than any other.
 
 What HTML itself says goes first, as a host of a few pages has no tree to speak of: script, style, nav, aside, form
 and the like, elements whose class, id or role names a menu, notice, advert, sidebar or comments, and headers and
-footers outside the article are never main text. Where a page has article or main elements with text, these are its
-text, and no statistic takes a branch inside them.
+footers outside the article are never main text. Where a page has article or main elements with text, its text is
+within these; branches of low importance inside them go as anywhere else.
 
 Tags are read by one pass of a pattern, elements close as HTML lets them (p, li, td ... by the next), and truncated
 tags at the end are dropped. Character references are decoded, white space inside a block becomes one blank, blocks
@@ -157,12 +157,10 @@ def blocks(html: str | None) -> list[Block]:
 
 
 def style_nodes(page: list[Block]) -> dict[str, tuple[str, str]]:
-    """path -> its text and its layout, for all nodes of a page outside main parts."""
+    """path -> its text and its layout, for all nodes of a page."""
     texts: dict[str, list[str]] = {}
     looks: dict[str, list[str]] = {}
     for b in page:
-        if b.main:
-            continue
         parts = b.path.split("/")
         for i in range(2, len(parts) + 1):
             p = "/".join(parts[:i])
@@ -175,7 +173,7 @@ def main_text(page: list[Block], low: frozenset[str]) -> str:
     """The page's main text, without the branches in low."""
     kept = [b for b in page if not b.side]
     if any(b.main for b in kept):
-        return "\n".join(b.text for b in kept if b.main)
+        kept = [b for b in kept if b.main]
     if low:
         kept = [b for b in kept if not any("/".join(b.path.split("/")[:i]) in low for i in range(2, b.path.count("/") + 2))]
     return "\n".join(b.text for b in kept)

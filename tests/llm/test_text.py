@@ -107,6 +107,17 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert extract(spark, pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_style_tree_reaches_into_the_main_part(spark, tag):
+    rng = random.Random(9)
+    body = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(20))
+    rows = [(i, f"https://h.example/{i}", f"<body><{tag}><h1>t {i}</h1><p>{body()}</p><div><p>Same on every page</p></div><ul><li>x<li>y</ul></{tag}></body>") for i in range(30)]
+    rows += [(100, "https://other.example/1", rows[0][2])]
+    got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i].startswith(f"t {i}\n") and got[i].count("\n") == 1 for i in range(30))
+    assert got[100].endswith("Same on every page\nx\ny")  # a host of one page has no tree
+
+
 def labelled_texts(n=600, seed=11):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(["on", "er", "th", "an", "re", "ti"]) for _ in range(rng.randint(1, 4)))
