@@ -449,7 +449,9 @@ def cv_fold_diagnostics(spark, sf):
 
 @query()
 def cv_three_models(spark, sf):
-    return crossval.summary(crossval.compare(folded(spark, sf), "z", ["pc1", "pc2"], CFG))
+    from .plans.run import folds
+
+    return crossval.summary(crossval.compare(folds(points(spark, sf), CFG), "z", ["pc1", "pc2"], CFG))
 
 
 @query()
@@ -459,8 +461,11 @@ def spatial_folds(spark, sf):
 
 @query()
 def neighbour_tuning(spark, sf):
+    from .plans.run import folds
+
     cfg = CFG.with_overrides({"auto_neighbor_nmax_candidates": [4, 8, 12], "auto_neighbor_search_radius_candidates": [600.0, 1000.0, 1500.0]})
-    return crossval.tune(folded(spark, sf), "z", ["pc1", "pc2"], cfg, practical=1500.0)
+    own = folds(points(spark, sf), cfg.with_overrides({"cv_methods": [cfg.auto_neighbor_cv_method]}))
+    return crossval.tune(own, "z", ["pc1", "pc2"], cfg, practical=1500.0)
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------------
@@ -683,4 +688,4 @@ def regression_kriging_report(spark, sf):
     """One evaluation row of the whole run over the sample points (see plans.run)."""
     from .plans.run import report
 
-    return report(points(spark, sf), "z", ["pc1", "pc2"], CFG.with_overrides({"cv_methods": ["random"]}))
+    return report(points(spark, sf), "z", ["pc1", "pc2"], CFG)

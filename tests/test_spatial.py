@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from krigmesh import queries
 from krigmesh.config import DEFAULT
 from krigmesh.operators import aggregate, crossval, evaluate, geo, kriging, trend, variogram
 from krigmesh.plans import batch as plans
@@ -137,6 +138,14 @@ def test_report_and_batch(pts):
     assert plans.targets_of(["code", "a", "b"], ["code"], " b ") == ["b"]
 
 
+def test_registered_queries_krige_over_spatial_folds(spark, sf):
+    cv = {(r.cv_method, r.model): r for r in queries.QUERIES["cv_three_models"](spark, sf).collect()}
+    assert {k for k, _ in cv} == {"random", "spatial_kmeans"} and len(cv) == 6
+    assert {r.cv_method for r in queries.QUERIES["neighbour_tuning"](spark, sf).collect()} == {"spatial_kmeans"}
+    r = queries.QUERIES["regression_kriging_report"](spark, sf).first()
+    assert r.transform == "none" and r.rk_rmse == pytest.approx(cv["spatial_kmeans", "Regression Kriging"].RMSE)
+
+
 def test_profiles(spark):
     known = evaluate.profiles()
     assert len(known) == 18
