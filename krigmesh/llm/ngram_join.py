@@ -10,14 +10,17 @@ of the first n - ceil(num/den * n) + 1 of each; so only these prefixes are index
   first, by hash. At most ``order_entries`` counts are sent out
   (16 bytes each), those from some power of two on.
 * A prefix entry carries the set's size and how much of the set follows it. Length filter: sizes within num/den.
-  Positional filter: what follows in both must suffice for the overlap. Suffix filter: the sets' counts over 256
-  cells of the hash range (up to 127 each) bound their difference from below.
-* An n-gram's list of a group of near copies would give all their pairs. Instead, in rounds, one centre of each list
-  (the entry with most of its set behind it) is verified against the others; found links join components, and pairs
-  inside one component need no further look. Entries of classes (size, rest) that no other class of the list can
-  link to are dropped. Once the pairs left are few for the entries, all of them are verified. No link is lost.
-* Each distinct pair is verified once, on the full sets, which are made only for documents in such pairs; a
-  document's pair with the centre that shares most lists with it comes first, as it often settles the others.
+  Positional filter: what follows in both must suffice for the overlap. Suffix filter: the sets' counts over 64
+  cells of the hash range (up to 255 each) bound their difference from below.
+* An n-gram's list of a group of near copies would give all their pairs. So first, for ``star_rounds`` rounds, one
+  centre of each list of more than ``few`` entries is verified against the others, one centre a document; found links
+  join components, and pairs inside one component need no further look. A round makes no more pairs than documents.
+* Then all lists that still hold several components are dealt in tiles of ``tile`` by ``tile`` entries; entries of
+  a long list's largest component meet only the others. The three filters run inside the tile, and only pairs that
+  pass all of them leave it. Nothing is left out.
+* Each distinct pair is verified once, on the full sets, which are made only for documents in such pairs. The end
+  with more pairs is the centre, sent once to each block of at most about ``block`` of its partners, so no document's set is
+  copied for each of its pairs and no task holds all pairs of one.
 
 Defined results: null, empty and blank texts have no n-grams and link with nothing; shorter texts have one n-gram,
 all their words; rows that share a key are one node, linked by any of their texts; a null key has its own null component; extra columns go.
@@ -30,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns_or_null, components, small
+from .common import Scratch, columns_or_null, components, partitions, small
 from .tokens import chunks, worker_cached
 
 ORDER_ENTRIES = 500_000
-CELLS = 256
+CELLS = 64
+BITS = 6
 
 
 class Shingler:
@@ -80,7 +84,13 @@ def shingler(n: int) -> Shingler:
     return worker_cached(("shingler", n), lambda: Shingler(n))
 
 
-META = "kind int, doc_id bigint, k1 bigint, k2 bigint, n int, cells array<tinyint>, shingle bigint, seen bigint"
+META = "kind int, doc_id bigint, k1 bigint, k2 bigint, n int, cells binary, shingle bigint, seen bigint"
+META_NAMES = [x.split(" ")[0] for x in META.split(", ")]
+
+
+def cells_of(h: np.ndarray) -> bytes:
+    """How many hashes fall in each cell of the hash range, up to 255."""
+    return np.minimum(np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def _profiles(n: int, window: int = 1 << 20):
@@ -93,18 +103,22 @@ def _profiles(n: int, window: int = 1 << 20):
         h, c = h[c >= 3].view(np.int64), c[c >= 3]
         m = len(h)
         null = lambda t: pa.nulls(m, t)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.int32()), null(pa.list_(pa.int8())), pa.array(h), pa.array(c.astype(np.int64))], META_NAMES)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(m, np.int32)), null(pa.int64()), null(pa.int64()), null(pa.int64()), null(pa.int32()), null(pa.binary()), pa.array(h), pa.array(c.astype(np.int64))],
+            META_NAMES,
+        )
 
     def run(batches):
         s, held, size = shingler(n), [], 0
-        for b in chunks(batches):
+        for b in chunks(batches, 1 << 20):
             sets = [s.hashes(t) for t in b.column("text").to_pylist()]
             keys = [s.keys(h) if len(h) else (None, None) for h in sets]
-            cells = [np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=CELLS), 127).astype(np.int8) for h in sets]
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(m, np.int32)), b.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(h) for h in sets], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, CELLS * m + 1, CELLS, dtype=np.int32)), pa.array(np.concatenate(cells) if m else np.zeros(0, np.int8))), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                [
+                    pa.array(np.zeros(m, np.int32)), b.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array([len(h) for h in sets], pa.int32()), pa.array([cells_of(h) for h in sets], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
+                ],
                 META_NAMES,
             )
             held += sets
@@ -117,16 +131,13 @@ def _profiles(n: int, window: int = 1 << 20):
     return run
 
 
-META_NAMES = [x.split(" ")[0] for x in META.split(", ")]
-
-
 def _prefixes(n: int, num: int, den: int, hot, kept: int = 50_000):
     """The index entries of each distinct set of a task: n-gram, set key, size, how many n-grams from here on."""
 
     def run(batches):
         s, known = shingler(n), set()
         order = np.frombuffer(hot.value, np.uint64).reshape(2, -1)
-        for b in chunks(batches):
+        for b in chunks(batches, 1 << 20):
             cols: tuple[list, ...] = ([], [], [], [], [])
             for text in b.column("text").to_pylist():
                 h = s.hashes(text)
@@ -157,12 +168,108 @@ def _prefixes(n: int, num: int, den: int, hot, kept: int = 50_000):
 
 
 def _sets(n: int):
+    """The sorted hashes of each text as bytes."""
+
     def run(batches):
         s = shingler(n)
         for b in chunks(batches, 1 << 20):
-            sets = [s.hashes(t).view(np.int64) for t in b.column("text").to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.hashes(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["rep", "hashes"])
+
+    return run
+
+
+def near_in_tiles(group: np.ndarray, side: np.ndarray, rep: np.ndarray, comp: np.ndarray, n: np.ndarray, rest: np.ndarray, cells: np.ndarray, num: int, den: int, slice_pairs: int = 1 << 16):
+    """Pairs of places (i, j) of one group, of different components, that pass the length, positional and suffix filter.
+
+    Rows of a group lie together. Rows of side 0 meet those of side 1 only; rows of side 2 meet each other.
+    """
+    last = np.searchsorted(group, group, "right")  # where each row's group ends
+    here = np.arange(len(group))
+    step = 1
+    while True:
+        here = here[here + step < last[here]]
+        if not len(here):
+            return
+        for at in range(0, len(here), slice_pairs):
+            i = here[at : at + slice_pairs]
+            j = i + step
+            total = n[i] + n[j]
+            least = -(-num * total // (num + den))  # what two sets of these sizes must share
+            ok = (rep[i] != rep[j]) & (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num) & (np.minimum(rest[i], rest[j]) >= least)
+            if not ok.any():
+                continue
+            i, j, most = i[ok], j[ok], (total - 2 * least)[ok]
+            apart = np.abs(cells[i].astype(np.int16) - cells[j]).sum(1, dtype=np.int64)
+            ok = apart <= most
+            if ok.any():
+                yield i[ok], j[ok]
+        step += 1
+
+
+def _tile_pairs(num: int, den: int, rows: int = 1 << 15):
+    """Rows sorted by tile (shingle, x, y) -> a, b: the distinct pairs of representatives that pass the filters."""
+    names = ("shingle", "x", "y", "side", "rep", "comp", "n", "rest")
+
+    def solve(cols, cells):
+        same = (cols["shingle"][1:] == cols["shingle"][:-1]) & (cols["x"][1:] == cols["x"][:-1]) & (cols["y"][1:] == cols["y"][:-1])
+        group = np.concatenate([[0], np.cumsum(~same)])
+        found = list(near_in_tiles(group, cols["side"], cols["rep"], cols["comp"], cols["n"].astype(np.int64), cols["rest"], cells, num, den))
+        if found:
+            i, j = (np.concatenate(x) for x in zip(*found))
+            pair = np.unique(np.stack([np.minimum(cols["rep"][i], cols["rep"][j]), np.maximum(cols["rep"][i], cols["rep"][j])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+
+        def joined():
+            cols = {c: np.concatenate([h[c] for h in held]) for c in names}
+            return cols, np.concatenate([h["cells"] for h in held])
+
+        for b in chunks(batches, 2 << 20):
+            part = {c: b.column(c).to_numpy() for c in names}
+            part["cells"] = np.frombuffer(b"".join(b.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+            held.append(part)
+            size += b.num_rows
+            if size >= rows:
+                cols, cells = joined()
+                tail = (cols["shingle"] == cols["shingle"][-1]) & (cols["x"] == cols["x"][-1]) & (cols["y"] == cols["y"][-1])
+                cut = int(np.argmax(tail))  # the last tile may go on
+                if cut:
+                    yield from solve({c: v[:cut] for c, v in cols.items()}, cells[:cut])
+                held, size = [{**{c: v[cut:] for c, v in cols.items()}, "cells": cells[cut:]}], len(tail) - cut
+        if size:
+            yield from solve(*joined())
+
+    return run
+
+
+def _shared_enough(num: int, den: int):
+    """Rows sorted by block of a centre, the centre's sets first -> a, b: the pairs that link."""
+
+    def run(batches):
+        centre, sets = None, []
+        for b in chunks(batches, 2 << 20):
+            out: tuple[list, list] = ([], [])
+            for l, block, kind, r, h in zip(*(b.column(c).to_pylist() for c in ("l", "block", "kind", "r", "hashes"))):
+                h = np.frombuffer(h, np.uint64)
+                if (l, block) != centre:
+                    centre, sets = (l, block), []
+                if not kind:
+                    sets.append(h)
+                    continue
+                for s in sets:
+                    if not len(s) or not len(h):
+                        continue
+                    at = np.searchsorted(s, h)
+                    at[at == len(s)] = 0
+                    shared = int((s[at] == h).sum())
+                    if shared * den >= num * (len(s) + len(h) - shared):
+                        out[0].append(min(l, r))
+                        out[1].append(max(l, r))
+                        break
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     return run
 
@@ -170,24 +277,21 @@ def _sets(n: int):
 class Join:
     """One join; links() gives the components of the documents."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, order_entries: int = ORDER_ENTRIES, star_rounds: int = 6, few: int = 16):
+    def __init__(self, spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, order_entries: int = ORDER_ENTRIES, star_rounds: int = 2, few: int = 8, tile: int = 512, block: int = 256):
         self.spark, self.n, self.num, self.den = spark, n, num, den
         self.scratch = Scratch(spark, "ngram-join")
         self.docs = columns_or_null(docs, {"doc_id": "bigint", "text": "string"})
-        self.order_entries, self.star_rounds, self.few = order_entries, star_rounds, few
-
-    def least_overlap(self, a: str, b: str):
-        """ceil(num / (num + den) * (a + b)): what two sets of these sizes must share."""
-        return F.expr(f"(({a} + {b}) * {self.num}L + {self.num + self.den - 1}L) div {self.num + self.den}L")
+        self.order_entries, self.star_rounds, self.few, self.tile, self.block = order_entries, star_rounds, few, tile, block
 
-    def feasible(self, a: str, b: str):
-        """Length and positional filter for entries with columns n and rest under the names a and b."""
-        length = (F.col(f"{a}.n") * self.den >= F.col(f"{b}.n") * self.num) & (F.col(f"{b}.n") * self.den >= F.col(f"{a}.n") * self.num)
-        return length & (F.least(f"{a}.rest", f"{b}.rest") >= self.least_overlap(f"{a}.n", f"{b}.n"))
+    def feasible(self, n: str, rest: str, m: str, left: str):
+        """Length and positional filter for two entries by their sizes and what follows."""
+        length = (F.col(n) * self.den >= F.col(m) * self.num) & (F.col(m) * self.den >= F.col(n) * self.num)
+        least = F.expr(f"((bigint({n}) + {m}) * {self.num}L + {self.num + self.den - 1}L) div {self.num + self.den}L")
+        return length & (F.least(rest, left) >= least)
 
     def prepare(self) -> None:
         rows = self.scratch.save(self.docs.mapInArrow(_profiles(self.n), META), "profiles")
-        self.meta = rows.where("kind = 0").select("doc_id", "k1", "k2", "n", "cells")
+        self.meta = rows.where("kind = 0").select("doc_id", "k1", "k2", "n")
         seen = self.scratch.save(rows.where("kind = 1").groupBy("shingle").agg(F.sum("seen").alias("seen")), "seen")
         # the counts from a power of two on, as many as fit: a histogram of the powers tells which, without a sort
         powers = {r.p: r.n for r in seen.groupBy(F.floor(F.log2("seen")).alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -200,113 +304,125 @@ class Join:
         h, c = hot["shingle"].to_numpy(np.int64).view(np.uint64), hot["seen"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(h)
         self.hot = self.spark.sparkContext.broadcast(np.stack([h[by], c[by]]).tobytes())
-        self.reps = self.scratch.save(self.meta.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
+        of = rows.where("kind = 0 and n > 0 and doc_id is not null")
+        self.reps = self.scratch.save(of.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("cells").alias("cells")), "reps")
 
     def active_entries(self) -> DataFrame:
-        """shingle, rep, n, rest of the prefix entries whose n-gram is in the prefix of another set too."""
+        """shingle, rep, n, rest, cells of the prefix entries whose n-gram is in the prefix of another set too."""
         entries = self.scratch.save(self.docs.select("text").mapInArrow(_prefixes(self.n, self.num, self.den, self.hot), "shingle bigint, k1 bigint, k2 bigint, n int, rest int"), "entries")
         shared = entries.groupBy("shingle").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("shingle")
         shared = self.scratch.save(shared, "often")  # written first: a join right above an aggregate could not split a hot n-gram
-        shared = self.scratch.save(entries.join(shared, "shingle").dropDuplicates(["shingle", "k1", "k2"]), "shared")
-        self.scratch.drop(entries)
-        active = self.scratch.save(shared.join(self.reps, ["k1", "k2"]).select("shingle", "rep", "n", "rest"), "active")
-        self.scratch.drop(shared)
+        active = entries.join(shared, "shingle").join(self.reps, ["k1", "k2"]).dropDuplicates(["k1", "k2", "shingle"])
+        active = self.scratch.save(active.select("shingle", "rep", "n", "rest", "cells"), "active")
+        self.scratch.drop(entries, shared)
         return active
 
-    def prune(self, active: DataFrame) -> tuple[DataFrame, int]:
-        """Entries of classes (n-gram, size, rest) that can link to some entry of their list; how many pairs can."""
-        classes = self.scratch.save(active.groupBy("shingle", "n", "rest").agg(F.count("*").alias("c")), "classes")
-        a, b = classes.alias("a"), classes.alias("b")
-        partners = F.when((F.col("a.n") == F.col("b.n")) & (F.col("a.rest") == F.col("b.rest")), F.col("b.c") - 1).otherwise(F.col("b.c"))
-        met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & self.feasible("a", "b")).groupBy("a.shingle", "a.n", "a.rest", "a.c").agg(F.sum(partners).alias("with"))
-        met = self.scratch.save(met.where("with > 0"), "met")
-        pairs = met.agg(F.sum(F.col("c") * F.col("with"))).first()[0] or 0
-        out = self.scratch.save(active.join(met.select("shingle", "n", "rest"), ["shingle", "n", "rest"], "left_semi"), "active")
-        self.scratch.drop(classes, met)
-        return out, pairs // 2
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of the distinct pairs (a, b) of representatives, those that link."""
-        named = self.scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "named")
-        cells = self.scratch.save(self.meta.join(small(named, 16), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "n", "cells"), "cells")
-        of_a, of_b = cells.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca")), cells.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(of_a, "a").join(of_b, "b").where(apart <= F.col("na") + F.col("nb") - 2 * self.least_overlap("na", "nb"))  # suffix filter
-        near = self.scratch.save(near.select("a", "b").distinct(), "near")
-        wanted = self.scratch.save(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-        sets = self.scratch.save(self.docs.join(small(wanted, 16), "doc_id", "left_semi").mapInArrow(_sets(self.n), "rep bigint, hashes array<bigint>"), "sets")
-        sa, sb = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
-        both = F.size(F.array_intersect("ha", "hb"))
-        out = near.join(sa, "a").join(sb, "b").withColumn("i", both).where(F.col("i") * self.den >= self.num * (F.size("ha") + F.size("hb") - F.col("i")))
-        out = self.scratch.save(out.select("a", "b"), "links")
-        self.scratch.drop(named, cells, near, wanted, sets)
+        ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
+        degree = self.scratch.save(ends.groupBy("rep").agg(F.count("*").alias("d")), "degree")
+        n = degree.count()
+        wanted = degree.select(F.col("rep").alias("doc_id"))
+        sets = self.docs.join(small(wanted, 16, n), "doc_id", "left_semi").mapInArrow(_sets(self.n), "rep bigint, hashes binary")
+        sets = self.scratch.save(sets.distinct() if self.repeats else sets, "sets")
+        da, db = degree.select(F.col("rep").alias("a"), F.col("d").alias("da")), degree.select(F.col("rep").alias("b"), F.col("d").alias("db"))
+        turned = pairs.join(small(da, 24, n), "a").join(small(db, 24, n), "b")
+        up = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+        turned = turned.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("r"), F.greatest("da", "db").alias("d"))
+        block = F.pmod(F.xxhash64("r"), F.ceil(F.col("d") / self.block)).cast("int")
+        turned = self.scratch.save(turned.select("l", "r", block.alias("block")), "turned")
+        members = turned.join(sets.withColumnRenamed("rep", "r"), "r").select("l", "block", F.lit(1).alias("kind"), "r", "hashes")
+        centres = turned.select("l", "block").distinct().join(sets.withColumnRenamed("rep", "l"), "l").select("l", "block", F.lit(0).alias("kind"), F.col("l").alias("r"), "hashes")
+        both = members.unionByName(centres).repartition(partitions(self.spark), "l", "block").sortWithinPartitions("l", "block", "kind")
+        out = self.scratch.save(both.mapInArrow(_shared_enough(self.num, self.den), "a bigint, b bigint"), "links")
+        self.scratch.drop(degree, sets, turned)
         return out
 
-    def pairs_of(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Distinct pairs (left, right) of entries of one list, of different components, that pass the filters; n: lists."""
-        a, b = left.alias("a"), right.alias("b")
-        met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") != F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & self.feasible("a", "b"))
-        return met.groupBy(F.col("a.rep").alias("l"), F.col("b.rep").alias("r")).agg(F.count("*").alias("n"))
-
-    def with_comp(self, rows: DataFrame, comp: DataFrame | None, key: str, out: str) -> DataFrame:
+    def with_comp(self, rows: DataFrame, comp: DataFrame | None) -> DataFrame:
         if comp is None:
-            return rows.withColumn(out, F.col(key))
-        return rows.join(comp.select(F.col("node").alias(key), F.col("comp").alias("_c")), key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
+            return rows.withColumn("comp", F.col("rep"))
+        return rows.join(small(comp.select(F.col("node").alias("rep"), F.col("comp").alias("_c")), 24), "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
+
+    def star_pairs(self, active: DataFrame, comp: DataFrame | None, r: int) -> DataFrame | None:
+        """a, b: each document of a long open list with one centre of such a list; None without such lists."""
+        rank = F.expr("(bigint(rest) << 32) | (xxhash64(rep) & 4294967295L)") if r == 0 else F.xxhash64("rep", F.lit(r))
+        open_ = self.with_comp(active.select("shingle", "rep", "n", "rest"), comp)
+        lists = open_.groupBy("shingle").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct(rank.alias("k"), "rep", "n", "rest", "comp")).alias("top"))
+        lists = lists.where((F.col("m") > self.few) & (F.col("lo") < F.col("hi"))).select("shingle", F.col("top.rep").alias("l"), F.col("top.n").alias("m"), F.col("top.rest").alias("left"), F.col("top.comp").alias("cl"))
+        lists = self.scratch.save(lists, "lists")
+        n = lists.count()
+        if not n:
+            return None
+        met = open_.join(small(lists, 48, n), "shingle").where((F.col("cl") != F.col("comp")) & self.feasible("n", "rest", "m", "left"))
+        best = met.groupBy("rep", "l").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("l", F.struct("c", "l")).alias("l"))
+        return best.select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b")).distinct()
+
+    def tile_pairs(self, active: DataFrame, comp: DataFrame | None) -> DataFrame | None:
+        """a, b: the distinct pairs of different components that pass the filters, from tiles of all open lists."""
+        own = self.with_comp(active.select("shingle", "rep"), comp).groupBy("shingle", "comp").agg(F.count("*").alias("c"))
+        lists = own.groupBy("shingle").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("c")).where("k > 1")
+        blocks = lambda x: F.ceil(x / self.tile).cast("int")
+        whole = F.col("m") <= self.tile
+        lists = lists.select("shingle", F.when(~whole, F.col("major")).alias("major"), F.when(whole, 1).otherwise(blocks(F.col("m") - F.col("c"))).alias("others"), F.when(whole, 0).otherwise(blocks(F.col("c"))).alias("majors"))
+        lists = self.scratch.save(lists, "open")
+        n = lists.count()
+        if not n:
+            return None
+        rows = self.with_comp(active, comp).join(small(lists, 32, n), "shingle")
+        rows = rows.withColumn("own", F.coalesce(F.col("comp") == F.col("major"), F.lit(False)))
+        block = F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("majors")).otherwise(F.col("others"))).cast("int")
+        # blocks of the largest component follow those of the others; a block of the others meets all blocks
+        rows = rows.withColumn("block", F.when(F.col("own"), F.col("others")).otherwise(0) + block)
+        meets = F.when(F.col("own"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("majors") - 1))
+        rows = rows.select("shingle", "rep", "comp", "n", "rest", "cells", "block", F.explode(meets).alias("other"))
+        # inside a tile of two blocks only pairs across count: each block is a side there, and has its own tile too
+        x, y = F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")
+        rows = rows.select("shingle", x, y, F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), "rep", "comp", "n", "rest", "cells")
+        rows = rows.repartition(partitions(self.spark), "shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+        return rows.mapInArrow(_tile_pairs(self.num, self.den), "a bigint, b bigint").distinct()
+
+    def key_edges(self) -> DataFrame | None:
+        """doc_id, rep of the rows whose key has rows of different sets; None where there are none."""
+        rows = self.meta.where("doc_id is not null").join(self.reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").select("doc_id", "rep")
+        many = self.meta.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.count_distinct("k1").alias("k")).where("c > 1")
+        many = self.scratch.save(many, "repeats")
+        self.repeats = not many.isEmpty()
+        return rows.join(small(many.select("doc_id"), 16), "doc_id", "left_semi").where("rep is not null").distinct() if self.repeats else None
 
     def links(self) -> DataFrame | None:
-        """node, comp of the representatives that link with another."""
+        """node, comp of the keys and representatives that are linked with another."""
         self.prepare()
-        active, left = self.prune(self.active_entries())
-        done, found, comp = None, None, None
-
-        def verify(pairs: DataFrame) -> None:
-            nonlocal done, found, comp
-            ordered = pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
-            if done is not None:
-                ordered = ordered.join(done, ["a", "b"], "left_anti")
-            ordered = self.scratch.save(ordered, "fresh")
-            new = self.verified(ordered)
-            done = ordered if done is None else done.unionByName(ordered)
-            found = new if found is None else found.unionByName(new)
-            comp = components(self.scratch, found)
-
-        for r in range(self.star_rounds + 1 if left else 0):
-            active = self.with_comp(active.select("shingle", "rep", "n", "rest"), comp, "rep", "comp")
-            rank = F.expr("(bigint(rest) << 32) | (xxhash64(rep) & 4294967295L)")
-            own = active.groupBy("shingle", "comp").agg(F.count("*").alias("c"), F.max(rank).alias("top"))
-            lists = own.groupBy("shingle").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max("top").alias("top")).where("m * m > q")
-            lists = self.scratch.save(lists, "lists")
-            entries, across = lists.agg(F.sum("m"), F.sum(F.expr("(m * m - q) div 2"))).first()
-            if not entries:
-                break
-            left = min(left, across)  # pairs of entries of different components
-            active = self.scratch.save(active.join(lists.select("shingle", "top"), "shingle"), "open")
-            if r == self.star_rounds or left <= self.few * entries:
-                half = active.select("shingle", "rep", "n", "rest", "comp")
-                pairs, last = self.pairs_of(half, half).where("l < r"), True
-            else:
-                pairs, last = self.pairs_of(active.where(rank == F.col("top")), active), False
+        tied = self.key_edges()
+        found = [] if tied is None else [self.scratch.save(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "tied")]
+        active, tried, comp = self.active_entries(), None, None
+        for r in range(self.star_rounds + 1):
+            pairs = self.star_pairs(active, comp, r) if r < self.star_rounds else self.tile_pairs(active, comp)
+            if pairs is None:
+                continue
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = self.scratch.save(pairs, "pairs")
-            best = pairs.groupBy("r").agg(F.max(F.struct("n", F.col("l"))).alias("b")).select(F.col("b.l").alias("l"), "r")
-            verify(best)
-            pairs = self.with_comp(self.with_comp(pairs, comp, "l", "cl"), comp, "r", "cr").where("cl <> cr")
-            pairs = self.scratch.save(pairs.select("l", "r"), "others")
-            if not pairs.isEmpty():
-                verify(pairs)
-            if last:
-                break
-            active = active.where(rank != F.col("top"))
-        return comp
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            found.append(self.verified(pairs))
+            comp = self.joined(found)
+        self.scratch.drop(active)
+        return self.joined(found) if comp is None and found else comp
+
+    def joined(self, found: list[DataFrame]) -> DataFrame:
+        edges = found[0]
+        for f in found[1:]:
+            edges = edges.unionByName(f)
+        return components(self.scratch, edges)
 
 
 def ngram_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, **how) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text); links: share of union >= num / den."""
     join = Join(spark, docs, n, num, den, **how)
     comp = join.links()
-    rows = join.meta.join(join.reps, ["k1", "k2"], "left")
+    rows = join.meta.join(join.reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
     if comp is not None:
-        rows = rows.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("rep", F.coalesce("comp", "rep"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+        rows = rows.join(comp.select("node", "comp"), "node", "left").withColumn("node", F.coalesce("comp", "node"))
+    own = F.when(F.col("doc_id").isNotNull(), F.col("node"))
     return rows.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), own.alias("component_id"))
 
 

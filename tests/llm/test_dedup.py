@@ -63,7 +63,7 @@ def brute_components(texts, k, num, den):
     return [len(s) for s in sets], roots(len(sets), links)
 
 
-@pytest.mark.parametrize("k, num, how", [(3, 90, {}), (5, 80, {}), (3, 90, {"few": 0, "order_entries": 3}), (3, 90, {"star_rounds": 0})])
+@pytest.mark.parametrize("k, num, how", [(3, 90, {}), (5, 80, {}), (3, 90, {"few": 0, "order_entries": 3}), (3, 90, {"star_rounds": 0}), (3, 70, {"tile": 5, "block": 3}), (3, 90, {"star_rounds": 0, "tile": 4, "order_entries": 0})])
 def test_ngram_join_equals_brute_force(spark, k, num, how):
     texts = texts_with_copies()
     n, root = brute_components(texts, k, num, 100)
@@ -81,6 +81,21 @@ def test_ngram_join_edges(spark):
     assert sorted(r.doc_id or 0 for r in keep_one(spark, rows).collect()) == [0, 2]
 
 
+def test_ngram_join_ties_rows_that_share_a_key(spark):
+    a, b, c = "a b c d e", "p q r s t", "x y z"
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (8, c), (8, None), (6, c), (1, "k")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(spark, rows).collect())
+    assert got == [(1, 1, 1), (3, 3, 3), (5, 3, 3), (5, 3, 3), (6, 1, 6), (7, 3, 3), (8, 0, 6), (8, 1, 6)]
+    assert sorted(r.doc_id for r in keep_one(spark, rows).collect()) == [1, 3, 6]
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    rng = random.Random(8)
+    w = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    rows = spark.createDataFrame([(9, " ".join(w)), (4, " ".join([*w[:70_000], "one", "two", *w[70_000:]])), (2, " ".join(w[:100_000]))], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in ngram_components(spark, rows).collect()} == {9: 4, 4: 4, 2: 2}
+
+
 @pytest.mark.parametrize("forest_edges", [10**6, 0])
 def test_components(spark, forest_edges):
     rng = random.Random(2)
