@@ -18,7 +18,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeat_digests
 
-    return repeat_digests(spark, table(spark, sf_dir, "documents"), length=400)
+    return repeat_digests(spark, table(spark, sf_dir, "documents"), length=400, passage=200)
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,16 +93,18 @@ l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT n_shingles, min(r.at) component_id FROM documents d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
     "op2_suffix_dedup": """
-WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) x FROM documents),
-p AS (SELECT doc_id, unnest(range(0, len(x) // 2 - 399)) i FROM h WHERE len(x) >= 800),
-k AS (SELECT p.doc_id, i, md5(substring(x, 2 * i + 1, 800)) m FROM p JOIN h USING (doc_id)),
-m AS (SELECT m FROM k GROUP BY 1 HAVING count(*) > 1), c AS (SELECT doc_id, i FROM k JOIN m USING (m)),
-e AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true)::INT new FROM c),
-g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) g FROM e),
-r AS (SELECT doc_id, g, min(i) lo, max(i) + 400 hi FROM g GROUP BY 1, 2),
-q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) after, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) nxt FROM r),
-t AS (SELECT doc_id, string_agg(substring(x, 2 * after + 1, 2 * (lo - after)) || CASE WHEN nxt IS NULL THEN substring(x, 2 * hi + 1) ELSE '' END, '' ORDER BY lo) kept, sum(hi - lo)::BIGINT gone, count(*) n FROM q JOIN h USING (doc_id) GROUP BY 1)
-SELECT doc_id, (len(x) // 2)::BIGINT n_bytes, coalesce(gone, 0)::BIGINT n_removed, coalesce(n, 0)::BIGINT n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256 FROM h LEFT JOIN t USING (doc_id)""",
+WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) x FROM documents), z AS (SELECT unnest([200, 400]) z),
+p AS (SELECT doc_id, z, unnest(range(0, len(x) // 2 - z + 1)) i FROM h, z WHERE len(x) >= 2 * z),
+k AS (SELECT p.doc_id, z, i, md5(substring(x, 2 * i + 1, 2 * z)) m FROM p JOIN h USING (doc_id)),
+m AS (SELECT z, m FROM k GROUP BY 1, 2 HAVING count(*) > 1), c AS (SELECT doc_id, z, i FROM k JOIN m USING (z, m)),
+e AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id, z ORDER BY i) + z, true)::INT new FROM c),
+g AS (SELECT doc_id, z, i, sum(new) OVER (PARTITION BY doc_id, z ORDER BY i) g FROM e),
+r AS (SELECT doc_id, z, g, min(i) lo, max(i) + z hi FROM g GROUP BY 1, 2, 3),
+q AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) after, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) nxt FROM r WHERE z = 400),
+t AS (SELECT doc_id, string_agg(substring(x, 2 * after + 1, 2 * (lo - after)) || CASE WHEN nxt IS NULL THEN substring(x, 2 * hi + 1) ELSE '' END, '' ORDER BY lo) kept, sum(hi - lo)::BIGINT gone, count(*) n FROM q JOIN h USING (doc_id) GROUP BY 1),
+s AS (SELECT doc_id, sum(hi - lo)::BIGINT b, count(*) n FROM r WHERE z = 200 GROUP BY 1)
+SELECT doc_id, (len(x) // 2)::BIGINT n_bytes, coalesce(gone, 0)::BIGINT n_removed, coalesce(t.n, 0)::BIGINT n_spans, sha256(unhex(coalesce(kept, x))) kept_sha256,
+ coalesce(b, 0)::BIGINT passage_bytes, coalesce(s.n, 0)::BIGINT passage_spans, b IS NOT NULL repeats_passage FROM h LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)""",
     "op6_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND list_dot_product(e, e) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),

@@ -131,6 +131,26 @@ def test_suffix_dedup_equals_brute_force(spark, length, how):
     assert sum(0 < w[1] < w[0] for w in want) > 3
 
 
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 2000, "bucket_suffixes": 50}, {"hot_contexts": 1}, {"hot_contexts": 2}])
+def test_two_lengths_in_one_sort(spark, how):
+    texts = texts_with_copies()
+    texts += [texts[20] * 3, (texts[25] or "")[:150] + texts[30] + (texts[25] or "")[150:], texts[12][:260], texts[12][:205], texts[12][5:300]]
+    want, passage = brute_repeats(texts, 250), brute_repeats(texts, 140)
+    got = {r.doc_id: r for r in repeat_digests(spark, frame(spark, texts), length=250, passage=140, **how).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == dict(enumerate(want))
+    assert {i: (r.passage_bytes, r.passage_spans, r.repeats_passage) for i, r in got.items()} == {i: (w[1], w[2], w[1] > 0) for i, w in enumerate(passage)}
+    assert sum(w[1] < p[1] for w, p in zip(want, passage)) > 3
+
+
+def test_suffix_dedup_of_texts_longer_than_a_piece(spark):
+    rng = random.Random(6)
+    long_ = "".join(rng.choice("abcdefgh ") for _ in range(1_300_000))
+    part = long_[1 << 19 : (1 << 19) + 3000]
+    texts = [long_, "x" + part[:700] + "y", long_[:1000] + "z", part * 2]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_digests(spark, frame(spark, texts), length=400).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 400)))
+
+
 def test_suffix_dedup_edges(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert repeat_digests(spark, empty).count() == 0
