@@ -12,9 +12,10 @@ of the first n - ceil(num/den * n) + 1 of each; so only these prefixes are index
 * A prefix entry carries the set's size and how much of the set follows it. Length filter: sizes within num/den.
   Positional filter: what follows in both must suffice for the overlap. Suffix filter: the sets' counts over 64
   cells of the hash range (up to 255 each) bound their difference from below.
-* An n-gram's list of a group of near copies would give all their pairs. So first, for ``star_rounds`` rounds, one
-  centre of each list of more than ``few`` entries is verified against the others, one centre a document; found links
-  join components, and pairs inside one component need no further look. A round makes no more pairs than documents.
+* An n-gram's list of a group of near copies would give all their pairs. So first one centre of each list of more
+  than ``few`` entries is verified against the others, one centre a document; found links join components, and pairs
+  inside one component need no further look. A round makes no more pairs than documents; another one, with other
+  centres, follows while half of the pairs link (``star_rounds`` at most).
 * Then all lists that still hold several components are dealt in tiles of ``tile`` by ``tile`` entries; entries of
   a long list's largest component meet only the others. The three filters run inside the tile, and only pairs that
   pass all of them leave it. Nothing is left out.
@@ -277,7 +278,7 @@ def _shared_enough(num: int, den: int):
 class Join:
     """One join; links() gives the components of the documents."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, order_entries: int = ORDER_ENTRIES, star_rounds: int = 2, few: int = 8, tile: int = 512, block: int = 256):
+    def __init__(self, spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, order_entries: int = ORDER_ENTRIES, star_rounds: int = 6, few: int = 8, tile: int = 512, block: int = 256):
         self.spark, self.n, self.num, self.den = spark, n, num, den
         self.scratch = Scratch(spark, "ngram-join")
         self.docs = columns_or_null(docs, {"doc_id": "bigint", "text": "string"})
@@ -317,25 +318,23 @@ class Join:
         self.scratch.drop(entries, shared)
         return active
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, n_pairs: int) -> DataFrame:
         """Of the distinct pairs (a, b) of representatives, those that link."""
         ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-        degree = self.scratch.save(ends.groupBy("rep").agg(F.count("*").alias("d")), "degree")
-        n = degree.count()
-        wanted = degree.select(F.col("rep").alias("doc_id"))
-        sets = self.docs.join(small(wanted, 16, n), "doc_id", "left_semi").mapInArrow(_sets(self.n), "rep bigint, hashes binary")
-        sets = self.scratch.save(sets.distinct() if self.repeats else sets, "sets")
-        da, db = degree.select(F.col("rep").alias("a"), F.col("d").alias("da")), degree.select(F.col("rep").alias("b"), F.col("d").alias("db"))
-        turned = pairs.join(small(da, 24, n), "a").join(small(db, 24, n), "b")
+        degree = ends.groupBy("rep").agg(F.count("*").alias("d"))
+        turned = pairs.join(degree.select(F.col("rep").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("rep").alias("b"), F.col("d").alias("db")), "b")
         up = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
         turned = turned.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("r"), F.greatest("da", "db").alias("d"))
         block = F.pmod(F.xxhash64("r"), F.ceil(F.col("d") / self.block)).cast("int")
         turned = self.scratch.save(turned.select("l", "r", block.alias("block")), "turned")
+        wanted = ends.select(F.col("rep").alias("doc_id")).distinct()
+        sets = self.docs.join(small(wanted, 16, 2 * n_pairs), "doc_id", "left_semi").mapInArrow(_sets(self.n), "rep bigint, hashes binary")
+        sets = self.scratch.save(sets.distinct() if self.repeats else sets, "sets")
         members = turned.join(sets.withColumnRenamed("rep", "r"), "r").select("l", "block", F.lit(1).alias("kind"), "r", "hashes")
         centres = turned.select("l", "block").distinct().join(sets.withColumnRenamed("rep", "l"), "l").select("l", "block", F.lit(0).alias("kind"), F.col("l").alias("r"), "hashes")
         both = members.unionByName(centres).repartition(partitions(self.spark), "l", "block").sortWithinPartitions("l", "block", "kind")
         out = self.scratch.save(both.mapInArrow(_shared_enough(self.num, self.den), "a bigint, b bigint"), "links")
-        self.scratch.drop(degree, sets, turned)
+        self.scratch.drop(sets, turned)
         return out
 
     def with_comp(self, rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -395,16 +394,25 @@ class Join:
         tied = self.key_edges()
         found = [] if tied is None else [self.scratch.save(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "tied")]
         active, tried, comp = self.active_entries(), None, None
-        for r in range(self.star_rounds + 1):
-            pairs = self.star_pairs(active, comp, r) if r < self.star_rounds else self.tile_pairs(active, comp)
+
+        def verify(pairs: DataFrame | None) -> float:
+            """The share of pairs that link."""
+            nonlocal tried, comp
             if pairs is None:
-                continue
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = self.scratch.save(pairs, "pairs")
+                return 0.0
+            pairs = self.scratch.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            n = pairs.count()
+            if not n:
+                return 0.0
             tried = pairs if tried is None else tried.unionByName(pairs)
-            found.append(self.verified(pairs))
+            found.append(self.verified(pairs, n))
             comp = self.joined(found)
+            return found[-1].count() / n
+
+        for r in range(self.star_rounds):
+            if verify(self.star_pairs(active, comp, r)) < 0.5:
+                break
+        verify(self.tile_pairs(active, comp))
         self.scratch.drop(active)
         return self.joined(found) if comp is None and found else comp
 
