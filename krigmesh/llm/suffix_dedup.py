@@ -4,9 +4,10 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 Such strings are windows; two equal windows are two suffixes whose common prefix reaches ``length``, neighbours in
 the suffix array. The array of a whole corpus fits no machine, so it is built where suffixes can meet at all:
 
-1. Every window owns an anchor, the place inside it whose 2**j-byte gram has the least hash (for 400 bytes, grams of
+1. Every window owns an anchor, the place inside it whose 2**j-byte gram has the least hash (for 200 bytes, grams of
    64; the first of equals). Equal windows own equal grams at the same offset. The windows of one anchor follow one
-   another; with the bytes that they cover they are a context, about 570 bytes, one for about every 170.
+   another; with the bytes that they cover they are a context, about 270 bytes, one for about every 70. Longer grams
+   make fewer chance meetings, shorter ones fewer contexts.
 2. Anchors whose gram occurs once own no repeated window. Where all contexts of a gram are equal, every window is
    repeated. Both are settled by counts that are pre-aggregated in every task. Only the different contexts of the
    other grams, each once however often it occurs, go on.
@@ -50,7 +51,7 @@ class Anchors:
 
     def __init__(self, length: int):
         self.length = length
-        self.gram = 1 << max(2, (length // 4).bit_length() - 1)
+        self.gram = 1 << max(2, (length // 3).bit_length() - 1)
         self.span = length - self.gram + 1
         seed = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         seed ^= seed >> np.uint64(31)
@@ -219,11 +220,12 @@ def _split_rows(length: int, longest: int):
     return run
 
 
-def big_endian(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place as one integer that sorts like them."""
-    out = np.zeros(len(at), np.uint64)
+def big_endian(text: np.ndarray) -> np.ndarray:
+    """At each place the 8 bytes from there (nought behind the end) as one integer that sorts like them."""
+    out = np.zeros(len(text), np.uint64)
     for i in range(8):
-        out = (out << np.uint64(8)) | text[at + i].astype(np.uint64)
+        out <<= np.uint64(8)
+        out[: len(text) - i] |= text[i:]
     return out
 
 
@@ -242,17 +244,15 @@ def dense(keys: list[np.ndarray]) -> np.ndarray:
 class SampleRanks:
     """Ranks of the cover's sample suffixes of a text by their first `reach` bytes (prefix doubling over the period).
 
-    reach is `need` or little more, as a rank must not look past the window that it stands for.
+    words: the text's big_endian, with room behind its n bytes; reach is `need` or little more, as a rank must not look past the window that it stands for.
     """
 
-    def __init__(self, text: np.ndarray, need: int):
-        n = len(text)
-        padded = np.concatenate([text, np.zeros(PERIOD * 2 + need, np.uint8)])
+    def __init__(self, words: np.ndarray, n: int, need: int):
         place = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
         self.place = place[place < n]
         m, width = len(self.place), len(COVER)
         self.reach = need if need < 2 * PERIOD else 32
-        rank = dense([big_endian(padded, self.place + x) for x in [*range(0, self.reach - 8, 8), self.reach - 8]])
+        rank = dense([words[self.place + x] for x in [*range(0, self.reach - 8, 8), self.reach - 8]])
         while self.reach < need:
             step = min(self.reach // PERIOD, -(-(need - self.reach) // PERIOD))  # periods
             behind = np.zeros(m, np.int64)  # the sample suffix `step` periods on is `step * width` rows on
@@ -285,20 +285,19 @@ def repeated_windows(bodies: list[bytes], offs: list[int], wins: list[int], gram
         parts += [bytes(gap), b]
         starts[i] = at + gap
         at += gap + len(b)
-    text = np.frombuffer(b"".join(parts), np.uint8)
-    ranks = SampleRanks(text, -(-length // 2))  # two of them, the second ending near the window's end, leave no gap
-    padded = np.concatenate([text, np.zeros(2 * PERIOD + 64, np.uint8)])
+    words = big_endian(np.frombuffer(b"".join([*parts, bytes(2 * PERIOD + 64)]), np.uint8))
+    ranks = SampleRanks(words, at, -(-length // 2))  # two of them, the second ending near the window's end, leave no gap
     ahead = np.array([min((d - r) % PERIOD for d in COVER) for r in range(PERIOD)])  # to the next place of the cover
     last = length - ranks.reach  # the second sample suffix starts here at the latest
 
-    def keys_at(place):
-        """The first 8 bytes of windows and the ranks of the two sample suffixes that cover them."""
+    def ranks_at(place):
+        """The two sample suffixes that cover windows, but for a few bytes before the first and behind the second."""
         d2 = last - (PERIOD - 1) + ahead[(place + last - (PERIOD - 1)) % PERIOD]
-        return [big_endian(padded, place), ranks.of(place + ahead[place % PERIOD]), ranks.of(place + d2)]
+        return ranks.of(place + ahead[place % PERIOD]), ranks.of(place + d2)
 
     def edges_at(place):
-        """The bytes before the first sample suffix and behind the second."""
-        return [big_endian(padded, place + x) for x in (8, 16, 24, length - 32, length - 24, length - 16, length - 8)]
+        """Those bytes, and the first ones."""
+        return [words[place + x] for x in (0, 8, 16, 24, length - 32, length - 24, length - 16, length - 8)]
 
     wins = np.asarray(wins, np.int64)
     total, offs = np.cumsum(wins), np.asarray(offs, np.int64)
@@ -314,31 +313,23 @@ def repeated_windows(bodies: list[bytes], offs: list[int], wins: list[int], gram
         place = starts[own] + k
         back = offs[own] - k  # bytes from the window to its anchor; may be that of the gram's start
         new_gram = np.concatenate([[False], gram[lo + 1 : hi] != gram[lo : hi - 1]])
-        keys = [np.cumsum(new_gram)[own - lo] * (2 * length) + back, *keys_at(place)]
-        by = np.lexsort(keys[::-1])
-        same = np.ones(len(by), bool)
-        same[0] = False
-        for key in keys:
-            s = key[by]
-            same[1:] &= s[1:] == s[:-1]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        rows = by[tied]
+        bucket = np.cumsum(new_gram)[own - lo] * (2 * length) + back
+        # by gram, offset and first bytes; then ties alone by their ranks
+        bits = np.uint64(int(bucket.max(initial=0)).bit_length())
+        rows, group = tied_rows(bucket.astype(np.uint64) << np.uint64(64 - bits) | words[place] >> bits if bits else words[place])
         if len(rows):
-            group = np.cumsum(~same)[tied]
+            rows, group = tied_again(rows, group, *ranks_at(place[rows]))
             group = split_ties(group, edges_at(place[rows]))
             hit = np.zeros(len(own), bool)
-            again = np.bincount(group) > 1
-            hit[rows[again[group]]] = True
+            hit[rows[(np.bincount(group) > 1)[group]] if len(rows) else rows] = True
             for i in np.unique(own[hit] - lo).tolist():
                 out[lo + i] = hit[base[i] : base[i + 1]]
             if longer:
                 fits = hit[rows] & (k[rows] + longer <= sizes[own[rows]])
                 rows, group = rows[fits], group[fits]
-                together = np.argsort(group, kind="stable")
-                rows, group = rows[together], group[together]
                 tail = place[rows] + longer - length  # equal here and from here on: equal throughout
-                group = split_ties(group, [*keys_at(tail), *edges_at(tail)])
+                rows, group = tied_again(rows, group, *ranks_at(tail))
+                group = split_ties(group, edges_at(place[rows] + longer - length))
                 hit = np.zeros(len(own), bool)
                 hit[rows[(np.bincount(group) > 1)[group]] if len(rows) else rows] = True
                 for i in np.unique(own[hit] - lo).tolist():
@@ -347,6 +338,30 @@ def repeated_windows(bodies: list[bytes], offs: list[int], wins: list[int], gram
     return out, out_longer
 
 
+def tied_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of values that occur again, equal ones together, and the number of each one's group."""
+    by = np.argsort(key)
+    s = key[by]
+    same = np.concatenate([[False], s[1:] == s[:-1]])
+    tied = same.copy()
+    tied[:-1] |= same[1:]
+    return by[tied], np.cumsum(~same[tied]) - 1
+
+
+def tied_again(rows: np.ndarray, group: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose group and both ranks some other row has too, and the new groups."""
+    if not len(rows):
+        return rows, group
+    wide = int(max(r1.max(), r2.max())).bit_length()
+    if int(group.max()).bit_length() + 2 * wide > 63:
+        group, wide = dense([group, r1]), int(r2.max()).bit_length()
+        key = group << wide | r2
+    else:
+        key = (group << wide | r1) << wide | r2
+    again, group = tied_rows(key)
+    return rows[again], group
+
+
 def split_ties(group: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     """Groups of rows (equal numbers must lie together) by further keys; only groups that differ inside are ranked anew."""
     if not len(group):
@@ -382,9 +397,9 @@ def _sorted_blocks(length: int, longer: int, block_bytes: int, bucket_suffixes:
         cols: tuple[list, ...] = ([], [], [], [], [])
         for (g, ctx, _, _, n, _), *flags in zip(held, short, long_):
             for longer_too, f in enumerate(flags):
-                if not len(f):
+                if not len(f) or n == 1 and not f.any():
                     continue
-                lo, hi = ([0], [len(f) - 1]) if n > 1 else map(np.ndarray.tolist, _spans(f))
+                lo, hi = ([0], [len(f) - 1]) if n > 1 or f.all() else map(np.ndarray.tolist, _spans(f))
                 for col, v in zip(cols, ([g] * len(lo), [ctx] * len(lo), [bool(longer_too)] * len(lo), lo, hi)):
                     col += v
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
