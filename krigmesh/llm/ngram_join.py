@@ -16,7 +16,7 @@ of the first n - ceil(num/den * n) + 1 of each; so only these prefixes are index
   than ``few`` entries is verified against the others, one centre a document; found links join components, and pairs
   inside one component need no further look. A round makes no more pairs than documents; another one, with other
   centres, follows while half of the pairs link (``star_rounds`` at most).
-* Then all lists that still hold several components are dealt in tiles of ``tile`` by ``tile`` entries; entries of
+* Then the lists are dealt in tiles of ``tile`` by ``tile`` entries; entries of
   a long list's largest component meet only the others. The three filters run inside the tile, and only pairs that
   pass all of them leave it. Nothing is left out.
 * Each distinct pair is verified once, on the full sets, which are made only for documents in such pairs. The end
@@ -328,7 +328,7 @@ class Join:
         block = F.pmod(F.xxhash64("r"), F.ceil(F.col("d") / self.block)).cast("int")
         turned = self.scratch.save(turned.select("l", "r", block.alias("block")), "turned")
         wanted = ends.select(F.col("rep").alias("doc_id")).distinct()
-        sets = self.docs.join(small(wanted, 16, 2 * n_pairs), "doc_id", "left_semi").mapInArrow(_sets(self.n), "rep bigint, hashes binary")
+        sets = self.docs.join(small(wanted, 64, 2 * n_pairs), "doc_id", "left_semi").mapInArrow(_sets(self.n), "rep bigint, hashes binary")
         sets = self.scratch.save(sets.distinct() if self.repeats else sets, "sets")
         members = turned.join(sets.withColumnRenamed("rep", "r"), "r").select("l", "block", F.lit(1).alias("kind"), "r", "hashes")
         centres = turned.select("l", "block").distinct().join(sets.withColumnRenamed("rep", "l"), "l").select("l", "block", F.lit(0).alias("kind"), F.col("l").alias("r"), "hashes")
@@ -340,7 +340,7 @@ class Join:
     def with_comp(self, rows: DataFrame, comp: DataFrame | None) -> DataFrame:
         if comp is None:
             return rows.withColumn("comp", F.col("rep"))
-        return rows.join(small(comp.select(F.col("node").alias("rep"), F.col("comp").alias("_c")), 24), "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
+        return rows.join(small(comp.select(F.col("node").alias("rep"), F.col("comp").alias("_c")), 64), "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
 
     def star_pairs(self, active: DataFrame, comp: DataFrame | None, r: int) -> DataFrame | None:
         """a, b: each document of a long open list with one centre of such a list; None without such lists."""
@@ -352,22 +352,21 @@ class Join:
         n = lists.count()
         if not n:
             return None
-        met = open_.join(small(lists, 48, n), "shingle").where((F.col("cl") != F.col("comp")) & self.feasible("n", "rest", "m", "left"))
+        met = open_.join(small(lists, 128, n), "shingle").where((F.col("cl") != F.col("comp")) & self.feasible("n", "rest", "m", "left"))
         best = met.groupBy("rep", "l").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("l", F.struct("c", "l")).alias("l"))
         return best.select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b")).distinct()
 
-    def tile_pairs(self, active: DataFrame, comp: DataFrame | None) -> DataFrame | None:
-        """a, b: the distinct pairs of different components that pass the filters, from tiles of all open lists."""
+    def tile_pairs(self, active: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """a, b: the distinct pairs of different components that pass the filters, from tiles of all lists.
+
+        Only lists longer than a tile need to be told apart: those of one component go, the others are split.
+        """
         own = self.with_comp(active.select("shingle", "rep"), comp).groupBy("shingle", "comp").agg(F.count("*").alias("c"))
-        lists = own.groupBy("shingle").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("c")).where("k > 1")
+        lists = own.groupBy("shingle").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.max("c").alias("c")).where(F.col("m") > self.tile)
         blocks = lambda x: F.ceil(x / self.tile).cast("int")
-        whole = F.col("m") <= self.tile
-        lists = lists.select("shingle", F.when(~whole, F.col("major")).alias("major"), F.when(whole, 1).otherwise(blocks(F.col("m") - F.col("c"))).alias("others"), F.when(whole, 0).otherwise(blocks(F.col("c"))).alias("majors"))
-        lists = self.scratch.save(lists, "open")
-        n = lists.count()
-        if not n:
-            return None
-        rows = self.with_comp(active, comp).join(small(lists, 32, n), "shingle")
+        lists = self.scratch.save(lists.select("shingle", "k", "major", blocks(F.col("m") - F.col("c")).alias("others"), blocks(F.col("c")).alias("majors")), "long")
+        rows = self.with_comp(active, comp).join(small(lists, 96), "shingle", "left").where("k is null or k > 1")
+        rows = rows.withColumns({"others": F.coalesce("others", F.lit(1)), "majors": F.coalesce("majors", F.lit(0))})
         rows = rows.withColumn("own", F.coalesce(F.col("comp") == F.col("major"), F.lit(False)))
         block = F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("majors")).otherwise(F.col("others"))).cast("int")
         # blocks of the largest component follow those of the others; a block of the others meets all blocks
@@ -395,11 +394,9 @@ class Join:
         found = [] if tied is None else [self.scratch.save(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "tied")]
         active, tried, comp = self.active_entries(), None, None
 
-        def verify(pairs: DataFrame | None) -> float:
+        def verify(pairs: DataFrame) -> float:
             """The share of pairs that link."""
             nonlocal tried, comp
-            if pairs is None:
-                return 0.0
             pairs = self.scratch.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
             n = pairs.count()
             if not n:
@@ -410,7 +407,8 @@ class Join:
             return found[-1].count() / n
 
         for r in range(self.star_rounds):
-            if verify(self.star_pairs(active, comp, r)) < 0.5:
+            pairs = self.star_pairs(active, comp, r)
+            if pairs is None or verify(pairs) < 0.5:
                 break
         verify(self.tile_pairs(active, comp))
         self.scratch.drop(active)
