@@ -3,9 +3,9 @@
 A text's features are the distinct character n-grams (3 to 5 characters, lower case, a blank at either end), hashed
 to 2**20 places. Over all labelled training rows, each place gets its log-count ratio
 r = log((toxic rows with it + 1) / (toxic rows + 2)) - log((other rows with it + 1) / (other rows + 2)). The places
-whose ratio is furthest from 0 in standard errors carry the model (at most ``features``); a row's feature value is
-the ratio, and a logistic regression with weight decay learns a weight for each. Presence, not frequency, is the
-feature, so a few telling words weigh the same in a long text.
+whose ratio is at least ``least_z`` standard errors from 0 carry the model (the furthest ``features`` of them, so that
+its size is bounded); a row's feature value is the ratio, and a logistic regression with weight decay learns a weight
+for each. Presence, not frequency, is the feature, so a few telling words weigh the same in a long text.
 
 The log-count ratios cover every labelled training row. The regression is fitted on at most ``max_train`` of them,
 those whose labels have the smallest hash of the key (a documented bound; the driver sees their selected features only).
@@ -31,6 +31,8 @@ from .tokens import chunks, forget
 
 BITS = 20
 ORDERS = (3, 4, 5)
+#: Bytes of text that are hashed at a time; the arrays of hashes take about 20 times as much.
+SLICE = 1 << 19
 
 
 def held_out(key: str = "doc_id"):
@@ -76,7 +78,7 @@ def _counts(batches):
     """Rows with each place, by label, over all rows of a task: one row for each place that it has seen."""
     forget()
     n, mark = np.zeros((2, 1 << BITS), np.int64), Marker()
-    for b in chunks(batches):
+    for b in chunks(batches, SLICE):
         hashes, at = hashed_ngrams(b.column("text").to_pylist())
         for i, y in enumerate(b.column("toxic").to_pylist()):
             n[y, mark.distinct(spans_of(hashes, int(at[i]), int(at[i + 1])))] += 1
@@ -92,7 +94,7 @@ def _selected(place: np.ndarray):
     def run(batches):
         table = np.zeros(1 << BITS, np.int32)
         table[place] = np.arange(1, len(place) + 1)
-        for b in chunks(batches):
+        for b in chunks(batches, SLICE):
             hashes, at = hashed_ngrams(b.column("text").to_pylist())
             mapped, out = [table[h] for h in hashes], []
             for i in range(b.num_rows):
@@ -181,7 +183,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 8192, max_train: int = 10_000, decay: float = 1e-6, tolerance: float = 0.01, rounds: int = 1000) -> Model:
+def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int = 65_535, least_z: float = 3.0, max_train: int = 20_000, decay: float = 1e-6, tolerance: float = 0.01, rounds: int = 1000) -> Model:
     """rows: doc_id, text; own: one label (doc_id, toxic) of each training key."""
     labelled = rows.join(small(own, 16), "doc_id").select("doc_id", "text", "toxic")
     empty = np.zeros(0, np.int64)
@@ -192,7 +194,7 @@ def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int =
         return Model(empty, np.zeros(0), float(np.log(share / (1 - share))))
     by = labelled.select("text", "toxic").mapInArrow(_counts, "place int, pos bigint, neg bigint").groupBy("place").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     ratio = F.log((F.col("p") + 1.0) / (n1 + 2.0)) - F.log((F.col("q") + 1.0) / (n0 + 2.0))
-    best = by.where("p + q >= 3").withColumn("r", ratio).withColumn("z", F.abs("r") / F.sqrt(1 / (F.col("p") + 1.0) + 1 / (F.col("q") + 1.0)))
+    best = by.withColumn("r", ratio).withColumn("z", F.abs("r") / F.sqrt(1 / (F.col("p") + 1.0) + 1 / (F.col("q") + 1.0))).where(F.col("z") >= least_z)
     best = best.orderBy(F.desc("z"), "place").limit(min(features, 65_535)).select("place", "r").toPandas()  # bounded by features
     place, scale = best["place"].to_numpy(np.int64), best["r"].to_numpy(float)
     # the sample is picked among keys alone, so no text is sorted; its bound is that of a broadcast
@@ -218,7 +220,7 @@ def _scores(model: Model, batches):
     forget()
     table = np.zeros(1 << BITS, np.int32)
     table[model.place] = np.arange(1, len(model.place) + 1)
-    for b in chunks(batches, 2 << 20):
+    for b in chunks(batches, SLICE):
         yield b, model.score(b.column("text").to_pylist(), table)
 
 

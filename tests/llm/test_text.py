@@ -1,3 +1,4 @@
+import collections
 import random
 import zlib
 
@@ -147,6 +148,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {k for k, r in by.items() if not r.predicted}
 
 
+def brute_toxicity(rows, least_z=3.0):
+    """Scores by n-gram sets of plain loops; rows: key, text, label or None."""
+    mask = (1 << 32) - 1
+
+    def places(text):
+        code, out = [ord(c) for c in f" {(text or '').lower()} "], set()
+        for n in (3, 4, 5):
+            for i in range(len(code) - n + 1):
+                h = code[i] * 0x9E3779B1 & mask
+                for k in range(2, n + 1):
+                    h = (h * 0x85EBCA6B + code[i + k - 1] * 0xC2B2AE35 + k) & mask
+                h = (h ^ h >> 15) * 0x2C1B3C6D & mask
+                out.add((h ^ h >> 12) >> 12)
+        return out
+
+    own = [(places(t), y) for k, t, y in rows if y is not None and zlib.crc32(str(k).encode()) % 5]
+    n1, n0 = sum(y for _, y in own), sum(1 - y for _, y in own)
+    p, q = collections.Counter(x for s, y in own if y for x in s), collections.Counter(x for s, y in own if not y for x in s)
+    ratio = {x: np.log((p[x] + 1) / (n1 + 2)) - np.log((q[x] + 1) / (n0 + 2)) for x in {*p, *q}}
+    chosen = sorted(x for x, r in ratio.items() if abs(r) / (1 / (p[x] + 1) + 1 / (q[x] + 1)) ** 0.5 >= least_z)
+    index, scale = {x: i for i, x in enumerate(chosen)}, np.array([ratio[x] for x in chosen])
+    w, b = fit_logistic([np.array(sorted(index[x] for x in s if x in index), "<u2") for s, _ in own], np.array([y for _, y in own], float), scale, 1e-6)
+    return {k: 1 / (1 + np.exp(-(b + sum(w[index[x]] * scale[index[x]] for x in places(t) if x in index)))) for k, t, _ in rows}
+
+
+def test_toxicity_equals_brute_force(spark):
+    rows = [*labelled_texts(300, seed=4), (5000, None, None), (5001, "", 0), (5002, "moron " * 30_000, None)]
+    rows += [(6000, rows[0][1], 0), (6001, rows[0][1], None)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [rows[1][:2]] * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows if y is not None], "doc_id bigint, toxic int")
+    got, want = score_documents(spark, docs, labels).collect(), brute_toxicity(rows)
+    assert len(got) == len(rows) + 2
+    assert max(abs(r.score - want[r.doc_id]) for r in got) < 1e-9
+
+
 @pytest.mark.parametrize("n", [200, 10_000])
 def test_toxicity_fit_ends_by_its_gradient_at_any_size(n):
     rng = np.random.default_rng(3)
