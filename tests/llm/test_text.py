@@ -86,6 +86,12 @@ CASES = [
     (page("<main><ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table></main>"), "a\nb\nc\nd\ne"),
     (page("<div id='content'><p>text one</p><p>text &lt;two&gt; &#233;</p></div>"), "text one\ntext <two> é"),
     ("<article><p>cut &am", "cut &am"), ("<p>plain<p", "plain"), ("no tags  at\nall", "no tags at all"), (None, ""), ("", ""), ("<article></article>", ""),
+    ("<body class='has-sidebar'><article><p>x</p></article></body>", "x"), ("<body class='home no-sidebar'><p>x</p></body>", "x"),
+    ("<article class='post comments-open'><p>main text</p></article>", "main text"), ("<article><p class='ad-free'>z</p><div class='related-work'>y</div></article>", "z\ny"),
+    ("<article><p>text <button>Share</button> more</p></article>", "text more"), ('<article><p>text <span class="advert">Buy now</span> more</p></article>', "text more"),
+    ('<article><p>a</p><ins class="adsbygoogle">AD</ins><p>b <label>l</label><noscript>n</noscript></p></article>', "a\nb"),
+    ("<div class='widget'><article><p>in</p></article></div><div class='comments-area'><article class='comment-body'><p>c</p></article></div>", "in"),
+    ("<div class='sidebar-left'>s</div><div class='topBanner'>t</div><p>x", "x"), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"), ("<p>" + "w " * 200_000, "w " * 199_999 + "w"),
     ('<article><p title="a > b">q</p><P CLASS=x>r</P></article>', "q\nr"), ("<article><p>a<br>b<script>x</article>", "a b"),
 ]
 
@@ -112,11 +118,73 @@ def test_style_tree_drops_what_a_site_repeats(spark):
 def test_style_tree_reaches_into_the_main_part(spark, tag):
     rng = random.Random(9)
     body = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(20))
-    rows = [(i, f"https://h.example/{i}", f"<body><{tag}><h1>t {i}</h1><p>{body()}</p><div><p>Same on every page</p></div><ul><li>x<li>y</ul></{tag}></body>") for i in range(30)]
+    rows = [(i, f"https://h.example/{i}", f"<body><{tag}><h1>t {i}</h1><p>{body()}</p><div><p>Same on every page</p></div><ul><li>x<li>y</ul><p>The last p is always this</p></{tag}></body>") for i in range(30)]
+    rows += [(200, "https://h.example/0", rows[0][2])]  # a repeated row
     rows += [(100, "https://other.example/1", rows[0][2])]
     got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all(got[i].startswith(f"t {i}\n") and got[i].count("\n") == 1 for i in range(30))
-    assert got[100].endswith("Same on every page\nx\ny")  # a host of one page has no tree
+    assert got[100].endswith("Same on every page\nx\ny\nThe last p is always this") and got[200] == got[0]  # one page tells nothing
+
+
+def test_names_and_the_tree_decide_together(spark):
+    rng = random.Random(10)
+    body = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(20))
+    page = lambda i: f"<body class='no-sidebar'><article><p>{body()}</p><div class='related-work'><p>{body()}</p></div><div class='promo-strip'><p>offer {i % 2}</p></div><div class='strip'><p>offer {i % 2}</p></div></article></body>"
+    pages = spark.createDataFrame([(i, "https://h.example/", page(i)) for i in range(40)], "page_id bigint, url string, html string")
+    for r in extract(spark, pages).collect():
+        parts = r.text.split("\n")
+        assert len(parts) == 3 and parts[2] == f"offer {r.page_id % 2}"  # the hinted strip goes, the plain one and the work stay
+
+
+def brute_tree(pages):
+    """Paths to remove, by plain nested loops over the host's pages; paths are tuples of (label, place)."""
+    seen = collections.defaultdict(lambda: collections.defaultdict(lambda: ([], [])))
+    for html in set(pages):
+        root, _ = blocks(html)
+
+        def walk(node, path, page):
+            own = list(node.texts)
+            for c in node.children:
+                same = [x for x in node.children if x.label == c.label]
+                place = "first" if same[0] is c else "last" if same[-1] is c else ""
+                own += walk(c, (*path, (c.label, place)), page)
+            if own and path:
+                short = [c.label for i, c in enumerate(node.children) if not i or node.children[i - 1].label != c.label]
+                seen[path][page][0].append(own)
+                seen[path][page][1].append(short)
+            return own
+
+        walk(root, (), html)
+    low = set()
+    for path, by in seen.items():
+        n, share = len(by) + 2, []
+        for k in (0, 1):
+            c = np.array([*collections.Counter(str(v[k]) for v in by.values()).values()])
+            share.append((np.log(n) - (c * np.log(c)).sum() / n) / np.log(n))
+        if 1 - (1 - share[0]) * (1 - share[1]) < 0.2:
+            low.add(path)
+    return low
+
+
+def test_the_tree_equals_plain_loops(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["ab", "cd", "ef", "gh"])
+    part = lambda: rng.choice(["<div class='x'><p>same</p><p>and this</p></div>", "<ul><li>one<li>two</ul>", f"<p>{word()} {word()} {word()} {word()}</p>", f"<div><p>{word()}{rng.random()}</p></div>"])
+    pages = [f"<body><article><h2>{i}</h2>{''.join(part() for _ in range(rng.randint(1, 5)))}<p>always</p></article></body>" for i in range(60)]
+    low = brute_tree(pages)
+    changed = 0
+    got = {r.page_id: r.text for r in extract(spark, spark.createDataFrame([(i, "http://h.example/x", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")).collect()}
+    for i, p in enumerate(pages):
+        def path(node):
+            if node.parent is None:
+                return ()
+            same = [x for x in node.parent.children if x.label == node.label]
+            return (*path(node.parent), (node.label, "first" if same[0] is node else "last" if same[-1] is node else ""))
+
+        kept = [b.text for b in blocks(p)[1] if not any(path(b.node)[:k] in low for k in range(1, len(path(b.node)) + 1))]
+        assert got[i] == "\n".join(kept)
+        changed += len(kept) < len(blocks(p)[1])
+    assert changed > 30
 
 
 def labelled_texts(n=600, seed=11):
