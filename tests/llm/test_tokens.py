@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from krigmesh.llm.packing import BestFit, cut, pack_documents
+from krigmesh.llm.packing import BestFit, cut, pack, pack_documents
 from krigmesh.llm.token_counts import PairMerger, token_counts
 from krigmesh.llm.token_store import NULL_KEY, Shard, perfect_hash, write_store
 from krigmesh.llm.tokens import PieceEncoder, tokenizer_path
@@ -109,3 +109,29 @@ def test_packing_is_whole_gapless_and_tight(spark, sf):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
     assert got["sequence_id"].nunique() <= -(-sum(want) // 1024) + 2
     assert pack_documents(spark, docs.limit(0)).count() == 0
+
+
+def test_a_bound_that_binds_keeps_packing_tight(spark):
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(1023, np.maximum(1, rng.lognormal(5.8, 0.9, 6000).astype(int))).tolist()
+    pieces = spark.createDataFrame([(i // 2, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    for bound, wave in ((448, 1024), (3, 16)):
+        got = pack(spark, pieces, open_bins=bound, wave=wave).toPandas()
+        assert len(got) == len(lengths) and sorted(got["ids_crc32"]) == list(range(len(lengths)))
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
+        if bound > 3:
+            assert got["sequence_id"].nunique() <= 1.005 * sum(lengths) / 1024 + 1
+
+
+def test_pieces_of_very_long_texts_and_repeated_rows(spark):
+    long_ = " ".join(f"word{i % 977}" for i in range(120_000))
+    docs = rows(spark, [long_, long_, "x", "x", None], [1, 1, 2, 2, None])
+    got = pack_documents(spark, docs).toPandas()
+    lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    ids = [*lib.encode(long_, add_special_tokens=False).ids, 2]
+    own = got[got.doc_id == 1].sort_values(["piece", "sequence_id"])
+    assert own["piece"].tolist() == sorted([*range(-(-len(ids) // 1024))] * 2)
+    for _, r in own.iterrows():
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[int(r["start"]) : int(r["start"] + r["length"])], "<u4").tobytes())
+    assert len(got[got.doc_id == 2]) == 2 and got["doc_id"].isna().sum() == 1
