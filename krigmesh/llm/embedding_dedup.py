@@ -2,9 +2,11 @@
 
 Vectors are normalised in double precision. Table t of ``tables`` maps a vector to the integer parts of
 ``projections`` random Gaussian projections, shifted and divided by ``width``; vectors of cosine 0.95 or more are at
-most 0.316 apart and share a bucket of a table with the probability that ``expected_recall`` computes (defaults:
-0.995 of the pairs of cosine 0.95 and 0.9999 of those of 0.98). Every vector is indexed. Pairs that share a bucket are checked by the
-exact cosine in double precision; none below the limit links.
+most 0.316 apart and share a bucket of a table with the probability that ``expected_recall`` computes. Both numbers
+follow from the number of vectors (``plan``): as many projections as keep the orthogonal vectors that share a bucket
+with one to ``FAR`` on the average, and as many tables as find ``RECALL`` (0.995) of the pairs at the very limit (far more of
+closer ones). So tables grow with about the fifth root of the vectors, and candidates hardly faster than they. Every
+vector is indexed. Pairs that share a bucket are checked by the exact cosine in double precision; none below the limit links.
 
 Equal vectors are one node with a count. A bucket is met in tiles of ``tile`` by ``tile`` members, so a hot bucket
 spreads over many tasks; a tile emits no pairs, but one row for each member with its number of new links and the
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, columns_or_null, components, partitions
 from .tokens import chunks
 
-TABLES, PROJECTIONS, WIDTH, SEED, TILE = 24, 12, 2.0, 7, 512
+WIDTH, SEED, TILE = 2.0, 7, 512
+RECALL, FAR = 0.995, 200.0
 
 
 def collision(distance: float, width: float) -> float:
@@ -38,10 +41,21 @@ def collision(distance: float, width: float) -> float:
     return 1 - 2 * phi - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def expected_recall(cosine: float, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> float:
+def expected_recall(cosine: float, tables: int, projections: int, width: float = WIDTH) -> float:
     return 1 - (1 - collision(math.sqrt(2 - 2 * cosine), width) ** projections) ** tables
 
 
+def plan(vectors: int, cosine: float, width: float = WIDTH, recall: float = RECALL, far: float = FAR) -> tuple[int, int]:
+    """Tables and projections for so many vectors."""
+    near, apart = collision(math.sqrt(2 - 2 * cosine), width), collision(math.sqrt(2), width)
+    projections = 0
+    while True:
+        projections += 1
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - near**projections))
+        if vectors * tables * apart**projections <= far or tables > 1000:
+            return tables, projections
+
+
 def _family(dim: int, tables: int, projections: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim])
     return rng.standard_normal((dim, tables * projections)), rng.uniform(0, width, tables * projections)
@@ -158,11 +172,13 @@ def _tiles(cosine: float, narrow: bool):
     return run
 
 
-def link_counts(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def link_counts(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95, tables: int | None = None, projections: int | None = None, width: float = WIDTH, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     scratch = Scratch(spark, "embedding-dedup")
     narrow = "embedding" in vectors.columns and dict(vectors.dtypes)["embedding"] == "array<float>"
     rows = columns_or_null(vectors, {"vec_id": "bigint", "embedding": "array<double>"})
+    if tables is None or projections is None:
+        tables, projections = plan(rows.count(), cosine, width)
     hashed = scratch.save(rows.mapInArrow(_hash_rows(tables, projections, width, seed, narrow), "vec_id bigint, raw binary, keys array<bigint>"), "hashed")
     speaks = hashed.groupBy("vec_id").agg(F.min("raw").alias("raw"))
     # equal vectors are one node, named by the least id
@@ -177,8 +193,7 @@ def link_counts(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95, t
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = met.select("table", "key", "node", "block", other).select("table", "key", "node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
     tiles = scratch.save(tiles, "tiles")
-    short = nodes.select("node", "m", "raw", F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("keys"))
-    tiles = tiles.join(short, "node").repartition(partitions(spark), "table", "key", "x", "y").sortWithinPartitions("table", "key", "x", "y")
+    tiles = tiles.join(nodes.select("node", "m", "raw", "keys"), "node").repartition(partitions(spark), "table", "key", "x", "y").sortWithinPartitions("table", "key", "x", "y")
     got = tiles.mapInArrow(_tiles(cosine, narrow), "node bigint, links bigint, least bigint")
     got = scratch.save(got, "links")
     links = got.groupBy("node").agg(F.sum("links").alias("links"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from krigmesh.llm import common
-from krigmesh.llm.embedding_dedup import bucket_keys, expected_recall, link_counts
+from krigmesh.llm.embedding_dedup import bucket_keys, collision, expected_recall, link_counts, plan
 from krigmesh.llm.ngram_join import keep_one, ngram_components
 from krigmesh.llm.suffix_dedup import COVER, PERIOD, drop_repeats, repeat_digests
 
@@ -186,13 +186,31 @@ def test_embedding_links_equal_brute_force(spark, tile):
     assert link_counts(spark, rows.limit(0)).count() == 0
 
 
-def test_embedding_recall():
-    assert expected_recall(0.95) > 0.99 and expected_recall(0.98) > 0.9999
+def test_embedding_edges(spark):
+    rows = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (2, [2.0, 0.0]), (9, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in link_counts(spark, rows).collect()))
+    assert got == [(0, 0, 0, False)] * 2 + [(2, 1, 2, True)] + [(4, 1, 2, False)] * 2 + [(9, 0, 9, True)]
+
+
+def test_plan_of_tables():
+    apart, before = collision(2**0.5, 2.0), None
+    for n in (1_000, 50_000, 10**6, 10**8, 10**10):
+        tables, projections = plan(n, 0.95)
+        assert expected_recall(0.95, tables, projections) >= 0.995 and expected_recall(0.98, tables, projections) > 0.999
+        pairs = n * n * tables * apart**projections
+        if before:
+            assert np.log(pairs / before[1]) / np.log(n / before[0]) < 1.3
+        before = n, pairs
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000_000])
+def test_embedding_recall(n):
+    tables, projections = plan(n, 0.95)
     rng = np.random.default_rng(9)
     a = rng.standard_normal((4000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     g = rng.standard_normal((4000, 64))
     g -= (g * a).sum(1)[:, None] * a
     b = 0.951 * a + (1 - 0.951**2) ** 0.5 * g / np.linalg.norm(g, axis=1)[:, None]
-    ka, kb = (bucket_keys(x, 24, 12, 2.0, 7) for x in (a, b))
-    assert (ka == kb).any(1).mean() > 0.97
+    ka, kb = (bucket_keys(x, tables, projections, 2.0, 7) for x in (a, b))
+    assert (ka == kb).any(1).mean() >= 0.99
