@@ -7,7 +7,7 @@ import pytest
 
 from krigmesh.llm.decontaminate import Myers, contaminated, cut, drop_contaminated, fold
 from krigmesh.llm.html_extract import blocks, extract, main_text
-from krigmesh.llm.quality import score_quality
+from krigmesh.llm.quality import Logistic, calibrates, content_features, fit_quality, ranking_quality, score_quality
 from krigmesh.llm.toxicity import drop_toxic, fit_logistic, score_documents
 
 
@@ -293,3 +293,73 @@ def test_quality_edges(spark):
     many = spark.createDataFrame([(i, "ok words here" if i % 2 else "### ***", 1) for i in range(1, 40)], "doc_id bigint, text string, n_chars int")
     assert score_quality(spark, many, two).count() == 39
     assert score_quality(spark, docs.limit(0), none).count() == 0
+
+
+def test_quality_equals_plain_loops(spark):
+    """Co-training over all rows in memory, with plain sorts for the surest rows and dictionaries for the means."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["on", "er", "th", "an"]) for _ in range(rng.randint(1, 3)))
+    docs, labels = [], []
+    for i in range(500):
+        good = rng.random() < 0.7
+        text = " ".join(word() for _ in range(rng.randint(5, 40)))
+        text = text if good != (rng.random() < 0.1) else text.upper().replace(" ", " ## ")
+        docs.append((i, text, rng.choice(["en", "de"]), "a" if good == (rng.random() < 0.8) else "b", len(text) if i % 50 else None))
+        if i % 2:
+            labels.append((i, int(good)))
+    docs += [(900, None, None, None, None), (901, "", "en", "a", 0), (docs[8])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    feats, co = fit_quality(spark, frame, spark.createDataFrame(labels, "doc_id bigint, quality int"), rounds=3)
+    info = {r.doc_id: (r.h, r.c) for r in frame.selectExpr("doc_id", "xxhash64(doc_id) h").withColumn("c", calibrates()).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    lab = {i: q for i, q in labels if not held(i)}
+    learn = [d for d in docs if d[0] in lab and not info[d[0]][1]]
+    rate = sum(lab[d[0]] for d in learn) / len(learn)
+    size = lambda d: float(np.log1p(max(d[4] or 0, 0)))
+    keys = [lambda d: d[3] or "", lambda d: d[2] or "", lambda d: int(size(d)), lambda d: (d[3] or "", d[2] or "", int(size(d)))]
+
+    def meta(d):
+        out = []
+        for k in keys:
+            same = [lab[x[0]] for x in learn if k(x) == k(d)]
+            out.append((sum(same) + 20 * rate) / (len(same) + 20))
+        usual = [size(x) for x in learn if (x[3] or "") == (d[3] or "")]
+        off = size(d) - sum(usual) / len(usual) if usual else 0.0
+        return [*out, size(d), size(d) ** 2, off, abs(off), float(d[4] is None)]
+
+    view = [content_features([d[1] for d in docs]).astype(np.float32).astype(float), np.array([meta(d) for d in docs])]
+    own = sorted((i for i, d in enumerate(docs) if d[0] in lab), key=lambda i: info[docs[i][0]][0])
+    y, keep = np.array([float(lab[docs[i][0]]) for i in own]), np.array([info[docs[i][0]][1] for i in own])
+    own = np.array(own)
+    balance = lambda v: np.where(v > 0, 0.5 / rate, 0.5 / (1 - rate))
+    given = [[], []]
+
+    def fit(v):
+        x, lab_, w = (np.array([g[k] for g in given[v]]) for k in range(3)) if given[v] else (np.zeros((0, view[v].shape[1])), np.zeros(0), np.zeros(0))
+        a = own[~keep]
+        return Logistic(np.concatenate([view[v][a], x]), np.concatenate([y[~keep], lab_]), np.concatenate([balance(y[~keep]), w * balance(lab_)]))
+
+    open_rows = [i for i, d in enumerate(docs) if d[0] not in lab and not held(d[0])]
+    n = max(2, int(0.05 * (~keep).sum()))
+    most, taken, report = (max(1, round(n * (1 - rate))), max(1, round(n * rate))), [set(), set()], []
+    for _ in range(3):
+        models = [fit(v) for v in (0, 1)]
+        for v in (0, 1):
+            worth = max(0.0, 2 * ranking_quality(models[v].logit(view[v][own[keep]]), y[keep]) - 1)
+            s, handed = models[v].logit(view[v]), []
+            for label in (0, 1):
+                sure = sorted((float(-s[i] if label else s[i]), info[docs[i][0]][0], i) for i in open_rows if (s[i] > 0) == bool(label) and s[i] != 0)
+                new = {}
+                for _, h, i in sure:
+                    if h not in taken[1 - v] and len(new) < most[label]:
+                        new.setdefault(h, i)
+                if worth:
+                    taken[1 - v] |= new.keys()
+                    given[1 - v] += [(view[1 - v][i], label, 0.5 * worth) for i in new.values()]
+                handed.append(len(new) if worth else 0)
+            report.append((handed, round(0.5 * worth, 9)))
+    assert [([r["bad"], r["good"]], round(r["weight"], 9)) for r in co.report] == report and all(r["weight"] > 0 for r in co.report)
+    for v in (0, 1):
+        assert np.allclose(co.fit(v).logit(view[v]), fit(v).logit(view[v]), atol=1e-6)
+    scored = score_quality(spark, frame, spark.createDataFrame(labels, "doc_id bigint, quality int"), rounds=3).collect()
+    assert len(scored) == len(docs) and all(0 <= r.score <= 1 for r in scored)
