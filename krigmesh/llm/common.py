@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -17,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where all tasks run on this machine an own temporary folder stands in for it; elsewhere executors would each
+    write to their own disk, and parts would be missing without a word.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = getattr(spark.sparkContext, "_krigmesh_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="krigmesh-")
@@ -33,7 +40,10 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spa
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's default of 10,000 rows, which for long texts are a worker's largest object."""
+    """Smaller Arrow batches than Spark's default of 10,000 rows, which for long texts are a worker's largest object.
+
+    Only defaults are replaced; they stay so for the session, as results are computed after the operator has returned.
+    """
     for key, (default, own) in BATCH.items():
         found = spark.conf.get(key, default)
         if found == default or (key.endswith("BytesPerBatch") and found in ("67108864", "64MB", "2147483647", "-1")):
@@ -51,8 +61,10 @@ class Scratch:
         bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not _ROOTS:
+            atexit.register(_clean_at_exit)
         _ROOTS.append(self.root)
-        self.n = 0
+        self.n, self.paths = 0, []
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -60,6 +72,7 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = self.path(label)
+        self.paths.append(path)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
@@ -69,6 +82,13 @@ class Scratch:
         for df in frames:
             _delete(self.spark, df._scratch_path)
 
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete all tables but those that the operator's result reads."""
+        kept = {getattr(df, "_scratch_path", None) for df in frames}
+        for path in [p for p in self.paths if p not in kept]:
+            _delete(self.spark, path)
+            self.paths.remove(path)
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,6 +98,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 _ROOTS: list[str] = []
 
 
+def _clean_at_exit() -> None:
+    """The tables of a driver that ends go, if its session still runs; a session that was stopped leaves them behind."""
+    from pyspark import SparkContext
+
+    if SparkContext._active_spark_context is not None:
+        clean_scratch(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
+
+
 def clean_scratch(spark: SparkSession) -> None:
     """Delete all that operators of this driver have written to the shared folder; their results can't be read any more."""
     while _ROOTS:

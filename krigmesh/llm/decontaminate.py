@@ -9,13 +9,16 @@ algorithm, whose column is one integer of n bits. Nothing within the budget is m
 The benchmark is a stated query set: its pieces go to every task only after their size was checked (``item_bytes``);
 a larger set is run in blocks of items. Documents are never shuffled, whatever copies they hold.
 
-Defined results: null, empty and blank texts match nothing; items shorter than ``min_chars`` after folding are too
-short to tell and match nothing; equal items each report; repeated documents each report; extra columns are dropped.
+Items shorter than ``min_chars`` after folding, in which a few edits make another sentence, match exactly and as whole
+words; they are in the same automaton, as one piece with budget 0.
+
+Defined results: null, empty and blank texts and items match nothing; equal items each report; repeated documents each report; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,12 +83,12 @@ class Myers:
 class Matcher:
     """All items of a block: one automaton of pieces, one pattern for each item."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items, owners = {}, {}
+        self.items, owners, self.min_chars = {}, {}, min_chars
         for item_id, text in items:
-            k = int(rate * len(text))
+            k = int(rate * len(text)) if len(text) >= min_chars else 0
             self.items.setdefault(text, (k, Myers(text), []))[2].append(item_id)
         for text, (k, _, _) in self.items.items():
             for off, piece in cut(text, k):
@@ -108,6 +111,10 @@ class Matcher:
                 if item in best and best[item][0] == 0:
                     continue
                 start = end - length + 1 - off
+                if len(item) < self.min_chars:  # whole words only
+                    if (start == 0 or text[start - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                        best[item] = (0, start, end + 1)
+                    continue
                 if start in (t := tried.setdefault(item, set())):
                     continue
                 t.add(start)
@@ -122,27 +129,27 @@ class Matcher:
         return [(i, d, lo, end) for item, (d, lo, end) in best.items() for i in self.items[item][2]]
 
 
-def blocks(benchmark: DataFrame, min_chars: int, item_bytes: int) -> list[list[tuple[int, str]]]:
-    """The folded items, in blocks of bounded size, read one partition at a time."""
-    out, size = [[]], 0
+def blocks(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The folded items, in blocks of bounded size (one at least), read one partition at a time."""
+    block, size = [], 0
     rows = columns_or_null(benchmark, {"item_id": "bigint", "text": "string"}).where("item_id is not null and text is not null").orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         t = fold(r.text)
-        if len(t) < min_chars:
+        if not t:
             continue
-        if size + len(t) > item_bytes and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, t))
+        if size + len(t) > item_bytes and block:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, t))
         size += len(t)
-    return out
+    yield block
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[int, str]], rate: float, min_chars: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)  # at most ITEM_BYTES
 
     def run(batches):
-        matcher = Matcher(held.value, rate)
+        matcher = Matcher(held.value, rate, min_chars)
         for b in chunks(batches):
             rows = []
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -160,8 +167,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
     """
     rows = columns_or_null(docs, {"doc_id": "bigint", "text": "string"})
     out = None
-    for items in blocks(benchmark, min_chars, item_bytes):
-        part = _pass(rows, items, rate)
+    for items in blocks(benchmark, item_bytes):
+        part = _pass(rows, items, rate, min_chars)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -169,11 +176,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rat
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """docs without the rows whose text holds an item; row by row, so null and repeated keys need no join."""
     out = docs
-    for items in blocks(benchmark, min_chars, item_bytes):
+    for items in blocks(benchmark, item_bytes):
         held = spark.sparkContext.broadcast(items)
 
         def run(batches, held=held):
-            matcher = Matcher(held.value, rate)
+            matcher = Matcher(held.value, rate, min_chars)
             for b in chunks(batches):
                 keep = [not matcher.matches(fold(t)) for t in b.column("text").to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))

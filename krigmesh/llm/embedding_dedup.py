@@ -198,6 +198,7 @@ def link_counts(spark: SparkSession, vectors: DataFrame, cosine: float = 0.95, t
     got = scratch.save(got, "links")
     links = got.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(scratch, got.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    scratch.keep_only(ids, nodes, got, comp)
     of = ids.join(nodes.select("raw", "node", "m"), "raw").join(links, "node", "left").join(comp, "node", "left")
     of = of.select("vec_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("comp", "node").alias("component_id"))
     out = rows.select("vec_id").join(of, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -291,7 +291,7 @@ class Join:
         return length & (F.least(rest, left) >= least)
 
     def prepare(self) -> None:
-        rows = self.scratch.save(self.docs.mapInArrow(_profiles(self.n), META), "profiles")
+        rows = self.profiles = self.scratch.save(self.docs.mapInArrow(_profiles(self.n), META), "profiles")
         self.meta = rows.where("kind = 0").select("doc_id", "k1", "k2", "n")
         seen = self.scratch.save(rows.where("kind = 1").groupBy("shingle").agg(F.sum("seen").alias("seen")), "seen")
         # the counts from a power of two on, as many as fit: a histogram of the powers tells which, without a sort
@@ -411,8 +411,9 @@ class Join:
             if pairs is None or verify(pairs) < 0.5:
                 break
         verify(self.tile_pairs(active, comp))
-        self.scratch.drop(active)
-        return self.joined(found) if comp is None and found else comp
+        comp = self.joined(found) if comp is None and found else comp
+        self.scratch.keep_only(self.profiles, self.reps, *([] if comp is None else [comp]))
+        return comp
 
     def joined(self, found: list[DataFrame]) -> DataFrame:
         edges = found[0]

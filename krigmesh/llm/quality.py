@@ -246,6 +246,7 @@ def fit_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, rounds:
                 handed[label] = len(new) if worth else 0
             co.report.append({"round": r, "view": ("content", "metadata")[v], "ranking": (worth + 1) / 2, "weight": 0.5 * worth, "good": handed[1], "bad": handed[0]})
         scratch.drop(tops)
+    scratch.keep_only(feats)
     return feats, co
 
 
