@@ -105,15 +105,20 @@ def _selected(place: np.ndarray):
     return run
 
 
-def objective(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float):
-    """Weights and intercept in one array -> mean loss with weight decay, and its gradient.
+def packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows' features, joined, and how many each row has."""
+    return np.concatenate([np.zeros(0, "<u2"), *rows]).astype("<u2"), np.array([len(r) for r in rows], np.int64)
+
+
+def objective(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float):
+    """rows: packed. Weights and intercept in one array -> mean loss with weight decay, and its gradient.
 
     Rows of label 1 weigh the square root of the labels' odds, as the rarer label would else be missed too often.
     """
-    m, n = len(scale), len(rows)
+    idx, size = rows
+    m, n = len(scale), len(size)
     heavy = np.where(y > 0, max(1.0, ((n - y.sum()) / max(1.0, y.sum())) ** 0.5), 1.0)
-    size = np.array([len(r) for r in rows], np.int64)
-    idx, at = np.concatenate([np.zeros(0, "<u2"), *rows]).astype("<u2"), np.concatenate([[0], np.cumsum(size)])
+    at = np.concatenate([[0], np.cumsum(size)])
     cuts = np.unique(np.concatenate([[0], np.searchsorted(at[:-1], np.arange(1 << 20, max(at[-1], 1), 1 << 20)), [n]]))  # bounded slices
 
     def f(v: np.ndarray) -> tuple[float, np.ndarray]:
@@ -132,13 +137,13 @@ def objective(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay: f
     return f
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float, tolerance: float = 0.01, rounds: int = 1000) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: tuple[np.ndarray, np.ndarray], y: np.ndarray, scale: np.ndarray, decay: float, tolerance: float = 0.01, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """L-BFGS until the gradient's norm is at most tolerance; the weight of feature f is learned on the value scale[f].
 
     The test and the limit of rounds are the same for any number of rows; a fit that ends otherwise warns.
     """
     m, f = len(scale), objective(rows, y, scale, decay)
-    v = np.append(np.zeros(m), np.log((y.sum() + 1) / (len(rows) - y.sum() + 1)))
+    v = np.append(np.zeros(m), np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     loss, g = f(v)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []  # steps, changes of the gradient, 1 / their product
     for _ in range(rounds):
@@ -199,8 +204,15 @@ def train(spark: SparkSession, rows: DataFrame, own: DataFrame, features: int =
     place, scale = best["place"].to_numpy(np.int64), best["r"].to_numpy(float)
     # the sample is picked among keys alone, so no text is sorted; its bound is that of a broadcast
     picked = F.broadcast(hash_sample(own, "doc_id", max_train, n1 + n0)) if n1 + n0 > max_train else small(own, 16)
-    got = rows.join(picked, "doc_id").select("toxic", "text").mapInArrow(_selected(place), "toxic int, ids binary").toPandas()  # bounded by max_train
-    w, bias = fit_logistic([np.frombuffer(x, "<u2") for x in got["ids"]], got["toxic"].to_numpy(float), scale, decay, tolerance, rounds)
+    scratch = Scratch(spark, "toxicity-rows")
+    got = scratch.save(rows.join(picked, "doc_id").select("toxic", "text").mapInArrow(_selected(place), "toxic int, ids binary"), "rows")
+    ids, size, y = bytearray(), [], []
+    for r in got.toLocalIterator():  # at most max_train rows, one part of them at a time, packed without a copy
+        ids += r.ids
+        size.append(len(r.ids) // 2)
+        y.append(float(r.toxic))
+    scratch.drop(got)
+    w, bias = fit_logistic((np.frombuffer(ids, "<u2"), np.array(size, np.int64)), np.array(y), scale, decay, tolerance, rounds)
     return Model(place, w * scale, bias)
 
 

@@ -8,7 +8,7 @@ import pytest
 from krigmesh.llm.decontaminate import Myers, contaminated, cut, drop_contaminated, fold
 from krigmesh.llm.html_extract import blocks, extract, main_text
 from krigmesh.llm.quality import Logistic, calibrates, content_features, fit_quality, ranking_quality, score_quality
-from krigmesh.llm.toxicity import drop_toxic, fit_logistic, score_documents
+from krigmesh.llm.toxicity import drop_toxic, fit_logistic, packed, score_documents
 
 
 def distance(pattern, text):
@@ -240,7 +240,7 @@ def brute_toxicity(rows, least_z=3.0):
     ratio = {x: np.log((p[x] + 1) / (n1 + 2)) - np.log((q[x] + 1) / (n0 + 2)) for x in {*p, *q}}
     chosen = sorted(x for x, r in ratio.items() if abs(r) / (1 / (p[x] + 1) + 1 / (q[x] + 1)) ** 0.5 >= least_z)
     index, scale = {x: i for i, x in enumerate(chosen)}, np.array([ratio[x] for x in chosen])
-    w, b = fit_logistic([np.array(sorted(index[x] for x in s if x in index), "<u2") for s, _ in own], np.array([y for _, y in own], float), scale, 1e-6)
+    w, b = fit_logistic(packed([np.array(sorted(index[x] for x in s if x in index), "<u2") for s, _ in own]), np.array([y for _, y in own], float), scale, 1e-6)
     return {k: 1 / (1 + np.exp(-(b + sum(w[index[x]] * scale[index[x]] for x in places(t) if x in index)))) for k, t, _ in rows}
 
 
@@ -261,7 +261,7 @@ def test_toxicity_fit_ends_by_its_gradient_at_any_size(n):
     y = (rng.random(n) < 0.1).astype(float)
     scale = np.linspace(-2, 2, 400)
     rows = [np.flatnonzero(rng.random(400) < np.where(scale > 0, 0.02 + 0.02 * v, 0.03 - 0.01 * v)).astype("<u2") for v in y]
-    w, b = fit_logistic(rows, y, scale, 1e-6)
+    w, b = fit_logistic(packed(rows), y, scale, 1e-6)
     heavy = np.where(y > 0, ((n - y.sum()) / y.sum()) ** 0.5, 1.0)
     x = np.zeros((n, 400))
     for i, r in enumerate(rows):
@@ -269,7 +269,7 @@ def test_toxicity_fit_ends_by_its_gradient_at_any_size(n):
     d = heavy * (1 / (1 + np.exp(-(x @ w + b))) - y) / n
     assert np.hypot(np.linalg.norm(x.T @ d + 1e-6 * w), d.sum()) <= 0.01
     with pytest.warns(RuntimeWarning, match="gradient norm"):
-        fit_logistic(rows, y, scale, 1e-6, rounds=1)
+        fit_logistic(packed(rows), y, scale, 1e-6, rounds=1)
 
 
 def test_toxicity_without_labels(spark):
