@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 # The names that a decision may set, those it may not, and the safety limits.
 ALLOWED = (
-    "VARIOGRAM_MODE VARIOGRAM_MODEL MANUAL_NUGGET MANUAL_PSILL MANUAL_RANGE VARIOGRAM_CUTOFF VARIOGRAM_WIDTH VARIOGRAM_RANGE_MIN VARIOGRAM_RANGE_MAX NMAX_NEIGHBORS SEARCH_RADIUS AUTO_NEIGHBORS AUTO_NEIGHBOR_NMAX_CANDIDATES "
-    "AUTO_NEIGHBOR_SEARCH_RADIUS_CANDIDATES AUTO_NEIGHBOR_CV_METHOD AUTO_NEIGHBOR_MAX_CANDIDATES CV_METHODS CV_K_FOLDS CLAMP_TO_SAMPLE_RANGE TARGET_TRANSFORM LOG_BACKTRANSFORM_BIAS_CORRECTION"
-).split()
-PROTECTED = "POINT_FILE RASTER_DIR ROI_FILE UTM_EPSG EXPORT_EPSG CODE_COL LAT_COL LON_COL RASTER_PATTERN OUTPUT_RESOLUTION USE_COMPLETE_PC_MASK REGRESSION_FORMULA raw_input_data source_scripts".split()
+    "VARIOGRAM_MODE", "VARIOGRAM_MODEL", "MANUAL_NUGGET", "MANUAL_PSILL", "MANUAL_RANGE", "VARIOGRAM_CUTOFF",
+    "VARIOGRAM_WIDTH", "VARIOGRAM_RANGE_MIN", "VARIOGRAM_RANGE_MAX", "NMAX_NEIGHBORS", "SEARCH_RADIUS",
+    "AUTO_NEIGHBORS", "AUTO_NEIGHBOR_NMAX_CANDIDATES", "AUTO_NEIGHBOR_SEARCH_RADIUS_CANDIDATES",
+    "AUTO_NEIGHBOR_CV_METHOD", "AUTO_NEIGHBOR_MAX_CANDIDATES", "CV_METHODS", "CV_K_FOLDS", "CLAMP_TO_SAMPLE_RANGE",
+    "TARGET_TRANSFORM", "LOG_BACKTRANSFORM_BIAS_CORRECTION",
+)
+PROTECTED = (
+    "POINT_FILE", "RASTER_DIR", "ROI_FILE", "UTM_EPSG", "EXPORT_EPSG", "CODE_COL", "LAT_COL", "LON_COL",
+    "RASTER_PATTERN", "OUTPUT_RESOLUTION", "USE_COMPLETE_PC_MASK", "REGRESSION_FORMULA", "raw_input_data",
+    "source_scripts",
+)
 SAFETY = {"max_iterations": 5, "allow_delete_points": False, "allow_modify_raw_data": False, "min_range": 500, "max_range": 25000, "min_neighbors": 4, "max_neighbors": 50}
 CHOICES = {
     "VARIOGRAM_MODE": ("manual", "auto_select", "auto"), "VARIOGRAM_MODEL": ("Exp", "Sph", "Gau"), "AUTO_NEIGHBOR_CV_METHOD": ("random", "spatial_kmeans"), "TARGET_TRANSFORM": ("auto", "none", "log1p"),
@@ -221,43 +228,61 @@ def best_candidate(table: DataFrame, score: str, ties: list[str], status: str |
     return rows.orderBy(score, *[F.col(t).asc_nulls_last() for t in ties]).limit(1)
 
 
+def exceeds(a: float | None, b: float | None, factor: float) -> bool:
+    return a is not None and b is not None and a > factor * b
+
+
+#: Warnings that tell of a range, and of predictions, that cannot be right.
+RANGE_WARNINGS = frozenset(("range_hits_max", "range_short", "range_long", "no_candidate", "low_lag_pairs"))
+PREDICTION_WARNINGS = frozenset(("missing_predictions", "noisy_map"))
+
+
 def next_parameters(run: dict, params: dict, best_variogram: dict | None = None, best_neighbours: dict | None = None, limits: dict | None = None) -> dict:
     """What to try next after one collected run record; empty if nothing safe follows from it.
 
     run: range_hit_max, warnings (codes), nugget_sill_ratio, r2, rk_rmse, regression_rmse, ok_rmse, range, radius, nmax.
+    A table of rules: the settings of each rule that holds are joined, those of later rules going before.
     """
-    s = merge(SAFETY, limits)
-    inside = lambda v: max(s["min_range"], min(v, s["max_range"]))
-    out: dict = {}
+    s, v, n = merge(SAFETY, limits), best_variogram or {}, best_neighbours or {}
+    distance = lambda x: min(max(x, s["min_range"]), s["max_range"])
+    count = lambda x: int(min(max(x, s["min_neighbors"]), s["max_neighbors"]))
     warned = set(run.get("warnings") or ())
-    above = lambda a, b, k: a is not None and b is not None and a > k * b
-
-    def take(v: dict) -> None:
-        out.update({"VARIOGRAM_MODE": "manual", "VARIOGRAM_MODEL": v["model"], "MANUAL_RANGE": round(inside(v["range"]))})
-        out.update({k: v[f] for k, f in (("MANUAL_NUGGET", "nugget"), ("MANUAL_PSILL", "psill")) if v.get(f) is not None and v[f] >= 0})
-
-    top = params.get("VARIOGRAM_RANGE_MAX", s["max_range"])
-    current = params.get("MANUAL_RANGE", run.get("range") or 4000)
+    ratio, r2 = run.get("nugget_sill_ratio"), run.get("r2")
+    limit = params.get("VARIOGRAM_RANGE_MAX", s["max_range"])
+    reach = params.get("MANUAL_RANGE", run.get("range") or 4000)
     model = params.get("VARIOGRAM_MODEL", run.get("model") or "Exp")
-    if run.get("range_hit_max") or warned & {"range_hits_max", "range_short", "range_long", "no_candidate", "low_lag_pairs"}:
-        if best_variogram and not best_variogram.get("range_hit_max"):
-            take(best_variogram)
-            out["VARIOGRAM_RANGE_MAX"] = round(max(out["MANUAL_RANGE"] * 1.25, min(top * 0.85, s["max_range"])))
-        else:
-            new_top = inside(top * 0.75)
-            out |= {"VARIOGRAM_MODE": "manual", "VARIOGRAM_MODEL": "Exp" if model == "Sph" else "Sph", "MANUAL_RANGE": round(max(s["min_range"], min(current * 0.85, new_top * 0.85))), "VARIOGRAM_RANGE_MAX": round(new_top)}
-    ratio = run.get("nugget_sill_ratio")
-    if ratio is not None and ratio > 0.75:
-        if best_variogram and (best_variogram.get("nugget_sill_ratio") or 1.0) < ratio:
-            take(best_variogram)
-        else:
-            out |= {"VARIOGRAM_MODE": "manual", "VARIOGRAM_MODEL": "Sph" if model == "Gau" else "Gau"}
-    r2, rk = run.get("r2"), run.get("rk_rmse")
-    if warned & {"missing_predictions", "noisy_map"} or (r2 is not None and r2 < 0) or above(rk, run.get("regression_rmse"), 1.03) or above(rk, run.get("ok_rmse"), 1.05):
-        radius, nmax = run.get("radius") or params.get("SEARCH_RADIUS", 12000), run.get("nmax") or params.get("NMAX_NEIGHBORS", 12)
-        if best_neighbours:
-            radius, nmax = inside(best_neighbours["radius"]), max(s["min_neighbors"], min(best_neighbours["nmax"], s["max_neighbors"]))
-        else:
-            radius, nmax = min(s["max_range"], max(radius * 1.15, radius + 1000)), min(s["max_neighbors"], nmax + 4)
-        out |= {"AUTO_NEIGHBORS": True, "SEARCH_RADIUS": round(radius), "NMAX_NEIGHBORS": int(nmax), "CV_METHODS": ["spatial_kmeans"]}
+    radius = run.get("radius") or params.get("SEARCH_RADIUS", 12000)
+    nmax = run.get("nmax") or params.get("NMAX_NEIGHBORS", 12)
+
+    found = {}
+    if v:
+        parts = {"MANUAL_NUGGET": v.get("nugget"), "MANUAL_PSILL": v.get("psill")}
+        found = {"VARIOGRAM_MODE": "manual", "VARIOGRAM_MODEL": v["model"], "MANUAL_RANGE": round(distance(v["range"]))}
+        found |= {k: x for k, x in parts.items() if x is not None and x >= 0}
+    lower = distance(0.75 * limit)
+    shorter = {
+        "VARIOGRAM_MODE": "manual", "VARIOGRAM_MODEL": {"Sph": "Exp"}.get(model, "Sph"),
+        "MANUAL_RANGE": round(max(s["min_range"], 0.85 * min(reach, lower))), "VARIOGRAM_RANGE_MAX": round(lower),
+    }
+    searched = {"AUTO_NEIGHBORS": True, "CV_METHODS": ["spatial_kmeans"]}
+    tuned = {"SEARCH_RADIUS": round(distance(n["radius"])), "NMAX_NEIGHBORS": count(n["nmax"])} if n else {}
+    wider = {"SEARCH_RADIUS": round(min(s["max_range"], max(1.15 * radius, radius + 1000))), "NMAX_NEIGHBORS": int(min(s["max_neighbors"], nmax + 4))}
+
+    bad_range = bool(run.get("range_hit_max") or warned & RANGE_WARNINGS)
+    noisy = ratio is not None and ratio > 0.75
+    worse = exceeds(run.get("rk_rmse"), run.get("regression_rmse"), 1.03) or exceeds(run.get("rk_rmse"), run.get("ok_rmse"), 1.05)
+    poor = bool(warned & PREDICTION_WARNINGS) or (r2 is not None and r2 < 0) or worse
+    sound = bool(v) and not v.get("range_hit_max")
+    calmer = bool(v) and noisy and (v.get("nugget_sill_ratio") or 1.0) < ratio
+    rules = (
+        (bad_range and sound, lambda: found | {"VARIOGRAM_RANGE_MAX": round(max(1.25 * found["MANUAL_RANGE"], min(0.85 * limit, s["max_range"])))}),
+        (bad_range and not sound, lambda: shorter),
+        (calmer, lambda: found),
+        (noisy and not calmer, lambda: {"VARIOGRAM_MODE": "manual", "VARIOGRAM_MODEL": {"Gau": "Sph"}.get(model, "Gau")}),
+        (poor, lambda: searched | (tuned or wider)),
+    )
+    out: dict = {}
+    for holds, settings in rules:
+        if holds:
+            out |= settings()
     return out

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 
 def utm_epsg(lon: Column, lat: Column) -> Column:
     zone = F.least(F.greatest(F.floor((lon + 180) / 6) + 1, F.lit(1)), F.lit(60))
@@ -20,7 +22,7 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 
 def resolve_utm(df: DataFrame, lon: str = "lon", lat: str = "lat", configured: str = "auto") -> DataFrame:
     """Zone of the median place; a configured zone is used but compared."""
-    m = df.agg(F.percentile(F.col(lon), F.lit(0.5)).alias("lon"), F.percentile(F.col(lat), F.lit(0.5)).alias("lat"))
+    m = exact_quantiles(df, lon, {"lon": 0.5}).select("lon").join(exact_quantiles(df, lat, {"lat": 0.5}).select("lat"), F.lit(True), "full")  # one row each
     m = m.withColumn("suggested", utm_epsg(F.col("lon"), F.col("lat")))
     used = F.col("suggested") if configured == "auto" else F.lit(int(configured))
     return m.withColumn("used", used).withColumn("mismatch", F.col("used") != F.col("suggested"))
@@ -136,9 +138,22 @@ def neighbours(queries: DataFrame, samples: DataFrame, radius: float, nmax: int,
 
 
 def nearest_spacing(points: DataFrame, radius: float, key: str = "code") -> DataFrame:
-    """Distance to the nearest other point within radius: minimum, median, mean and maximum over points that have one."""
-    met = range_join(points, points, radius, where=F.col(f"l_{key}") != F.col(f"r_{key}")).groupBy(f"l_{key}").agg(F.min("h").alias("d"))
-    return met.agg(F.count("*").alias("n"), F.min("d").alias("min_nn"), F.percentile(F.col("d"), F.lit(0.5)).alias("median_nn"), F.avg("d").alias("mean_nn"), F.max("d").alias("max_nn"))
+    """Distance to the nearest other point: minimum, median, mean and maximum over all points (n) of at least two.
+
+    Points without another one within radius look again within twice as much, and so on, so sparse ones stay in.
+    """
+    own = points.select(key, "x", "y")
+    todo, found = own, None
+    for _ in range(64):
+        met = range_join(todo, own, radius, where=F.col(f"l_{key}") != F.col(f"r_{key}")).groupBy(F.col(f"l_{key}").alias(key)).agg(F.min("h").alias("d"))
+        found = met if found is None else found.unionByName(met)
+        todo = todo.join(met.select(key), key, "left_anti")
+        if todo.isEmpty() or own.limit(2).count() < 2:
+            break
+        radius *= 2
+    g = found.agg(F.count("*").alias("n"), F.min("d").alias("min_nn"), F.avg("d").alias("mean_nn"), F.max("d").alias("max_nn"))
+    median = exact_quantiles(found, "d", {"median_nn": 0.5}).select("median_nn")
+    return g.join(median, F.lit(True), "left").select("n", "min_nn", "median_nn", "mean_nn", "max_nn")
 
 
 def extent(points: DataFrame, digits: int = 4) -> DataFrame:

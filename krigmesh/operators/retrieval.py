@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize, snippet
 
 
-def unique_ids(df: DataFrame, base: str, order: str) -> DataFrame:
-    """doc_id: the base for its first row, then base_2, base_3 ...; a suffix that meets another base counts on."""
-    w = Window.partitionBy(base).orderBy(order)
-    out = df.withColumn("_n", F.row_number().over(w))
-    out = out.withColumn("doc_id", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_n").cast("string"))))
-    taken = df.select(F.col(base).alias("_t")).distinct()
-    out = out.join(taken, (F.col("_n") > 1) & (F.col("doc_id") == F.col("_t")), "left")
-    return out.withColumn("doc_id", F.when(F.col("_t").isNotNull(), F.concat(F.col("doc_id"), F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col("doc_id"))).drop("_n", "_t")
+def unique_ids(df: DataFrame, base: str, order: str, rounds: int = 64) -> DataFrame:
+    """doc_id: the base for its first row, then base_2, base_3 ...; of rows that clash the first keeps its id.
+
+    Every other row of a clash counts on, until no two rows share an id; rounds are as many as ids clash in a chain.
+    """
+    out = df.withColumn("_k", F.row_number().over(Window.partitionBy(base).orderBy(order)))
+    named = F.when(F.col("_k") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_k").cast("string")))
+    for _ in range(rounds):
+        out = out.withColumn("doc_id", named)
+        if out.groupBy("doc_id").count().where("count > 1").isEmpty():
+            return out.drop("_k")
+        later = F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) > 1
+        out = out.withColumn("_k", F.col("_k") + later.cast("int"))
+    raise RuntimeError("ids still clash")
 
 
 def content_hash(c: Column) -> Column:

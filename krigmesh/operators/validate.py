@@ -91,9 +91,16 @@ def grid_consistency(schema: DataFrame) -> DataFrame:
 
 
 # Columns, required fields and allowed words of library metadata and evidence cards.
-SOURCE_COLUMNS = "doc_id title authors year source_type journal_or_publisher doi url access_date language topic_tags soil_indicators geography method_tags quality_level license_or_access_note notes".split()
+SOURCE_COLUMNS = (
+    "doc_id", "title", "authors", "year", "source_type", "journal_or_publisher", "doi", "url", "access_date",
+    "language", "topic_tags", "soil_indicators", "geography", "method_tags", "quality_level",
+    "license_or_access_note", "notes",
+)
 SOURCE_ENUMS = {"source_type": ["book", "peer_reviewed_paper", "guideline", "report", "thesis", "documentation"], "quality_level": ["core", "supporting", "weak", "exclude"]}
-CARD_FIELDS = "claim_id claim applies_to evidence_sources strength conditions limitations recommended_action not_allowed_action".split()
+CARD_FIELDS = (
+    "claim_id", "claim", "applies_to", "evidence_sources", "strength", "conditions", "limitations",
+    "recommended_action", "not_allowed_action",
+)
 STRENGTHS = ["strong", "moderate", "weak"]
 
 

@@ -155,15 +155,19 @@ def utm_forward(spark, sf):
     return out
 
 
-@query(f"WITH {PTS} SELECT code, round(lon, 7) lon, round(lat, 7) lat FROM pts WHERE lat >= 0")
+@query(f"WITH {PTS} SELECT code, round(lon, 7) lon, round(lat, 7) lat FROM pts")
 def utm_round_trip(spark, sf):
-    p = points(spark, sf).where("lat >= 0")
-    x, y = geo.to_utm(F.col("lon"), F.col("lat"), 32648)
-    lon, lat = geo.from_utm(F.col("ux"), F.col("uy"), 32648)
-    return p.withColumns({"ux": x, "uy": y}).select("code", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+    p = points(spark, sf).withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat")))
+    out = None
+    for e in [32647, 32648, 32747, 32748]:  # the zones of the synthetic places, north and south
+        x, y = geo.to_utm(F.col("lon"), F.col("lat"), e)
+        lon, lat = geo.from_utm(F.col("ux"), F.col("uy"), e)
+        part = p.where(F.col("epsg") == e).withColumns({"ux": x, "uy": y}).select("code", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@query(f"""WITH {PTS}, d AS (SELECT a.code, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) d FROM pts a JOIN pts b ON a.code <> b.code AND abs(a.x - b.x) <= 1500 AND abs(a.y - b.y) <= 1500 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 1500 GROUP BY 1)
+@query(f"""WITH {PTS}, d AS (SELECT a.code, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) d FROM pts a JOIN pts b ON a.code <> b.code GROUP BY 1)
 SELECT count(*) n, round(min(d), 6) min_nn, round(median(d), 6) median_nn, round(avg(d), 6) mean_nn, round(max(d), 6) max_nn FROM d""")
 def nn_spacing(spark, sf):
     return rounded(geo.nearest_spacing(points(spark, sf), 1500.0), min_nn=6, median_nn=6, mean_nn=6, max_nn=6)
@@ -656,10 +660,17 @@ def doc_hash(spark, sf):
     return load(spark, sf, "pages").select("page_id", retrieval.content_hash(F.col("html")).alias("hash"))
 
 
-@query("""WITH b AS (SELECT page_id, regexp_replace(split_part(url, '/', 3), '[^A-Za-z0-9_-]+', '_', 'g') base FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) n FROM b) SELECT page_id, base || CASE WHEN n > 1 THEN '_' || n::VARCHAR ELSE '' END doc_id FROM n""")
+# every 50th page's base is what the second page of a host is called, every 75th what that one then becomes
+@query("""WITH RECURSIVE h AS (SELECT page_id, regexp_replace(split_part(url, '/', 3), '[^A-Za-z0-9_-]+', '_', 'g') || CASE WHEN page_id % 75 = 0 THEN '_2_2' WHEN page_id % 50 = 0 THEN '_2' ELSE '' END base FROM pages),
+o AS (SELECT row_number() OVER (ORDER BY page_id) rn, * FROM h),
+a AS (SELECT 0::BIGINT rn, NULL::BIGINT page_id, NULL::VARCHAR id, []::VARCHAR[] taken
+ UNION ALL SELECT rn, page_id, id, list_append(taken, id) FROM (SELECT o.rn, o.page_id, a.taken, CASE WHEN NOT list_contains(a.taken, o.base) THEN o.base
+ ELSE list_filter(list_transform(range(2, len(a.taken) + 3), lambda k: o.base || '_' || k), lambda x: NOT list_contains(a.taken, x))[1] END id FROM a JOIN o ON o.rn = a.rn + 1))
+SELECT page_id, id doc_id FROM a WHERE rn > 0""")
 def unique_ids(spark, sf):
-    p = load(spark, sf, "pages").select("page_id", numeric.clean_name(F.split_part("url", F.lit("/"), F.lit(3))).alias("base"))
-    return retrieval.unique_ids(p, "base", "page_id").select("page_id", "doc_id")
+    host = numeric.clean_name(F.split_part("url", F.lit("/"), F.lit(3)))
+    base = F.concat(host, F.when(F.col("page_id") % 75 == 0, "_2_2").when(F.col("page_id") % 50 == 0, "_2").otherwise(""))
+    return retrieval.unique_ids(load(spark, sf, "pages").select("page_id", base.alias("base")), "base", "page_id").select("page_id", "doc_id")
 
 
 @query("SELECT doc_id, lang AS value FROM documents WHERE trim(lang) <> '' AND lang NOT IN ('en', 'de')")

@@ -69,7 +69,10 @@ def test_search_and_snippet(spark):
 def test_unique_ids(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("a_2", 4)], "base string, o int")
     got = [r.doc_id for r in retrieval.unique_ids(df, "base", "o").orderBy("o").collect()]
-    assert len(set(got)) == 4 and got[0] == "a" and got[2] == "b" and got[3] == "a_2"
+    assert got == ["a", "a_2", "b", "a_2_2"]
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a_2", 3), ("a_2_2", 4), ("a", 5), ("a_2", 6)], "base string, o int")
+    got = [r.doc_id for r in retrieval.unique_ids(df, "base", "o").orderBy("o").collect()]
+    assert got == ["a", "a_2", "a_2_2", "a_2_2_2", "a_3", "a_2_3"]
 
 
 def test_overrides():
