@@ -2,10 +2,15 @@
 
 Folds, trends and variograms do not depend on the neighbourhood: they are fitted once for each (method, fold, kind),
 and neighbours are ranked once at the widest setting. Every candidate then filters that ranking.
+
+Points are never copied for folds. All variograms of all folds come from one pass over the pairs: a pair belongs to
+every fold but its two ends' own, and as the difference of two residuals is dz - b . dx, the sums of dz dz, dz dx and
+dx dx by lag and by the ends' folds give the residual variogram under the trend of any fold.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -17,8 +22,8 @@ from ..functions.transforms import back
 from .aggregate import metrics
 from .geo import range_join
 from .kriging import krige
-from .trend import fit_without_folds, predict_folds
-from .variogram import bins, candidate_frame, candidates, cloud
+from .trend import fit_without_folds
+from .variogram import candidate_frame, candidates
 
 MODELS = {"regression_only": "Regression-only", "ordinary_kriging": "Ordinary Kriging", "regression_kriging": "Regression Kriging"}
 
@@ -59,52 +64,117 @@ def fold_diagnostics(predictions: DataFrame, n_total: int | None = None) -> Data
     return g.withColumn("n_train", total - F.col("n_test")).select("cv_method", "fold", "n_train", "n_test", "ok_missing", "rk_missing")
 
 
-def with_trend(folded: DataFrame, target: str, predictors: list[str]) -> DataFrame:
-    """Adds the fold's trend prediction. A row is predicted by the trend that left its fold out."""
-    parts = []
-    for m in [r[0] for r in folded.select("cv_method").distinct().collect()]:  # a few methods
-        own = folded.where(F.col("cv_method") == m)
-        parts.append(own.withColumn("trend", predict_folds(own, fit_without_folds(own, target, predictors))))
-    return reduce(DataFrame.unionByName, parts)
+def methods_of(folded: DataFrame) -> list[str]:
+    """The few methods that a table of folds holds."""
+    return sorted(r[0] for r in folded.select("cv_method").distinct().collect())
+
+
+def fold_trends(folded: DataFrame, target: str, predictors: list[str]) -> DataFrame:
+    """cv_method, for_fold, b0 (intercept), b1 ... of the trend fitted without each fold: a row for each, on the driver before."""
+    rows = []
+    for m in methods_of(folded):
+        for f, t in fit_without_folds(folded.where(F.col("cv_method") == m), target, predictors).items():
+            rows.append((m, int(f), t.intercept, *t.coefficients))
+    fields = ", ".join(f"b{i} double" for i in range(len(predictors) + 1))
+    return folded.sparkSession.createDataFrame(rows, f"cv_method string, for_fold int, {fields}")
 
 
-def fold_samples(folded: DataFrame, target: str, predictors: list[str]) -> DataFrame:
-    """Training rows of every (method, fold): each point once for each other fold, with its value and residual there."""
-    parts = []
-    for m in [r[0] for r in folded.select("cv_method").distinct().collect()]:
-        own = folded.where(F.col("cv_method") == m)
-        for f, t in fit_without_folds(own, target, predictors).items():
-            parts.append(own.where(F.col("fold") != f).select("cv_method", F.lit(f).alias("for_fold"), "code", "x", "y", F.col(target).alias("value"), (F.col(target) - t.column()).alias("residual")))
-    return reduce(DataFrame.unionByName, parts)
+def trend_at(predictors: list[str], prefix: str = ""):
+    out = F.col("b0")
+    for i, p in enumerate(predictors, 1):
+        out = out + F.col(f"b{i}") * F.col(f"{prefix}{p}")
+    return out
 
 
-def fold_models(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def with_trend(folded: DataFrame, target: str, predictors: list[str], trends: DataFrame | None = None) -> DataFrame:
+    """Adds the fold's trend prediction. A row is predicted by the trend that left its fold out."""
+    trends = fold_trends(folded, target, predictors) if trends is None else trends
+    own = trends.withColumnRenamed("for_fold", "fold")
+    return folded.join(F.broadcast(own), ["cv_method", "fold"], "left").withColumn("trend", trend_at(predictors)).drop(*[c for c in own.columns if c not in ("cv_method", "fold")])
+
+
+def wide_folds(folded: DataFrame, target: str, predictors: list[str], methods: list[str]) -> DataFrame:
+    """Each point once: code, x, y, z, its predictors p0 ... and its fold under each method f0 ..."""
+    keep = [F.first("x").alias("x"), F.first("y").alias("y"), F.first(F.col(target).cast("double")).alias("z"), *[F.first(F.col(p).cast("double")).alias(f"p{i}") for i, p in enumerate(predictors)]]
+    folds = [F.max(F.when(F.col("cv_method") == m, F.col("fold"))).alias(f"f{i}") for i, m in enumerate(methods)]
+    return folded.na.drop(subset=[target, *predictors]).groupBy("code").agg(*keep, *folds)
+
+
+def fold_bins(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, k: int, cfg: Config) -> DataFrame:
+    """cv_method, for_fold, kind, bin, np, dist, gamma of all folds from one pass over the pairs."""
+    met = range_join(wide, wide, cfg.variogram_cutoff, where=F.col("l_code") < F.col("r_code")).where("h > 0")
+    d = lambda c: F.col(f"l_{c}") - F.col(f"r_{c}")
+    ps = range(n_predictors)
+    sums = [F.count("*").alias("np"), F.sum("h").alias("h"), F.sum(d("z") * d("z")).alias("zz")]
+    sums += [F.sum(d("z") * d(f"p{i}")).alias(f"zx{i}") for i in ps] + [F.sum(d(f"p{i}") * d(f"p{j}")).alias(f"xx{i}_{j}") for i in ps for j in ps if j <= i]
+    ends = [F.col(f"{s}_f{i}").alias(f"{s}{i}") for i in range(len(methods)) for s in "lr"]
+    parts = met.groupBy(F.ceil(F.col("h") / cfg.variogram_width).cast("bigint").alias("bin"), *ends).agg(*sums)
+    names = [c for c in parts.columns if c not in {"bin", *[f"{s}{i}" for i in range(len(methods)) for s in "lr"]}]
+    belongs = [F.array_except(F.sequence(F.lit(1), F.lit(k)), F.array(f"l{i}", f"r{i}")) for i in range(len(methods))]
+    tagged = lambda m, b: F.transform(b, lambda f: F.struct(F.lit(m).alias("cv_method"), f.alias("for_fold")))
+    each = F.flatten(F.array(*[tagged(m, b) for m, b in zip(methods, belongs)]))
+    total = parts.withColumn("_g", F.explode(each)).groupBy("_g.cv_method", "_g.for_fold", "bin").agg(*[F.sum(c).alias(c) for c in names])
+    total = total.join(F.broadcast(trends), ["cv_method", "for_fold"])
+    rest = F.col("zz")
+    for i in ps:
+        rest = rest - 2 * F.col(f"b{i + 1}") * F.col(f"zx{i}")
+        for j in ps:
+            rest = rest + F.col(f"b{i + 1}") * F.col(f"b{j + 1}") * F.col(f"xx{max(i, j)}_{min(i, j)}")
+    kinds = F.array(F.struct(F.lit("ok").alias("kind"), F.col("zz").alias("s")), F.struct(F.lit("rk").alias("kind"), F.greatest(rest, F.lit(0.0)).alias("s")))
+    rows = total.select("cv_method", "for_fold", "bin", "np", (F.col("h") / F.col("np")).alias("dist"), F.explode(kinds).alias("_k"))
+    return rows.select("cv_method", "for_fold", "_k.kind", "bin", "np", "dist", (0.5 * F.col("_k.s") / F.col("np")).alias("gamma"))
+
+
+def fold_models(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, cfg: Config = DEFAULT) -> DataFrame:
     """The variogram of each (method, fold, kind): kind is ok (values) or rk (residuals); manual where none fits."""
-    long = samples.select("cv_method", "for_fold", "code", "x", "y", F.explode(F.array(F.struct(F.lit("ok").alias("kind"), F.col("value").alias("v")), F.struct(F.lit("rk").alias("kind"), F.col("residual").alias("v")))).alias("k"))
-    long = long.select("cv_method", "for_fold", "code", "x", "y", F.col("k.kind").alias("kind"), F.col("k.v").alias("v"))
     by = ["cv_method", "for_fold", "kind"]
     manual = [F.lit(cfg.variogram_model), F.lit(cfg.manual_nugget), F.lit(cfg.manual_psill), F.lit(cfg.manual_range)]
-    groups = long.select(*by).distinct()
+    groups = trends.select("cv_method", "for_fold", F.explode(F.array(F.lit("ok"), F.lit("rk"))).alias("kind"))
     names = ("model", "nugget", "psill", "range")
     if not cfg.cv_refit_variogram:
         return groups.select(*by, *[m.alias(n) for m, n in zip(manual, names)], F.lit("manual").alias("status"))
-    best = candidates(bins(cloud(long, "v", cfg.variogram_cutoff, by=by), cfg.variogram_width, by), cfg, by, candidate_frame(samples.sparkSession, cfg)).where("rank = 1")
+    k = trends.agg(F.max("for_fold")).first()[0] or 0
+    best = candidates(fold_bins(wide, trends, methods, n_predictors, k, cfg), cfg, by, candidate_frame(wide.sparkSession, cfg)).where("rank = 1")
     got = groups.join(best.select(*by, *[F.col(n).alias(f"_{n}") for n in names]), by, "left")
     return got.select(*by, *[F.coalesce(F.col(f"_{n}"), m).alias(n) for m, n in zip(manual, names)], F.when(F.col("_model").isNull(), "manual").otherwise("refit").alias("status"))
 
 
-def ranked_neighbours(folded: DataFrame, samples: DataFrame, radius: float, nmax: int) -> DataFrame:
-    """For each tested point its nearest training samples, with both values; rn by distance and code."""
-    q = folded.select("cv_method", F.col("fold").alias("for_fold"), "code", "x", "y")
-    met = range_join(q, samples, radius, ["cv_method", "for_fold"])
-    w = Window.partitionBy("l_cv_method", "l_for_fold", "l_code").orderBy("h", "r_code")
-    return met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= nmax)
-
+def ranked_neighbours(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, radius: float, nmax: int) -> DataFrame:
+    """For each point and method its nearest points of other folds, with value and residual; rn by distance and code.
 
-def _kriged(near: DataFrame, models: DataFrame, extra: list[str], kind: str, value: str) -> DataFrame:
-    keys = [*extra, "cv_method", "for_fold", "code"]
-    n = near.withColumn("r_z", F.col(f"r_{value}")).withColumnsRenamed({"l_cv_method": "cv_method", "l_for_fold": "for_fold", "l_code": "code"})
-    return krige(n, models.where(F.col("kind") == kind), keys, ["cv_method", "for_fold"])
+    Pairs are met once for all methods. A first radius holds some four times nmax points by the mean density, the next
+    sixteen times as many; only points that miss some there look further, so pairs grow with the points and not with the radius.
+    """
+    n, area = wide.agg(F.count("*"), (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).first()
+    first = math.sqrt(4 * nmax * area / (math.pi * n)) if n and area else radius
+    radii = [*(r for r in (first, 4 * first) if r < radius), radius]
+    open_, parts = wide.withColumns({f"o{i}": F.lit(True) for i in range(len(methods))}), []
+    for r in radii:
+        apart = [F.col(f"l_o{i}") & (F.col(f"l_f{i}") != F.col(f"r_f{i}")) for i in range(len(methods))]
+        met = range_join(open_, wide, r, where=(F.col("l_code") != F.col("r_code")) & reduce(lambda a, b: a | b, apart))
+        each = F.filter(F.array(*[F.when(a, F.struct(F.lit(m).alias("cv_method"), F.col(f"l_f{i}").alias("for_fold"))) for i, (m, a) in enumerate(zip(methods, apart))]), lambda s: s.isNotNull())
+        met = met.withColumn("_g", F.explode(each)).select("_g.*", "h", "l_code", "l_x", "l_y", "r_code", "r_x", "r_y", "r_z", *[f"r_p{i}" for i in range(n_predictors)])
+        w = Window.partitionBy("cv_method", "l_code").orderBy("h", "r_code")
+        near = met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= nmax)
+        if r == radius:
+            parts.append(near)
+            break
+        near = near.withColumn("_most", F.max("rn").over(Window.partitionBy("cv_method", "l_code"))).where(F.col("_most") == nmax).drop("_most")
+        parts.append(near)
+        full = near.where(F.col("rn") == 1).groupBy(F.col("l_code").alias("code")).agg(*[F.max(F.col("cv_method") == m).alias(f"d{i}") for i, m in enumerate(methods)])
+        still = {f"o{i}": F.col(f"o{i}") & ~F.coalesce(f"d{i}", F.lit(False)) for i in range(len(methods))}
+        open_ = open_.join(full, "code", "left").withColumns(still).drop(*[f"d{i}" for i in range(len(methods))])
+        open_ = open_.where(reduce(lambda a, b: a | b, [F.col(f"o{i}") for i in range(len(methods))]))
+    near = reduce(DataFrame.unionByName, parts).join(F.broadcast(trends), ["cv_method", "for_fold"])
+    residual = F.col("r_z") - trend_at([f"p{i}" for i in range(n_predictors)], "r_")
+    return near.select("cv_method", "for_fold", F.col("l_code").alias("code"), "l_x", "l_y", "r_x", "r_y", "h", "rn", F.col("r_z").alias("value"), residual.alias("residual"))
+
+
+def _kriged(near: DataFrame, models: DataFrame, extra: list[str], kinds: dict[str, str]) -> DataFrame:
+    """pred and variance of each kind; kinds: kind -> column of near that it interpolates."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("r_z")) for k, c in kinds.items()])).alias("_k")
+    n = near.select(*extra, "cv_method", "for_fold", "code", "l_x", "l_y", "r_x", "r_y", "rn", each).select("*", "_k.kind", "_k.r_z").drop("_k")
+    return krige(n, models, [*extra, "cv_method", "for_fold", "code", "kind"], ["cv_method", "for_fold", "kind"])
 
 
 def compare(folded: DataFrame, target: str, predictors: list[str], cfg: Config = DEFAULT, transform: str = "none") -> DataFrame:
@@ -112,14 +182,13 @@ def compare(folded: DataFrame, target: str, predictors: list[str], cfg: Config =
 
     folded: cv_method, fold, code, x, y, target on the model scale, predictors. Results are on the original scale.
     """
-    tested, samples = with_trend(folded, target, predictors), fold_samples(folded, target, predictors)
-    samples = samples.persist()
-    models = fold_models(samples, cfg).persist()
-    radius = cfg.search_radius
-    near = ranked_neighbours(folded, samples, radius, cfg.nmax_neighbors).persist()
-    ok = _kriged(near, models, [], "ok", "value").select("cv_method", F.col("for_fold").alias("fold"), "code", F.col("pred").alias("_ok"), F.col("variance").alias("ok_variance"))
-    rk = _kriged(near, models, [], "rk", "residual").select("cv_method", F.col("for_fold").alias("fold"), "code", F.col("pred").alias("_rk"), F.col("variance").alias("rk_residual_variance"))
-    out = tested.join(ok, ["cv_method", "fold", "code"], "left").join(rk, ["cv_method", "fold", "code"], "left")
+    methods, trends, p = methods_of(folded), fold_trends(folded, target, predictors), len(predictors)
+    wide = wide_folds(folded, target, predictors, methods)
+    near = ranked_neighbours(wide, trends, methods, p, cfg.search_radius, cfg.nmax_neighbors)
+    got = _kriged(near, fold_models(wide, trends, methods, p, cfg), [], {"ok": "value", "rk": "residual"})
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    got = got.groupBy("cv_method", F.col("for_fold").alias("fold"), "code").agg(of("ok", "pred").alias("_ok"), of("ok", "variance").alias("ok_variance"), of("rk", "pred").alias("_rk"), of("rk", "variance").alias("rk_residual_variance"))
+    out = with_trend(folded, target, predictors, trends).join(got, ["cv_method", "fold", "code"], "left")
     b = lambda c, v=None: back(c, transform, v, cfg.log_backtransform_bias_correction)
     return out.select(
         "cv_method", "fold", "code", "x", "y", b(F.col(target)).alias("observed"), b(F.col("trend")).alias("regression_only"), b(F.col("_ok"), F.col("ok_variance")).alias("ordinary_kriging"),
@@ -150,11 +219,12 @@ def tune(folded: DataFrame, target: str, predictors: list[str], cfg: Config = DE
     spark = folded.sparkSession
     grid = sorted((int(n), float(r)) for n in {*cfg.auto_neighbor_nmax_candidates} for r in {*cfg.auto_neighbor_search_radius_candidates})[: cfg.auto_neighbor_max_candidates]
     cand = spark.createDataFrame(grid, "nmax int, radius double")
-    tested, samples = with_trend(folded, target, predictors), fold_samples(folded, target, predictors).persist()
-    models = fold_models(samples, cfg).persist()
-    near = ranked_neighbours(folded, samples, max(r for _, r in grid), max(n for n, _ in grid)).persist()
+    methods, trends, p = methods_of(folded), fold_trends(folded, target, predictors), len(predictors)
+    tested, wide = with_trend(folded, target, predictors, trends), wide_folds(folded, target, predictors, methods)
+    models = fold_models(wide, trends, methods, p, cfg)
+    near = ranked_neighbours(wide, trends, methods, p, max(r for _, r in grid), max(n for n, _ in grid))
     own = near.crossJoin(F.broadcast(cand)).where((F.col("rn") <= F.col("nmax")) & (F.col("h") <= F.col("radius")))
-    rk = _kriged(own, models, ["nmax", "radius"], "rk", "residual").select("nmax", "radius", "cv_method", F.col("for_fold").alias("fold"), "code", "pred", "variance")
+    rk = _kriged(own, models, ["nmax", "radius"], {"rk": "residual"}).select("nmax", "radius", "cv_method", F.col("for_fold").alias("fold"), "code", "pred", "variance")
     both = tested.crossJoin(F.broadcast(cand)).join(rk, ["nmax", "radius", "cv_method", "fold", "code"], "left")
     b = both.select("nmax", "radius", "cv_method", back(F.col(target), transform).alias("observed"), back(F.col("trend") + F.col("pred"), transform, F.col("variance"), cfg.log_backtransform_bias_correction).alias("predicted"))
     m = tuning_score(metrics(b, "observed", "predicted", ["nmax", "radius", "cv_method"]), folded.select("code").distinct().count(), practical)

@@ -23,34 +23,47 @@ def gamma(model: str, nugget: float, psill: float, range_: float, h: np.ndarray)
     return np.where(h == 0, 0.0, nugget + psill * s)
 
 
-def solve(xy: np.ndarray, z: np.ndarray, at: np.ndarray, model: tuple) -> tuple[float | None, float | None]:
-    """Prediction and variance at one place; nothing if the system is singular."""
-    n = len(z)
-    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
-    a = np.ones((n + 1, n + 1))
-    a[:n, :n] = gamma(*model, d)
-    a[n, n] = 0.0
-    b = np.append(gamma(*model, np.sqrt(((xy - at) ** 2).sum(1))), 1.0)
+def solve(xy: np.ndarray, z: np.ndarray, at: np.ndarray, models: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions and variances of neighbourhoods of one size, solved together; NaN where a system is singular.
+
+    xy: (rows, n, 2); z: (rows, n); at: (rows, 2); models: (model, nugget, psill, range) of each row.
+    """
+    rows, n = z.shape
+    a, b = np.ones((rows, n + 1, n + 1)), np.ones((rows, n + 1))
+    d = np.sqrt(((xy[:, :, None] - xy[:, None]) ** 2).sum(3))
+    to = np.sqrt(((xy - at[:, None]) ** 2).sum(2))
+    for m in set(models):
+        on = np.array([x == m for x in models])
+        a[on, :n, :n], b[on, :n] = gamma(*m, d[on]), gamma(*m, to[on])
+    a[:, n, n] = 0.0
     try:
-        w = np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:
-        return None, None
-    p, v = float(w[:n] @ z), float(w @ b)
-    return (p, v) if np.isfinite(p) and np.isfinite(v) else (None, None)
+        w = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:  # some row is singular: each on its own
+        w = np.full(b.shape, np.nan)
+        for i in range(rows):
+            try:
+                w[i] = np.linalg.solve(a[i], b[i])
+            except np.linalg.LinAlgError:
+                continue
+    return (w[:, :n] * z).sum(1), (w * b).sum(1)
 
 
 def _solver(keys: list[str]):
     def run(batches):
         for b in batches:
-            cols = {c: b.column(c).to_pylist() for c in b.schema.names}
-            pred, var = [], []
-            for i in range(b.num_rows):
-                near = cols["near"][i]
-                xy = np.array([(r["x"], r["y"]) for r in near], float)
-                p, v = solve(xy, np.array([r["z"] for r in near], float), np.array([cols["qx"][i], cols["qy"][i]], float), (cols["model"][i], cols["nugget"][i], cols["psill"][i], cols["range"][i]))
-                pred.append(p)
-                var.append(v)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(pred, pa.float64()), pa.array(var, pa.float64())], [*keys, "pred", "variance"])
+            near, size = b.column("near"), b.column("near").value_lengths().to_numpy()
+            flat = near.flatten()
+            xyz = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "z")], 1)
+            begin = np.concatenate([[0], np.cumsum(size)])
+            at = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("qx", "qy")], 1)
+            models = list(zip(*(b.column(c).to_pylist() for c in ("model", "nugget", "psill", "range"))))
+            pred, var = np.full(b.num_rows, np.nan), np.full(b.num_rows, np.nan)
+            for n in np.unique(size).tolist():
+                rows = np.flatnonzero(size == n)
+                part = xyz[begin[rows][:, None] + np.arange(n)]
+                pred[rows], var[rows] = solve(part[:, :, :2], part[:, :, 2], at[rows], [models[i] for i in rows])
+            bad = ~(np.isfinite(pred) & np.isfinite(var))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(pred, pa.float64(), mask=bad), pa.array(var, pa.float64(), mask=bad)], [*keys, "pred", "variance"])
 
     return run
 

@@ -72,7 +72,9 @@ def test_kriging_invariants(spark, pts):
     moved = kriging.ordinary_kriging(far.where("code = 2").withColumns({"x": F.col("x") + 9000, "y": F.col("y") - 777}), pts.withColumns({"x": F.col("x") + 9000, "y": F.col("y") - 777}), "z", m, 500.0, 8).first()
     assert moved.pred == pytest.approx(a[2].pred) and moved.variance == pytest.approx(a[2].variance)
     twin = pts.limit(5).unionByName(pts.limit(5).withColumn("code", F.col("code") + 1000))
-    assert kriging.solve(np.array([[0.0, 0], [0, 0]]), np.array([1.0, 2]), np.array([1.0, 1]), MODEL) == (None, None)  # coincident samples
+    two = np.array([[[0.0, 0], [0, 0]], [[0.0, 0], [0, 2.0]]])  # the first row's samples coincide
+    pred, var = kriging.solve(two, np.array([[1.0, 2], [1.0, 2]]), np.array([[1.0, 1], [0.0, 1]]), [MODEL, MODEL])
+    assert np.isnan(pred[0]) and np.isnan(var[0]) and abs(pred[1] - 1.5) < 1e-9
     assert kriging.ordinary_kriging(far, twin, "z", m, 2000.0, 4).count() == 2
 
 
