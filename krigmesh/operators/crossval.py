@@ -139,15 +139,20 @@ def fold_models(wide: DataFrame, trends: DataFrame, methods: list[str], n_predic
     return got.select(*by, *[F.coalesce(F.col(f"_{n}"), m).alias(n) for m, n in zip(manual, names)], F.when(F.col("_model").isNull(), "manual").otherwise("refit").alias("status"))
 
 
-def ranked_neighbours(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, radius: float, nmax: int) -> DataFrame:
+def ranked_neighbours(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, radius: float | None, nmax: int) -> DataFrame:
     """For each point and method its nearest points of other folds, with value and residual; rn by distance and code.
 
     Pairs are met once for all methods. A first radius holds some four times nmax points by the mean density, the next
     sixteen times as many; only points that miss some there look further, so pairs grow with the points and not with the radius.
+    Without a radius the search widens until it covers the extent.
     """
-    n, area = wide.agg(F.count("*"), (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).first()
-    first = math.sqrt(4 * nmax * area / (math.pi * n)) if n and area else radius
-    radii = [*(r for r in (first, 4 * first) if r < radius), radius]
+    n, width, height = wide.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    first = math.sqrt(4 * nmax * width * height / (math.pi * n)) if n and width and height else 0.0
+    if radius is None:
+        radius = 1.0 + math.hypot(width or 0.0, height or 0.0)
+        radii = [r for r in (first * 4**k for k in range(16)) if 0 < r < radius] + [radius]
+    else:
+        radii = [r for r in (first, 4 * first) if 0 < r < radius] + [radius]
     open_, parts = wide.withColumns({f"o{i}": F.lit(True) for i in range(len(methods))}), []
     for r in radii:
         apart = [F.col(f"l_o{i}") & (F.col(f"l_f{i}") != F.col(f"r_f{i}")) for i in range(len(methods))]
@@ -184,7 +189,7 @@ def compare(folded: DataFrame, target: str, predictors: list[str], cfg: Config =
     """
     methods, trends, p = methods_of(folded), fold_trends(folded, target, predictors), len(predictors)
     wide = wide_folds(folded, target, predictors, methods)
-    near = ranked_neighbours(wide, trends, methods, p, cfg.search_radius, cfg.nmax_neighbors)
+    near = ranked_neighbours(wide, trends, methods, p, cfg.search_radius if cfg.cv_require_neighbors else None, cfg.nmax_neighbors)
     got = _kriged(near, fold_models(wide, trends, methods, p, cfg), [], {"ok": "value", "rk": "residual"})
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     got = got.groupBy("cv_method", F.col("for_fold").alias("fold"), "code").agg(of("ok", "pred").alias("_ok"), of("ok", "variance").alias("ok_variance"), of("rk", "pred").alias("_rk"), of("rk", "variance").alias("rk_residual_variance"))

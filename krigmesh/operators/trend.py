@@ -97,3 +97,10 @@ def residual_stats(df: DataFrame, residual: str) -> DataFrame:
     from ..functions.transforms import sample_skewness
 
     return df.agg(F.avg(residual).alias("residual_mean"), F.stddev_samp(residual).alias("residual_sd"), sample_skewness(F.col(residual)).alias("residual_skewness"))
+
+
+def trend_warnings(r2: Column) -> Column:
+    """Codes for a trend that explains next to nothing, and for one that leaves little to interpolate."""
+    from ..functions.numeric import flags
+
+    return flags(("trend_weak", r2 < 0.1), ("trend_strong", r2 > 0.6))

@@ -24,6 +24,8 @@ def report(points: DataFrame, target: str, predictors: list[str], cfg: Config =
     profile = profile or evaluate.profiles()["generic_continuous"]
     how = transforms.resolve(points, target, cfg.target_transform, profile.transform, profile.nonnegative).first()["used"]
     rows = points.withColumn("_t", transforms.forward(F.col(target).cast("double"), how)).na.drop(subset=["_t", *predictors])
+    if rows.limit(5).count() < 5:
+        raise ValueError("at least 5 rows with the target and all predictors are needed")
     tr = trend.fit(rows, "_t", predictors)
     fitted = rows.withColumn("_trend", transforms.back(tr.column(), how)).withColumn("_res", F.col("_t") - tr.column())
     bins = variogram.bins(variogram.cloud(fitted, "_res", cfg.variogram_cutoff), cfg.variogram_width)
@@ -41,6 +43,7 @@ def report(points: DataFrame, target: str, predictors: list[str], cfg: Config =
     out = out.withColumn("variogram_warnings", v).withColumn("n_variogram_warnings", F.size("variogram_warnings"))
     other = flags(("few_values", F.col("n_valid") < 30), ("outside_valid", F.col("n_outside_valid") > 0), ("outside_soft", F.col("n_outside_soft") > 0), ("outliers", F.col("outlier_count") > 0.1 * F.col("n_valid")), ("r2_negative", F.col("cv_r2") < 0), ("no_gain_over_regression", F.col("rk_rmse") > 0.95 * F.col("regression_rmse")), ("no_gain_over_ok", F.col("rk_rmse") > 0.95 * F.col("ok_rmse")))
     out = out.withColumn("warnings", F.concat(other, "variogram_warnings")).withColumn("no_gain_over_regression", F.array_contains("warnings", "no_gain_over_regression"))
+    out = out.withColumn("trend_warnings", trend.trend_warnings(F.col("trend_r2")))
     ex, gd, ac = profile.nrmse
     out = out.withColumns({"nrmse_excellent": F.lit(ex), "nrmse_good": F.lit(gd), "nrmse_acceptable": F.lit(ac), "uncertainty_available": F.lit(True), "class_enabled": F.lit(False), "class_accuracy": F.lit(None).cast("double"), "in_sample": F.lit(False), "transform": F.lit(how)})
     out = evaluate.grade(evaluate.component_scores(out), profile.weights, profile.focus)

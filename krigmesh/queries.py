@@ -445,9 +445,9 @@ def cv_detail(spark, sf):
     return rounded(crossval.detail(t).select("code", "fold", "residual", "absolute_error", "squared_error"), residual=5, absolute_error=5, squared_error=1)
 
 
-@query(f"WITH {SUP}, f AS (SELECT code, ntile(5) OVER (ORDER BY md5('42:' || code::VARCHAR), code)::INT fold FROM pts) SELECT 'random' cv_method, fold, (SELECT count(*) FROM f) - count(*) n_train, count(*) n_test FROM f GROUP BY fold")
+@query(f"WITH {PTS}, f AS (SELECT code, ntile(5) OVER (ORDER BY md5('42:' || code::VARCHAR), code)::INT fold FROM pts) SELECT 'random' cv_method, fold, (SELECT count(*) FROM f) - count(*) n_train, count(*) n_test FROM f GROUP BY fold")
 def cv_fold_diagnostics(spark, sf):
-    p = folded(spark, sf, small=True).withColumns({"ordinary_kriging": F.lit(None).cast("double"), "regression_kriging": F.lit(None).cast("double")})
+    p = folded(spark, sf).withColumns({"ordinary_kriging": F.lit(None).cast("double"), "regression_kriging": F.lit(None).cast("double")})
     return crossval.fold_diagnostics(p).select("cv_method", "fold", "n_train", "n_test")
 
 

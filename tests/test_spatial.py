@@ -169,3 +169,24 @@ def test_loop():
     assert plans.loop(lambda p: {"r2": 0.2}, {}, decide=lambda *a: None)[1] == "WAITING_FOR_AI_DECISION"
     assert plans.loop(lambda p: {"status": "failed"}, {})[1] == "RUN_FAILED_NO_RESULT"
     assert plans.loop(lambda p: {"r2": 0.1}, {}, 1)[1] == "MAX_ITERATIONS_REACHED"
+
+
+def test_without_a_largest_distance_every_point_is_predicted(spark):
+    rows = [(i, float(i % 7) * 10 + (1000 if i > 40 else 0), float(i // 7) * 10, float(i % 5), float(i % 3)) for i in range(45)]
+    pts = spark.createDataFrame(rows, "code bigint, x double, y double, z double, pc1 double")
+    folded = pts.withColumn("fold", F.when(F.col("code") > 40, 1).otherwise(F.col("code") % 3 + 2).cast("int")).withColumn("cv_method", F.lit("random"))
+    near = CFG.with_overrides({"search_radius": 50.0, "variogram_cutoff": 60.0, "variogram_width": 10.0})
+    far = near.with_overrides({"cv_require_neighbors": False})
+    missing = [{r.code for r in crossval.compare(folded, "z", ["pc1"], c).where("ordinary_kriging is null").collect()} for c in (near, far)]
+    assert missing == [set(range(41, 45)), set()]
+
+
+def test_trend_warnings_and_least_rows(spark):
+    from krigmesh.operators import trend
+    from krigmesh.plans.run import report
+
+    got = spark.createDataFrame([(0.05,), (0.3,), (0.7,)], "r2 double").select(trend.trend_warnings(F.col("r2")).alias("w")).collect()
+    assert [r.w for r in got] == [["trend_weak"], [], ["trend_strong"]]
+    few = spark.createDataFrame([(i, float(i), 1.0, 2.0 if i < 4 else None, 1.0) for i in range(9)], "code int, x double, y double, z double, p double")
+    with pytest.raises(ValueError, match="at least 5 rows"):
+        report(few, "z", ["p"])
