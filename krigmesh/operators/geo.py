@@ -8,6 +8,7 @@ to ``salt`` parts and the other is copied to each, so a dense place spreads over
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,27 +131,50 @@ def pairs(points: DataFrame, radius: float, key: str = "code", salt: int = 1) ->
     return range_join(points, points, radius, where=F.col(f"l_{key}") < F.col(f"r_{key}"), salt=salt)
 
 
+def mean_radius(points: DataFrame, expected: float) -> float:
+    """Radius of the circle that holds so many points by the mean density; 0 where that tells nothing."""
+    n, width, height = points.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    area = (width or 0.0) * (height or 0.0)
+    return math.sqrt(expected * area / (math.pi * n)) if n and 0 < area < math.inf else 0.0
+
+
 def neighbours(queries: DataFrame, samples: DataFrame, radius: float, nmax: int, on: list[str] | None = None, where: Column | None = None, query_key: str = "code", sample_key: str = "code") -> DataFrame:
-    """The nmax nearest samples of each query within radius, numbered rn by distance and key."""
-    met = range_join(queries, samples, radius, on, where)
-    w = Window.partitionBy(*[f"l_{c}" for c in [*(on or []), query_key]]).orderBy("h", f"r_{sample_key}")
-    return met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= nmax)
+    """The nmax nearest samples of each query within radius, numbered rn by distance and key.
+
+    The first radius holds some twice nmax samples by the mean density, the next 32 times nmax; only queries with fewer
+    than nmax there look as far as `radius`, so pairs grow with the points and not with the radius allowed.
+    """
+    keys = [*(on or []), query_key]
+    first, parts, todo = mean_radius(samples, 2 * nmax), [], queries
+    ids = [f"l_{c}" for c in keys]
+    w = Window.partitionBy(*ids)
+    for r in [r for r in (first, 4 * first) if 0 < r < radius] + [radius]:
+        met = range_join(todo, samples, r, on, where)
+        near = met.withColumn("rn", F.row_number().over(w.orderBy("h", f"r_{sample_key}"))).where(F.col("rn") <= nmax)
+        if r < radius:
+            near = near.withColumn("_most", F.max("rn").over(w)).where(F.col("_most") == nmax).drop("_most")
+            full = met.groupBy(*ids).agg(F.count("*").alias("_n")).where(F.col("_n") >= nmax).select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(ids)])
+            todo = todo.join(full, [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(keys)], "left_anti")
+        parts.append(near)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nearest_spacing(points: DataFrame, radius: float, key: str = "code") -> DataFrame:
     """Distance to the nearest other point: minimum, median, mean and maximum over all points (n) of at least two.
 
-    Points without another one within radius look again within twice as much, and so on, so sparse ones stay in.
+    The search begins within the radius that holds some four points by the mean density, at most the one given. Points
+    without another one there look again within four times as much, and so on, so sparse ones stay in.
     """
     own = points.select(key, "x", "y")
-    todo, found = own, None
-    for _ in range(64):
+    todo, found, two = own, None, own.limit(2).count() == 2
+    radius = min(mean_radius(own, 4) or radius, radius)
+    for _ in range(32):
         met = range_join(todo, own, radius, where=F.col(f"l_{key}") != F.col(f"r_{key}")).groupBy(F.col(f"l_{key}").alias(key)).agg(F.min("h").alias("d"))
         found = met if found is None else found.unionByName(met)
         todo = todo.join(met.select(key), key, "left_anti")
-        if todo.isEmpty() or own.limit(2).count() < 2:
+        if not two or todo.isEmpty():
             break
-        radius *= 2
+        radius *= 4
     g = found.agg(F.count("*").alias("n"), F.min("d").alias("min_nn"), F.avg("d").alias("mean_nn"), F.max("d").alias("max_nn"))
     median = exact_quantiles(found, "d", {"median_nn": 0.5}).select("median_nn")
     return g.join(median, F.lit(True), "left").select("n", "min_nn", "median_nn", "mean_nn", "max_nn")

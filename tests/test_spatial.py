@@ -190,3 +190,26 @@ def test_trend_warnings_and_least_rows(spark):
     few = spark.createDataFrame([(i, float(i), 1.0, 2.0 if i < 4 else None, 1.0) for i in range(9)], "code int, x double, y double, z double, p double")
     with pytest.raises(ValueError, match="at least 5 rows"):
         report(few, "z", ["p"])
+
+
+def test_neighbours_meet_few_pairs_and_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.integers(0, 1000, (1200, 2)), rng.integers(480, 500, (150, 2)), [[1900, 1900], [1950, 1900], [5000, 5000]]]).astype(float)  # even, dense, sparse
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "code int, x double, y double")
+    met, join = [], geo.range_join
+    monkeypatch.setattr(geo, "range_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    got = sorted((r.l_code, r.rn, r.r_code, r.h) for r in geo.neighbours(df, df, 900.0, 5, where=F.col("l_code") != F.col("r_code")).collect())
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    near = {i: sorted((h, j) for j, h in enumerate(d[i]) if j != i and h <= 900)[:5] for i in range(len(at))}
+    assert got == [(i, k + 1, j, h) for i in near for k, (h, j) in enumerate(near[i])]
+    assert sum(m.count() for m in met) < 0.25 * (d <= 900).sum()
+
+
+def test_spacing_begins_near_and_finds_the_sparse(spark, monkeypatch):
+    at = [(float(i % 30), float(i // 30)) for i in range(900)] + [(400.0, 0.0), (400.0, 90.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "code int, x double, y double")
+    met, join = [], geo.range_join
+    monkeypatch.setattr(geo, "range_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    r = geo.nearest_spacing(df, 150.0).first()
+    assert (r.n, r.min_nn, r.median_nn, r.max_nn) == (902, 1.0, 1.0, 90.0) and r.mean_nn == pytest.approx(1080 / 902)
+    assert met[0].count() < 0.2 * 900 * 899
