@@ -28,7 +28,7 @@ def report(points: DataFrame, target: str, predictors: list[str], cfg: Config =
         raise ValueError("at least 5 rows with the target and all predictors are needed")
     tr = trend.fit(rows, "_t", predictors)
     fitted = rows.withColumn("_trend", transforms.back(tr.column(), how)).withColumn("_res", F.col("_t") - tr.column())
-    bins = variogram.bins(variogram.cloud(fitted, "_res", cfg.variogram_cutoff), cfg.variogram_width)
+    bins = variogram.binned(fitted, "_res", cfg.variogram_cutoff, cfg.variogram_width)
     model = variogram.select_model(bins, cfg)
     spacing, box = geo.nearest_spacing(points, cfg.search_radius), geo.extent(points)
     vario = variogram.diagnostics(model, bins, spacing, box, cfg)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from krigmesh import queries
 from krigmesh.config import DEFAULT
-from krigmesh.operators import aggregate, crossval, evaluate, geo, kriging, trend, variogram
+from krigmesh.operators import aggregate, crossval, evaluate, geo, kriging, pairsums, trend, variogram
 from krigmesh.plans import batch as plans
 from krigmesh.plans.run import report
 
@@ -213,3 +213,26 @@ def test_spacing_begins_near_and_finds_the_sparse(spark, monkeypatch):
     r = geo.nearest_spacing(df, 150.0).first()
     assert (r.n, r.min_nn, r.median_nn, r.max_nn) == (902, 1.0, 1.0, 90.0) and r.mean_nn == pytest.approx(1080 / 902)
     assert met[0].count() < 0.2 * 900 * 899
+
+
+def test_pair_sums_equal_the_cloud(spark, monkeypatch):
+    """Ties of distance at class limits, coincident places, repeated keys, no place, no value, a dense tile; and never a row for a pair."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.integers(-300, 300, (900, 2)), rng.integers(90, 99, (1500, 2))]).astype(float)
+    rows = [(int(i if i % 40 else 7), float(x), float(y), None if i % 50 == 3 else float(rng.normal() + 100), float(i % 3)) for i, (x, y) in enumerate(at)]
+    rows += [(9001, None, 1.0, 1.0, 0.0), (9002, float("nan"), 1.0, 1.0, 0.0), (9003, float("inf"), 1.0, 1.0, 0.0), (None, 1.0, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "code int, x double, y double, z double, p double")
+    plain = df.where("code is null or code <> 9003")  # the join of pairs can't hold infinity
+    want = {r.bin: r for r in variogram.bins(variogram.cloud(plain, "z", 110.0), 25.0).collect()}
+    top = variogram.cloud(plain, "z", 110.0).agg(F.count("*"), F.sum("h"), F.avg("g"), F.max("h")).first()
+    monkeypatch.setattr(pairsums, "PART", 400)
+    monkeypatch.setattr(pairsums, "LEAF", 40)
+    monkeypatch.setattr(geo, "range_join", None)
+    monkeypatch.setattr(variogram, "range_join", None)
+    got = {r.bin: r for r in variogram.binned(df, "z", 110.0, 25.0).collect()}
+    assert got.keys() == want.keys() == {1, 2, 3, 4, 5}
+    for k, r in got.items():
+        assert r.np == want[k].np and (r.dist, r.gamma) == pytest.approx((want[k].dist, want[k].gamma), rel=1e-11)
+    s = variogram.cloud_sums(df, "z", 110.0, 25.0).agg(F.sum("np"), F.sum("h"), F.sum("g") / F.sum("n_g"), F.max("max_h")).first()
+    assert s[0] == top[0] and s[3] == top[3] and tuple(s[1:3]) == pytest.approx(tuple(top[1:3]), rel=1e-11)
+    assert variogram.binned(df.limit(0), "z", 110.0, 25.0).count() == 0 and variogram.binned(df.limit(1), "z", 110.0, 25.0).count() == 0
