@@ -4,26 +4,62 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, snippet
 
 
-def unique_ids(df: DataFrame, base: str, order: str, rounds: int = 64) -> DataFrame:
-    """doc_id: the base for its first row, then base_2, base_3 ...; of rows that clash the first keeps its id.
+def _taken(base: str, first: str):
+    """For the bases of one stem: at which of a base's rows its count skips one more number (column at).
 
-    Every other row of a clash counts on, until no two rows share an id; rounds are as many as ids clash in a chain.
+    Rows: a base, and where an id base_k is itself a base (child): k and how many rows of the base come before the child's first.
     """
-    out = df.withColumn("_k", F.row_number().over(Window.partitionBy(base).orderBy(order)))
-    named = F.when(F.col("_k") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_k").cast("string")))
-    for _ in range(rounds):
-        out = out.withColumn("doc_id", named)
-        if out.groupBy("doc_id").count().where("count > 1").isEmpty():
-            return out.drop("_k")
-        later = F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) > 1
-        out = out.withColumn("_k", F.col("_k") + later.cast("int"))
-    raise RuntimeError("ids still clash")
+
+    def run(t: pa.Table) -> pa.Table:
+        by_base: dict[str, list] = {}
+        for b, child, k, before in zip(*(t.column(c).to_pylist() for c in (base, "_child", "_number", first))):
+            by_base.setdefault(b, []).append((k, before, child))
+        lost, out = set(), []
+        for b in sorted(by_base, key=len):  # who may take a base's own id is shorter than it
+            skipped = int(b in lost)
+            for k, before, child in sorted(by_base[b]):
+                row = k - skipped
+                if row <= before:
+                    lost.add(child)
+                else:
+                    out.append((b, row))
+                    skipped += 1
+        out += [(b, 1) for b in lost]
+        return pa.table([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], names=[base, "_at"])
+
+    return run
+
+
+def unique_ids(df: DataFrame, base: str, order: str) -> DataFrame:
+    """doc_id: rows take ids by `order`; each the base if it is free, else the first free of base_2, base_3 ...
+
+    An id can be claimed from two sides only, as a base and as a number of the base before its last `_k`. Such bases are
+    few; who comes first there follows from counts of rows, and all other rows are numbered by their place in their base.
+    A null base stays null. order has no ties.
+    """
+    child = df.where(F.col(base).isNotNull()).groupBy(base).agg(F.min(order).alias("_o"))
+    digits = F.regexp_extract(base, "(?s)^.*_([1-9][0-9]{0,17})$", 1)
+    claims = child.withColumn("_number", F.when(digits != "", digits).cast("bigint")).where("_number >= 2")
+    claims = claims.select(F.col(base).alias("_child"), "_number", "_o", F.regexp_replace(base, "(?s)_[0-9]+$", "").alias(base))
+    claims = claims.join(child.select(base), base)
+    rows = df.join(claims.select(base).distinct(), base, "left_semi").select(base, F.lit(None).cast("string").alias("_child"), F.lit(None).cast("bigint").alias("_number"), F.col(order).alias("_o"))
+    so_far = Window.partitionBy(base).orderBy("_o", F.col("_child").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    claims = claims.select(base, "_child", "_number", "_o").unionByName(rows).withColumn("_before", F.count_if(F.col("_child").isNull()).over(so_far)).where("_child is not null")
+    claims = claims.select(F.regexp_replace(base, "(?s)(_[0-9]+)+$", "").alias("_stem"), F.col(base).cast("string").alias(base), "_child", "_number", "_before")
+    skips = claims.groupBy("_stem").applyInArrow(_taken(base, "_before"), f"`{base}` string, _at bigint")
+    placed = df.withColumn("_at", F.row_number().over(Window.partitionBy(base).orderBy(order)).cast("bigint")).withColumn("_skip", F.lit(0))
+    both = placed.unionByName(skips.withColumn("_skip", F.lit(1)), allowMissingColumns=True)
+    skipped = F.sum("_skip").over(Window.partitionBy(base).orderBy("_at", F.col("_skip").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number = F.col("_at") + F.col("_skipped")
+    out = both.withColumn("_skipped", skipped).where("_skip = 0")
+    return out.withColumn("doc_id", F.when(number == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), number.cast("string")))).select(*df.columns, "doc_id")
 
 
 def content_hash(c: Column) -> Column:

@@ -135,3 +135,19 @@ def test_exact_quantiles(spark, accuracy):
     one = exact_quantiles(df, "v", {"m": 0.5}, accuracy=accuracy).first()
     assert one.n == 981 and one.m == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
     assert exact_quantiles(df.where("g = 8"), "v", {"m": 0.5}).first().m is None
+
+
+def test_unique_ids_by_the_rows_in_turn(spark):
+    import random
+
+    r, some = random.Random(1), ["h", "h_2", "h_2_2", "h_3", "h_2_10", "h_02", "h_70", "h_71", "h_72", "g_1", "g", "_2", "", None, "h\n_2", "h\n"]
+    rows = [(i, r.choices(some, [500, 20, 9] + [4] * (len(some) - 3))[0]) for i in range(900)]  # longer chains of clashes than 64
+    want, taken = {}, set()
+    for i, b in rows:
+        k = 1
+        while b is not None and (b if k == 1 else f"{b}_{k}") in taken:
+            k += 1
+        want[i] = b if b is None or k == 1 else f"{b}_{k}"
+        taken.add(want[i])
+    got = retrieval.unique_ids(spark.createDataFrame(rows, "o int, base string").repartition(5), "base", "o")
+    assert {x.o: x.doc_id for x in got.collect()} == want
