@@ -236,3 +236,16 @@ def test_pair_sums_equal_the_cloud(spark, monkeypatch):
     s = variogram.cloud_sums(df, "z", 110.0, 25.0).agg(F.sum("np"), F.sum("h"), F.sum("g") / F.sum("n_g"), F.max("max_h")).first()
     assert s[0] == top[0] and s[3] == top[3] and tuple(s[1:3]) == pytest.approx(tuple(top[1:3]), rel=1e-11)
     assert variogram.binned(df.limit(0), "z", 110.0, 25.0).count() == 0 and variogram.binned(df.limit(1), "z", 110.0, 25.0).count() == 0
+
+
+@pytest.mark.parametrize("nmax", [12])
+def test_kriging_meets_pairs_by_nmax(spark, monkeypatch, nmax):
+    df = spark.range(1600).selectExpr("id code", "double(id % 40) x", "double(id div 40) y", "double(id % 7) z")
+    m = spark.createDataFrame([MODEL], "model string, nugget double, psill double, range double")
+    met, join = [], geo.range_join
+    monkeypatch.setattr(geo, "range_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    got = kriging.ordinary_kriging(df.where("code % 5 = 0"), df.where("code % 5 <> 0"), "z", m, 60.0, nmax)
+    assert got.count() == 320 and got.where("pred is null").count() == 0
+    assert sum(j.count() for j in met) < 40_000  # 409,600 pairs lie within the radius
+
+
