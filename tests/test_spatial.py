@@ -238,7 +238,7 @@ def test_pair_sums_equal_the_cloud(spark, monkeypatch):
     assert variogram.binned(df.limit(0), "z", 110.0, 25.0).count() == 0 and variogram.binned(df.limit(1), "z", 110.0, 25.0).count() == 0
 
 
-@pytest.mark.parametrize("nmax", [12, 1])
+@pytest.mark.parametrize("nmax", [12, 1, 2])
 def test_kriging_meets_pairs_by_nmax(spark, monkeypatch, nmax):
     df = spark.range(1600).selectExpr("id code", "double(id % 40) x", "double(id div 40) y", "double(id % 7) z")
     m = spark.createDataFrame([MODEL], "model string, nugget double, psill double, range double")
