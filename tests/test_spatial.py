@@ -249,3 +249,9 @@ def test_kriging_meets_pairs_by_nmax(spark, monkeypatch, nmax):
     assert sum(j.count() for j in met) < 40_000  # 409,600 pairs lie within the radius
 
 
+@pytest.mark.parametrize("name", ["variogram_candidates"])
+def test_bins_pass_the_pairs_once(spark, sf, monkeypatch, name):
+    passes, own = [], variogram.pair_sums
+    monkeypatch.setattr(variogram, "range_join", None)
+    monkeypatch.setattr(variogram, "pair_sums", lambda *a: passes.append(a) or own(*a))
+    assert queries.QUERIES[name](spark, sf).count() > 0 and len(passes) == 1
