@@ -249,7 +249,7 @@ def test_kriging_meets_pairs_by_nmax(spark, monkeypatch, nmax):
     assert sum(j.count() for j in met) < 40_000  # 409,600 pairs lie within the radius
 
 
-@pytest.mark.parametrize("name", ["variogram_candidates", "variogram_grid_optimise"])
+@pytest.mark.parametrize("name", ["variogram_candidates", "variogram_grid_optimise", "variogram_profile_fit"])
 def test_bins_pass_the_pairs_once(spark, sf, monkeypatch, name):
     passes, own = [], variogram.pair_sums
     monkeypatch.setattr(variogram, "range_join", None)
