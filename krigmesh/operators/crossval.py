@@ -20,8 +20,10 @@ from ..config import DEFAULT, Config
 from ..functions.numeric import flags
 from ..functions.transforms import back
 from .aggregate import metrics
+from .foldnear import far_neighbours
 from .geo import range_join
 from .kriging import krige
+from .pairsums import pair_sums
 from .trend import fit_without_folds
 from .variogram import candidate_frame, candidates
 
@@ -102,14 +104,14 @@ def wide_folds(folded: DataFrame, target: str, predictors: list[str], methods: l
 
 def fold_bins(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, k: int, cfg: Config) -> DataFrame:
     """cv_method, for_fold, kind, bin, np, dist, gamma of all folds from one pass over the pairs."""
-    met = range_join(wide, wide, cfg.variogram_cutoff, where=F.col("l_code") < F.col("r_code")).where("h > 0")
-    d = lambda c: F.col(f"l_{c}") - F.col(f"r_{c}")
-    ps = range(n_predictors)
-    sums = [F.count("*").alias("np"), F.sum("h").alias("h"), F.sum(d("z") * d("z")).alias("zz")]
-    sums += [F.sum(d("z") * d(f"p{i}")).alias(f"zx{i}") for i in ps] + [F.sum(d(f"p{i}") * d(f"p{j}")).alias(f"xx{i}_{j}") for i in ps for j in ps if j <= i]
-    ends = [F.col(f"{s}_f{i}").alias(f"{s}{i}") for i in range(len(methods)) for s in "lr"]
-    parts = met.groupBy(F.ceil(F.col("h") / cfg.variogram_width).cast("bigint").alias("bin"), *ends).agg(*sums)
-    names = [c for c in parts.columns if c not in {"bin", *[f"{s}{i}" for i in range(len(methods)) for s in "lr"]}]
+    ps, base = range(n_predictors), k + 1
+    code = reduce(lambda a, b: a * base + b, [F.coalesce(F.col(f"f{i}"), F.lit(0)).cast("bigint") for i in range(len(methods))])  # the folds of all methods in one number
+    values = ["z", *(f"p{i}" for i in ps)]
+    met = pair_sums(wide.withColumn("_g", code), values, cfg.variogram_cutoff, cfg.variogram_width, "_g")
+    fold_of = lambda s, i: F.pmod(F.floor(F.col(f"{s}_g") / F.lit(base ** (len(methods) - 1 - i))), F.lit(base)).cast("int")
+    names = {"np": "np", "h": "h", "s_0_0": "zz", **{f"s_{i + 1}_0": f"zx{i}" for i in ps}, **{f"s_{i + 1}_{j + 1}": f"xx{i}_{j}" for i in ps for j in ps if j <= i}}
+    parts = met.select("bin", *[F.col(c).alias(n) for c, n in names.items()], *[fold_of(s, i).alias(f"{s}{i}") for i in range(len(methods)) for s in "lr"])
+    names = list(names.values())
     belongs = [F.array_except(F.sequence(F.lit(1), F.lit(k)), F.array(f"l{i}", f"r{i}")) for i in range(len(methods))]
     tagged = lambda m, b: F.transform(b, lambda f: F.struct(F.lit(m).alias("cv_method"), f.alias("for_fold")))
     each = F.flatten(F.array(*[tagged(m, b) for m, b in zip(methods, belongs)]))
@@ -122,7 +124,8 @@ def fold_bins(wide: DataFrame, trends: DataFrame, methods: list[str], n_predicto
             rest = rest + F.col(f"b{i + 1}") * F.col(f"b{j + 1}") * F.col(f"xx{max(i, j)}_{min(i, j)}")
     kinds = F.array(F.struct(F.lit("ok").alias("kind"), F.col("zz").alias("s")), F.struct(F.lit("rk").alias("kind"), F.greatest(rest, F.lit(0.0)).alias("s")))
     rows = total.select("cv_method", "for_fold", "bin", "np", (F.col("h") / F.col("np")).alias("dist"), F.explode(kinds).alias("_k"))
-    return rows.select("cv_method", "for_fold", "_k.kind", "bin", "np", "dist", (0.5 * F.col("_k.s") / F.col("np")).alias("gamma"))
+    rows = rows.select("cv_method", "for_fold", "_k.kind", "bin", "np", "dist", (0.5 * F.col("_k.s") / F.col("np")).alias("gamma"))
+    return wide.sparkSession.createDataFrame(rows.collect(), rows.schema)  # a row for each method, fold, kind and class: the pairs are passed once
 
 
 def fold_models(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, cfg: Config = DEFAULT) -> DataFrame:
@@ -143,7 +146,7 @@ def ranked_neighbours(wide: DataFrame, trends: DataFrame, methods: list[str], n_
     """For each point and method its nearest points of other folds, with value and residual; rn by distance and code.
 
     Pairs are met once for all methods. A first radius holds some four times nmax points by the mean density, the next
-    sixteen times as many; only points that miss some there look further, so pairs grow with the points and not with the radius.
+    sixteen times as many; only points that miss some there look further, leaf by leaf, so pairs grow with the points and not with the radius.
     Without a radius the search widens until it covers the extent.
     """
     n, width, height = wide.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
@@ -155,6 +158,12 @@ def ranked_neighbours(wide: DataFrame, trends: DataFrame, methods: list[str], n_
         radii = [r for r in (first, 4 * first) if 0 < r < radius] + [radius]
     open_, parts = wide.withColumns({f"o{i}": F.lit(True) for i in range(len(methods))}), []
     for r in radii:
+        if r == radius and parts:
+            carried = ["x", "y", "z", *(f"p{i}" for i in range(n_predictors))]
+            far = far_neighbours(open_, wide, len(methods), carried, radius, nmax, n, width, height)
+            name = F.array(*[F.lit(m) for m in methods])[F.col("m")]
+            parts.append(far.select(name.alias("cv_method"), *parts[0].columns[1:]))
+            break
         apart = [F.col(f"l_o{i}") & (F.col(f"l_f{i}") != F.col(f"r_f{i}")) for i in range(len(methods))]
         met = range_join(open_, wide, r, where=(F.col("l_code") != F.col("r_code")) & reduce(lambda a, b: a | b, apart))
         each = F.filter(F.array(*[F.when(a, F.struct(F.lit(m).alias("cv_method"), F.col(f"l_f{i}").alias("for_fold"))) for i, (m, a) in enumerate(zip(methods, apart))]), lambda s: s.isNotNull())

@@ -255,3 +255,22 @@ def test_bins_pass_the_pairs_once(spark, sf, monkeypatch, name):
     monkeypatch.setattr(variogram, "range_join", None)
     monkeypatch.setattr(variogram, "pair_sums", lambda *a: passes.append(a) or own(*a))
     assert queries.QUERIES[name](spark, sf).count() > 0 and len(passes) == 1
+
+
+def test_far_neighbours_of_folds_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    at = rng.integers(0, 100, (1500, 2)).astype(float)  # many ties
+    rows = [(int(i * 7 % 1501), float(x), float(y), float(i), 1.0, int(x // 34) + 1, int(i % 4) + 1) for i, (x, y) in enumerate(at)]
+    wide = spark.createDataFrame(rows, "code int, x double, y double, z double, p0 double, f0 int, f1 int")
+    trends = spark.createDataFrame([(m, f, 0.0, 0.0) for m in "sr" for f in range(1, 5)], "cv_method string, for_fold int, b0 double, b1 double")
+    met, join = [], crossval.range_join
+    monkeypatch.setattr(crossval, "range_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    got = {}
+    for r in crossval.ranked_neighbours(wide, trends, ["s", "r"], 1, 25.0, 6).collect():
+        got.setdefault((r.cv_method, r.code), []).append((r.rn, r.h, r.value, r.r_x, r.r_y))
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(2))
+    for k, m in ((5, "s"), (6, "r")):
+        for i, a in enumerate(rows):
+            near = sorted((d[i, j], b[0], b[3], b[1], b[2]) for j, b in enumerate(rows) if d[i, j] <= 25 and a[k] != b[k])[:6]
+            assert sorted(got.get((m, a[0]), [])) == [(n + 1, h, z, x, y) for n, (h, _, z, x, y) in enumerate(near)]
+    assert sum(j.count() for j in met) < 0.5 * (d <= 25).sum()
