@@ -274,3 +274,12 @@ def test_far_neighbours_of_folds_equal_all_pairs(spark, monkeypatch):
             near = sorted((d[i, j], b[0], b[3], b[1], b[2]) for j, b in enumerate(rows) if d[i, j] <= 25 and a[k] != b[k])[:6]
             assert sorted(got.get((m, a[0]), [])) == [(n + 1, h, z, x, y) for n, (h, _, z, x, y) in enumerate(near)]
     assert sum(j.count() for j in met) < 0.5 * (d <= 25).sum()
+
+
+@pytest.mark.parametrize("name, expected", [("neighbour_tuning", 1)])
+def test_runs_pass_the_pairs_without_rows(spark, sf, monkeypatch, name, expected):
+    passes = []
+    for module in (crossval, variogram):
+        monkeypatch.setattr(module, "pair_sums", lambda *a: passes.append(a) or pairsums.pair_sums(*a))
+    monkeypatch.setattr(variogram, "range_join", None)
+    assert queries.QUERIES[name](spark, sf).count() > 0 and len(passes) == expected
