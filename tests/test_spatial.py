@@ -276,7 +276,7 @@ def test_far_neighbours_of_folds_equal_all_pairs(spark, monkeypatch):
     assert sum(j.count() for j in met) < 0.5 * (d <= 25).sum()
 
 
-@pytest.mark.parametrize("name, expected", [("neighbour_tuning", 1)])
+@pytest.mark.parametrize("name, expected", [("neighbour_tuning", 1), ("regression_kriging_report", 2)])
 def test_runs_pass_the_pairs_without_rows(spark, sf, monkeypatch, name, expected):
     passes = []
     for module in (crossval, variogram):
