@@ -1,4 +1,4 @@
-"""Nearest points of other folds where they are far, as inside a spatial fold: leaf by leaf, no row for a pair.
+"""Nearest points leaf by leaf, no row for a pair: of other folds where they are far, and of samples for kriging.
 
 A tile's points meet all points within the radius of the tile in one task. Leaves of one fold look at leaves of other
 folds from the nearest box on, and stop where no box can hold a nearer point than the nmax found.
@@ -7,10 +7,12 @@ folds from the nearest box on, and stop where no box can hold a nearer point tha
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TILE, LEAF = 8192, 128
@@ -86,18 +88,78 @@ def far_neighbours(open_: DataFrame, samples: DataFrame, methods: int, carried:
     """
     area = (width or 0.0) * (height or 0.0)
     side = max(math.sqrt(TILE * area / n) if n and area else 0.0, radius / 8)
-    far = math.ceil(radius / side) + 1
-    gap = lambda k: max(abs(k) - 1, 0) * side
-    around = [(i, j) for i in range(-far, far + 1) for j in range(-far, far + 1) if math.hypot(gap(i), gap(j)) <= radius * (1 + 1e-9)]
-    own = lambda c: F.floor(F.col(c) / side)
     folds = [F.coalesce(F.col(f"f{m}"), F.lit(0)).cast("int").alias(f"f{m}") for m in range(methods)]
-    left = open_.select(own("x").alias("_tx"), own("y").alias("_ty"), "code", "x", "y", *folds, *[F.col(f"o{m}").cast("int").alias(f"o{m}") for m in range(methods)])
-    offset = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])).alias("_d")
+    left = open_.select(_tile("x", side).alias("_tx"), _tile("y", side).alias("_ty"), "code", "x", "y", *folds, *[F.col(f"o{m}").cast("int").alias(f"o{m}") for m in range(methods)])
     carried_here = [c for c in carried if c not in ("x", "y")]
-    right = samples.select("code", "x", "y", *folds, *carried_here, offset).select((own("x") + F.col("_d.i")).alias("_tx"), (own("y") + F.col("_d.j")).alias("_ty"), "code", "x", "y", *[f"f{m}" for m in range(methods)], *carried_here)
+    right = _copies(samples.select("code", "x", "y", *folds, *carried_here), side, radius).select("_tx", "_ty", "code", "x", "y", *[f"f{m}" for m in range(methods)], *carried_here)
     right = right.toDF(*right.columns)  # columns of its own
     names = ["m", "for_fold", "h", "l_code", "l_x", "l_y", "r_code", *(f"r_{c}" for c in carried), "rn"]
     code = dict(samples.dtypes)["code"]
     types = ["int", "int", "double", code, "double", "double", code, *("double" for _ in carried), "int"]
     schema = ", ".join(f"{c} {t}" for c, t in zip(names, types))
     return left.groupBy("_tx", "_ty").cogroup(right.groupBy("_tx", "_ty")).applyInArrow(_unit(methods, carried, radius, nmax, names), schema)
+
+
+def _tile(c: str, side: float) -> Column:
+    return F.floor(F.col(c) / side)
+
+
+def _copies(df: DataFrame, side: float, reach: float) -> DataFrame:
+    """df once for each tile (_tx, _ty) that lies within reach of the row's place."""
+    far = math.ceil(reach / side) + 1
+    gap = lambda k: max(abs(k) - 1, 0) * side
+    around = [(i, j) for i in range(-far, far + 1) for j in range(-far, far + 1) if math.hypot(gap(i), gap(j)) <= reach * (1 + 1e-9)]
+    each = df.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])).alias("_d"))
+    each = each.withColumns({"_tx": _tile("x", side) + F.col("_d.i"), "_ty": _tile("y", side) + F.col("_d.j")}).drop("_d")
+    apart = lambda c, t: F.greatest(F.col(t) * side - F.col(c), F.col(c) - (F.col(t) + 1) * side, F.lit(0.0))
+    dx, dy = apart("x", "_tx"), apart("y", "_ty")
+    return each.where(dx * dx + dy * dy <= (reach * (1 + 1e-6)) ** 2)
+
+
+def _sets(radius: float, nmax: int, names: list[str]):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        col = lambda t, c: t.column(c).to_numpy(zero_copy_only=False)
+        ones = lambda t: np.ones(t.num_rows, np.int64)
+        rank = np.asarray(pc.rank(right.column("code").combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="dense"), np.int64) if right.num_rows else ones(right)
+        q, s, _, rn = nearest((col(left, "x"), col(left, "y"), ones(left)), (col(right, "x"), col(right, "y"), 2 * ones(right), rank), radius, nmax)
+        first, found = np.flatnonzero(rn == 1), right.take(pa.array(s, pa.int64()))
+        lists = pa.StructArray.from_arrays([pa.array(rn, pa.int32()), *(found.column(c).combine_chunks().cast(pa.float64()) for c in ("x", "y", "z"))], ["rn", "x", "y", "z"])
+        own = left.take(pa.array(q[first], pa.int64()))
+        return pa.table([*(own.column(c) for c in ("code", "x", "y")), pa.ListArray.from_arrays(pa.array(np.append(first, len(rn)), pa.int32()), lists)], names=names)
+
+    return run
+
+
+def nearest_sets(queries: DataFrame, samples: DataFrame, radius: float, nmax: int) -> DataFrame:
+    """code, qx, qy, near: the list (rn, x, y, z) of the nmax nearest samples of each query within radius, by distance and code.
+
+    queries: code, x, y; samples: code, x, y, z. Queries without a sample within radius have no row. A query whose cell
+    of the grid inscribed in a circle holds nmax samples has all it needs within that circle's radius; so cells are counted
+    for 8 nmax samples by the mean density, then four times the radius and so on, and only the rest look as far as `radius`.
+    """
+    place = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))  # noqa: E731 (NaN is above infinity)
+    todo, s = queries.select("code", "x", "y").where(place("x") & place("y")), samples.select("code", "x", "y", "z").where(place("x") & place("y"))
+    names = ["code", "qx", "qy", "near"]
+    schema = f"code {dict(todo.dtypes)['code']}, qx double, qy double, near array<struct<rn: int, x: double, y: double, z: double>>"
+    n, width, height = s.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    area = (width or 0.0) * (height or 0.0)
+    even = n and 0 < area < math.inf
+    first = math.sqrt(8 * nmax * area / (math.pi * n)) if even else 0.0
+    parts = []
+    for r in [r for r in (first * 4**k for k in range(16)) if 0 < r < radius] + [radius]:
+        here = todo
+        if r < radius:
+            cell = r / math.sqrt(2) * (1 - 1e-9)
+            key = [_tile("x", cell).alias("_cx"), _tile("y", cell).alias("_cy")]
+            enough = s.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= nmax)
+            told = todo.select("*", *key).join(enough, ["_cx", "_cy"], "left")
+            here, todo = (told.where(c).select("code", "x", "y") for c in ("_n is not null", "_n is null"))
+        side = max(math.sqrt(TILE * area / n) if even else 0.0, r / 8)
+        left = here.select(_tile("x", side).alias("_tx"), _tile("y", side).alias("_ty"), F.col("code"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        right = _copies(s, side, r)
+        if parts:  # few queries are left: only samples of their tiles are sent
+            right = right.join(left.select("_tx", "_ty").distinct(), ["_tx", "_ty"], "left_semi")
+        right = right.select("_tx", "_ty", "code", "x", "y", "z")
+        right = right.toDF(*right.columns)  # columns of its own
+        parts.append(left.groupBy("_tx", "_ty").cogroup(right.groupBy("_tx", "_ty")).applyInArrow(_sets(r, nmax, names), schema))
+    return reduce(DataFrame.unionByName, parts)

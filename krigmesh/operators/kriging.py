@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp
 from ..functions.transforms import back, back_variance
-from .geo import neighbours
+from .foldnear import nearest_sets
 
 
 def gamma(model: str, nugget: float, psill: float, range_: float, h: np.ndarray) -> np.ndarray:
@@ -74,8 +74,13 @@ def krige(near: DataFrame, models: DataFrame, keys: list[str], by: list[str] | N
     models has model, nugget, psill, range for each group of `by` (one row without). A neighbourhood is one row with
     a list of at most nmax samples, so a batch of them is bounded.
     """
-    by = by or []
     sets = near.groupBy(*keys, F.col("l_x").alias("qx"), F.col("l_y").alias("qy")).agg(F.array_sort(F.collect_list(F.struct("rn", F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col("r_z").alias("z")))).alias("near"))
+    return krige_sets(sets, models, keys, by)
+
+
+def krige_sets(sets: DataFrame, models: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """The same for rows that hold a neighbourhood each: keys, qx, qy, near (list of rn, x, y, z)."""
+    by = by or []
     m = models.select(*by, "model", "nugget", "psill", "range")
     sets = sets.join(F.broadcast(m), by) if by else sets.crossJoin(F.broadcast(m))  # one row a group
     fields = ", ".join(f"`{k}` {dict(sets.dtypes)[k]}" for k in keys)
@@ -86,8 +91,7 @@ def ordinary_kriging(queries: DataFrame, samples: DataFrame, value: str, model:
     """queries with pred and variance; null where no sample lies within radius."""
     q = queries.select(F.col(key).alias("code"), "x", "y")
     s = samples.select(F.col("code"), "x", "y", F.col(value).cast("double").alias("z"))
-    near = neighbours(q, s, radius, nmax)
-    got = krige(near.withColumnRenamed("l_code", "_q"), model, ["_q"])
+    got = krige_sets(nearest_sets(q, s, radius, nmax).withColumnRenamed("code", "_q"), model, ["_q"])
     return queries.join(got.withColumnRenamed("_q", key), key, "left")
 
 

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -283,3 +285,28 @@ def test_runs_pass_the_pairs_without_rows(spark, sf, monkeypatch, name, expected
         monkeypatch.setattr(module, "pair_sums", lambda *a: passes.append(a) or pairsums.pair_sums(*a))
     monkeypatch.setattr(variogram, "range_join", None)
     assert queries.QUERIES[name](spark, sf).count() > 0 and len(passes) == expected
+
+
+@pytest.mark.parametrize("nmax", [12])
+def test_neighbourhoods_come_leaf_by_leaf(spark, monkeypatch, nmax):
+    """Ties, coincident places, a dense tile, sparse queries, rows without a place or value; and never a row for a pair."""
+    from krigmesh.operators import foldnear
+
+    rng = np.random.default_rng(17)
+    at = np.concatenate([rng.integers(0, 300, (2000, 2)), rng.integers(100, 110, (600, 2))]).astype(float)
+    rows = [(int(i * 7 % 2609), float(x), float(y), None if i % 90 == 5 else float(i)) for i, (x, y) in enumerate(at)] + [(3005, 900.0, 900.0, 1.0), (3006, 930.0, 900.0, 2.0), (3010, 1500.0, 0.0, 3.0)]
+    df = spark.createDataFrame(rows + [(3001, None, 1.0, 1.0), (3002, float("nan"), 1.0, 1.0), (3003, float("inf"), 1.0, 1.0)], "code int, x double, y double, z double")
+    monkeypatch.setattr(geo, "range_join", None)
+    monkeypatch.setattr(foldnear, "TILE", 300)
+    monkeypatch.setattr(foldnear, "LEAF", 16)
+    q, s = [r for r in rows if r[0] % 5 == 0], [r for r in rows if r[0] % 5]
+    want = {}
+    for c, x, y, _ in q:
+        d = sorted((math.sqrt((x - b) * (x - b) + (y - e) * (y - e)), k, b, e, z) for k, b, e, z in s)
+        if near := [(i + 1, b, e, z) for i, (h, _, b, e, z) in enumerate(d[:nmax]) if h <= 250]:
+            want[c] = near
+    got = {r.code: [tuple(n) for n in r.near] for r in foldnear.nearest_sets(df.where("code % 5 = 0"), df.where("code % 5 <> 0"), 250.0, nmax).collect()}
+    assert got == want and got[3005] == [(1, 930.0, 900.0, 2.0)] and 3010 not in got
+    m = spark.createDataFrame([MODEL], "model string, nugget double, psill double, range double")
+    out = kriging.ordinary_kriging(df.where("code % 5 = 0"), df.where("code % 5 <> 0 and z is not null"), "z", m, 250.0, nmax)
+    assert out.count() == df.where("code % 5 = 0").count() and kriging.ordinary_kriging(df, df.limit(0), "z", m, 250.0, nmax).where("pred is not null").count() == 0
