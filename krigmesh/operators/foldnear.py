@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TILE, LEAF = 8192, 128
+FEW = 20000  # cells or tiles that are broadcast
 
 
 def cut(x: np.ndarray, y: np.ndarray, groups: list[np.ndarray], size: int) -> list[np.ndarray]:
@@ -130,36 +131,80 @@ def _sets(radius: float, nmax: int, names: list[str]):
     return run
 
 
+def _place(c: str) -> Column:
+    return F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))  # NaN is above infinity
+
+
+def _first_radius(n: int, width: float, height: float, wanted: int) -> float:
+    """Radius whose inscribed square holds by the mean density (on a line by its length) so many points that few squares lack `wanted`."""
+    area, many = width * height, wanted + 6 * math.sqrt(wanted) + 16
+    if n and 0 < area < math.inf:
+        return math.sqrt(2 * many * area / n)
+    return many * max(width, height) / n if n and max(width, height) < math.inf else 0.0
+
+
+def _cell(c: str, low: float, length: float, most: float) -> Column:
+    """Number of a place's cell; cells of at most that length fill the samples' extent without one cut by its edge."""
+    n = max(1, math.ceil(length / most))
+    return F.when(F.col(c) == low + length, F.lit(n - 1).cast("bigint")).otherwise(F.floor((F.col(c) - low) / (length / n or most)))
+
+
+def _levels(todo: DataFrame, s: DataFrame, radii: list[float], enough: Column, box: tuple):
+    """(radius, queries that it suffices for), the last radius with all that is left.
+
+    A query whose cell of the grid inscribed in a circle holds enough samples has all it needs within that circle's radius.
+    Only cells are counted, and what they tell comes to the driver: no search, and no copy of the samples, is planned for nobody.
+    """
+    _, width, height, _, x0, y0 = box
+    for r in radii:
+        here = todo
+        if r < radii[-1]:
+            cell = r / math.sqrt(2) * (1 - 1e-9)
+            key = [_cell("x", x0, width, cell).alias("_cx"), _cell("y", y0, height, cell).alias("_cy")]
+            full = s.groupBy(*key).agg(enough.alias("_e")).where("_e").drop("_e")
+            missing = todo.select(*key).distinct().join(full, ["_cx", "_cy"], "left_anti")
+            n = missing.limit(FEW + 1).count()
+            if n:
+                missing = F.broadcast(missing) if n <= FEW else missing
+                keyed, own = todo.select("*", *key), todo.columns
+                here, todo = (keyed.join(missing, ["_cx", "_cy"], how).select(*own) for how in ("left_anti", "left_semi"))
+        yield r, here
+        if here is todo:
+            return
+
+
+def _meet(left: DataFrame, s: DataFrame, side: float, r: float, later: bool) -> DataFrame:
+    """The samples once for each tile within r; where few queries are left only for the tiles of queries (left)."""
+    right = _copies(s, side, r)
+    if later:
+        tiles = left.select("_tx", "_ty").distinct()
+        right = right.join(F.broadcast(tiles) if tiles.limit(FEW + 1).count() <= FEW else tiles, ["_tx", "_ty"], "left_semi")
+    right = right.select("_tx", "_ty", *s.columns)
+    return right.toDF(*right.columns)  # columns of its own
+
+
+def _extent(s: DataFrame) -> tuple[int, float, float, float, float, float]:
+    """Rows, width, height, the side of the square that holds a tile's points by the mean density (0 where that tells nothing), least x and y."""
+    n, width, height, x0, y0 = s.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.min("x"), F.min("y")).first()
+    area = float(width or 0.0) * float(height or 0.0)
+    tile = min(2 * TILE, max(TILE // 4, n // 64))
+    return n, float(width or 0.0), float(height or 0.0), math.sqrt(tile * area / n) if n and 0 < area < math.inf else 0.0, float(x0 or 0.0), float(y0 or 0.0)
+
+
 def nearest_sets(queries: DataFrame, samples: DataFrame, radius: float, nmax: int) -> DataFrame:
     """code, qx, qy, near: the list (rn, x, y, z) of the nmax nearest samples of each query within radius, by distance and code.
 
-    queries: code, x, y; samples: code, x, y, z. Queries without a sample within radius have no row. A query whose cell
-    of the grid inscribed in a circle holds nmax samples has all it needs within that circle's radius; so cells are counted
-    for 8 nmax samples by the mean density, then four times the radius and so on, and only the rest look as far as `radius`.
+    queries: code, x, y; samples: code, x, y, z. Queries without a sample within radius have no row. The first radius
+    suffices for nearly all queries where samples lie evenly; the rest take four times the radius and so on up to `radius`.
     """
-    place = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))  # noqa: E731 (NaN is above infinity)
-    todo, s = queries.select("code", "x", "y").where(place("x") & place("y")), samples.select("code", "x", "y", "z").where(place("x") & place("y"))
+    todo, s = queries.select("code", "x", "y").where(_place("x") & _place("y")), samples.select("code", "x", "y", "z").where(_place("x") & _place("y"))
     names = ["code", "qx", "qy", "near"]
     schema = f"code {dict(todo.dtypes)['code']}, qx double, qy double, near array<struct<rn: int, x: double, y: double, z: double>>"
-    n, width, height = s.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    area = (width or 0.0) * (height or 0.0)
-    even = n and 0 < area < math.inf
-    first = math.sqrt(8 * nmax * area / (math.pi * n)) if even else 0.0
-    parts = []
-    for r in [r for r in (first * 4**k for k in range(16)) if 0 < r < radius] + [radius]:
-        here = todo
-        if r < radius:
-            cell = r / math.sqrt(2) * (1 - 1e-9)
-            key = [_tile("x", cell).alias("_cx"), _tile("y", cell).alias("_cy")]
-            enough = s.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") >= nmax)
-            told = todo.select("*", *key).join(enough, ["_cx", "_cy"], "left")
-            here, todo = (told.where(c).select("code", "x", "y") for c in ("_n is not null", "_n is null"))
-        side = max(math.sqrt(TILE * area / n) if even else 0.0, r / 8)
+    n, width, height, tile, *_ = box = _extent(s)
+    first, parts = _first_radius(n, width, height, nmax), []
+    for r, here in _levels(todo, s, [r for r in (first * 4**k for k in range(16)) if 0 < r < radius] + [radius], F.count("*") >= nmax, box):
+        side = max(tile, r / 8)
         left = here.select(_tile("x", side).alias("_tx"), _tile("y", side).alias("_ty"), F.col("code"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-        right = _copies(s, side, r)
-        if parts:  # few queries are left: only samples of their tiles are sent
-            right = right.join(left.select("_tx", "_ty").distinct(), ["_tx", "_ty"], "left_semi")
-        right = right.select("_tx", "_ty", "code", "x", "y", "z")
-        right = right.toDF(*right.columns)  # columns of its own
+        right = _meet(left, s, side, r, bool(parts))
         parts.append(left.groupBy("_tx", "_ty").cogroup(right.groupBy("_tx", "_ty")).applyInArrow(_sets(r, nmax, names), schema))
     return reduce(DataFrame.unionByName, parts)

@@ -333,3 +333,19 @@ def test_pair_matrices_round_as_the_differences_do(shift):
     h, want = np.sqrt(q[np.triu_indices(900, 1)]), [(k == i) for i in range(1, len(edges))]
     assert [round(v) for v in got[1:, 0]] == [w.sum() for w in want] and got[1:, -2] == pytest.approx([h[w].sum() for w in want], rel=1e-12)
     assert math.sqrt(got[:, -1].max()) == h[k < len(edges)].max()
+
+
+@pytest.mark.parametrize("nmax", [1, 2])
+def test_samples_are_copied_once_where_they_lie_evenly(spark, monkeypatch, nmax):
+    from krigmesh.operators import foldnear
+
+    rng = np.random.default_rng(31)
+    rows = [(i, float(x), float(y), float(i)) for i, (x, y) in enumerate(rng.uniform(0, 1000, (4000, 2)))]
+    df = spark.createDataFrame(rows, "code int, x double, y double, z double")
+    made, copies = [], foldnear._copies
+    monkeypatch.setattr(foldnear, "_copies", lambda *a: made.append(copies(*a)) or made[-1])
+    got = {r.code: [n.z for n in r.near] for r in foldnear.nearest_sets(df.where("code % 5 = 0"), df.where("code % 5 <> 0"), 600.0, nmax).collect()}
+    x, y = (np.array([r[k] for r in rows]) for k in (1, 2))
+    s = np.flatnonzero(np.arange(4000) % 5)
+    assert got == {i: s[np.argsort(np.hypot(x[i] - x[s], y[i] - y[s]))[:nmax]].tolist() for i in range(0, 4000, 5)}
+    assert len(made) == 1
