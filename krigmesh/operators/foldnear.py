@@ -208,3 +208,55 @@ def nearest_sets(queries: DataFrame, samples: DataFrame, radius: float, nmax: in
         right = _meet(left, s, side, r, bool(parts))
         parts.append(left.groupBy("_tx", "_ty").cogroup(right.groupBy("_tx", "_ty")).applyInArrow(_sets(r, nmax, names), schema))
     return reduce(DataFrame.unionByName, parts)
+
+
+def nearest_other(q: tuple, s: tuple, radius: float) -> np.ndarray:
+    """Distance of each query to the nearest sample of another code within radius, else infinity; q, s: x, y, code (a number)."""
+    (qx, qy, qc), (sx, sy, sc) = q, s
+    out, leaves = np.full(len(qx), np.inf), cut(sx, sy, [np.arange(len(sx))], LEAF)
+    box = lambda f: np.array([(f(sx[i]), f(sy[i])) for i in leaves]).reshape(-1, 2)
+    low, high = box(np.min), box(np.max)
+    of = [(sx[i], sy[i], sc[i]) for i in leaves]
+    for i in cut(qx, qy, [np.arange(len(qx))], LEAF):
+        x, y, c = qx[i][:, None], qy[i][:, None], qc[i][:, None]
+        gap = np.maximum(0.0, np.maximum(low - [x.max(), y.max()], [x.min(), y.min()] - high))
+        gap, least = (gap * gap).sum(1) * (1 - 1e-9), np.full(len(i), np.inf)
+        for j in np.argsort(gap, kind="stable"):
+            if gap[j] > least.max():
+                break
+            dx, dy = x - of[j][0], y - of[j][1]
+            d = dx * dx + dy * dy
+            d[c == of[j][2]] = np.inf
+            np.minimum(least, d.min(1), out=least)
+        out[i] = np.sqrt(least)
+    out[out > radius] = np.inf
+    return out
+
+
+def _spacing(radius: float):
+    def run(t: pa.Table) -> pa.Table:
+        col = lambda c: t.column(c).to_numpy(zero_copy_only=False)
+        code = np.asarray(pc.rank(t.column("code").combine_chunks(), sort_keys="ascending", tiebreaker="dense"), np.int64)
+        own = np.flatnonzero(col("own").astype(bool))
+        x, y = col("x"), col("y")
+        d = nearest_other((x[own], y[own], code[own]), (x, y, code), radius)
+        found = np.isfinite(d)
+        return pa.table([t.column("code").take(pa.array(own[found], pa.int64())), pa.array(d[found], pa.float64())], names=["code", "d"])
+
+    return run
+
+
+def spacing(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame | None, float]:
+    """code, d: distance to the nearest point of another code within a radius; those that may have none there (None: nobody); that radius.
+
+    points: code, x, y; the radius is one that suffices for nearly all where points lie evenly, at most the one given.
+    """
+    s = points.where(F.col("code").isNotNull() & _place("x") & _place("y")).select("code", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    n, width, height, tile, *_ = box = _extent(s)
+    r = min(_first_radius(n, width, height, 2) or radius, radius)
+    _, *rest = _levels(s, s, [r, math.inf], F.min("code") < F.max("code"), box)
+    side = max(tile, r / 8)
+    own = (_tile("x", side) == F.col("_tx")) & (_tile("y", side) == F.col("_ty"))
+    rows = _copies(s, side, r).select("_tx", "_ty", "code", "x", "y", own.alias("own"))
+    found = rows.groupBy("_tx", "_ty").applyInArrow(_spacing(r), f"code {dict(s.dtypes)['code']}, d double")
+    return found, rest[0][1] if rest else None, r

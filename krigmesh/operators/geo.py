@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
+from .foldnear import spacing
 
 
 def utm_epsg(lon: Column, lat: Column) -> Column:
@@ -162,19 +163,20 @@ def neighbours(queries: DataFrame, samples: DataFrame, radius: float, nmax: int,
 def nearest_spacing(points: DataFrame, radius: float, key: str = "code") -> DataFrame:
     """Distance to the nearest other point: minimum, median, mean and maximum over all points (n) of at least two.
 
-    The search begins within the radius that holds some four points by the mean density, at most the one given. Points
-    without another one there look again within four times as much, and so on, so sparse ones stay in.
+    The search goes leaf by leaf within a radius that suffices for nearly all points by the mean density, at most the one
+    given. The few whose surroundings may be empty look again within twice as much, and so on, so sparse ones stay in.
     """
-    own = points.select(key, "x", "y")
-    todo, found, two = own, None, own.limit(2).count() == 2
-    radius = min(mean_radius(own, 4) or radius, radius)
-    for _ in range(32):
-        met = range_join(todo, own, radius, where=F.col(f"l_{key}") != F.col(f"r_{key}")).groupBy(F.col(f"l_{key}").alias(key)).agg(F.min("h").alias("d"))
-        found = met if found is None else found.unionByName(met)
-        todo = todo.join(met.select(key), key, "left_anti")
-        if not two or todo.isEmpty():
-            break
-        radius *= 4
+    own = points.select(F.col(key).alias("code"), "x", "y")
+    found, todo, radius = spacing(own, radius)
+    if todo is not None and own.limit(2).count() == 2:
+        for _ in range(64):
+            radius *= 2
+            met = range_join(own, todo, radius, where=F.col("l_code") != F.col("r_code")).groupBy(F.col("r_code").alias("code")).agg(F.min("h").alias("d"))
+            found = found.unionByName(met)
+            todo = todo.join(met.select("code"), "code", "left_anti")
+            if todo.isEmpty():
+                break
+    found = found.groupBy("code").agg(F.min("d").alias("d"))
     g = found.agg(F.count("*").alias("n"), F.min("d").alias("min_nn"), F.avg("d").alias("mean_nn"), F.max("d").alias("max_nn"))
     median = exact_quantiles(found, "d", {"median_nn": 0.5}).select("median_nn")
     return g.join(median, F.lit(True), "left").select("n", "min_nn", "median_nn", "mean_nn", "max_nn")

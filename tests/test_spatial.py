@@ -335,6 +335,26 @@ def test_pair_matrices_round_as_the_differences_do(shift):
     assert math.sqrt(got[:, -1].max()) == h[k < len(edges)].max()
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e7])
+def test_spacing_makes_no_row_for_a_pair(spark, monkeypatch, shift):
+    """Repeated codes, coincident places, rows without code or place; evenly spread points need no search beyond the first."""
+    rng = np.random.default_rng(29)
+    at = [(int(i), float(x) + shift, float(y)) for i, (x, y) in enumerate(rng.integers(0, 600, (3000, 2)))]
+    rows = at + [(0, shift + 700.0, 0.0), (0, shift + 700.5, 0.0)]
+    df = spark.createDataFrame([*rows, (None, shift, 0.0), (5000, None, 1.0), (5001, float("nan"), 1.0), (5002, float("inf"), 1.0)], "code int, x double, y double")
+    want: dict[int, float] = {}
+    x, y, c = (np.array(v) for v in zip(*((r[1], r[2], r[0]) for r in rows)))
+    for i in range(len(rows)):
+        dx, dy = x[i] - x[c != c[i]], y[i] - y[c != c[i]]
+        want[rows[i][0]] = min(want.get(rows[i][0], math.inf), float(np.sqrt(dx * dx + dy * dy).min()))
+    d = sorted(want.values())
+    got = geo.nearest_spacing(df, 1500.0).first()
+    assert (got.n, got.min_nn, got.max_nn) == (3000, d[0], d[-1]) and got.median_nn == (d[1499] + d[1500]) / 2 and got.mean_nn == pytest.approx(np.mean(d))
+    monkeypatch.setattr(geo, "range_join", None)
+    even = spark.createDataFrame(at, "code int, x double, y double")
+    assert geo.nearest_spacing(even, 1500.0).first().n == 3000
+
+
 @pytest.mark.parametrize("nmax", [1, 2])
 def test_samples_are_copied_once_where_they_lie_evenly(spark, monkeypatch, nmax):
     from krigmesh.operators import foldnear
