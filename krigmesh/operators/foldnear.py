@@ -131,7 +131,7 @@ def _sets(radius: float, nmax: int, names: list[str]):
     return run
 
 
-def _place(c: str) -> Column:
+def place(c: str) -> Column:
     return F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))  # NaN is above infinity
 
 
@@ -197,7 +197,7 @@ def nearest_sets(queries: DataFrame, samples: DataFrame, radius: float, nmax: in
     queries: code, x, y; samples: code, x, y, z. Queries without a sample within radius have no row. The first radius
     suffices for nearly all queries where samples lie evenly; the rest take four times the radius and so on up to `radius`.
     """
-    todo, s = queries.select("code", "x", "y").where(_place("x") & _place("y")), samples.select("code", "x", "y", "z").where(_place("x") & _place("y"))
+    todo, s = queries.select("code", "x", "y").where(place("x") & place("y")), samples.select("code", "x", "y", "z").where(place("x") & place("y"))
     names = ["code", "qx", "qy", "near"]
     schema = f"code {dict(todo.dtypes)['code']}, qx double, qy double, near array<struct<rn: int, x: double, y: double, z: double>>"
     n, width, height, tile, *_ = box = _extent(s)
@@ -251,7 +251,7 @@ def spacing(points: DataFrame, radius: float) -> tuple[DataFrame, DataFrame | No
 
     points: code, x, y; the radius is one that suffices for nearly all where points lie evenly, at most the one given.
     """
-    s = points.where(F.col("code").isNotNull() & _place("x") & _place("y")).select("code", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    s = points.where(F.col("code").isNotNull() & place("x") & place("y")).select("code", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     n, width, height, tile, *_ = box = _extent(s)
     r = min(_first_radius(n, width, height, 2) or radius, radius)
     _, *rest = _levels(s, s, [r, math.inf], F.min("code") < F.max("code"), box)

@@ -369,3 +369,33 @@ def test_samples_are_copied_once_where_they_lie_evenly(spark, monkeypatch, nmax)
     s = np.flatnonzero(np.arange(4000) % 5)
     assert got == {i: s[np.argsort(np.hypot(x[i] - x[s], y[i] - y[s]))[:nmax]].tolist() for i in range(0, 4000, 5)}
     assert len(made) == 1
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_bins_of_whole_places_come_from_spectra(spark, monkeypatch, missing):
+    """Ties at class limits, coincident places, values missing: as the pairs say, without meeting one; repeated keys and broken places meet pairs."""
+    from krigmesh.operators import lattice
+
+    rng = np.random.default_rng(37)
+    at = np.concatenate([rng.integers(-300, 300, (900, 2)), rng.integers(90, 99, (600, 2))])
+    rows = [(i, float(x), float(y), None if missing and i % 50 == 3 else float(rng.normal() + 100)) for i, (x, y) in enumerate(at)]
+    df = spark.createDataFrame([*rows, (None, 0.0, 0.0, 1.0), (9001, None, 1.0, 1.0), (9002, float("inf"), 1.0, 1.0)], "code int, x double, y double, z double")
+    want = {r.bin: r for r in variogram.binned(df, "z", 110.0, 25.0).collect()}
+    monkeypatch.setattr(lattice, "worth", lambda *a: True)
+    met, own = [], variogram.pair_sums
+    monkeypatch.setattr(variogram, "pair_sums", lambda *a: met.append(a) or own(*a))
+    got = {r.bin: r for r in variogram.binned(df, "z", 110.0, 25.0).collect()}
+    assert not met and got.keys() == want.keys() == {1, 2, 3, 4, 5}
+    for k, r in got.items():
+        assert r.np == want[k].np and (r.dist, r.gamma) == pytest.approx((want[k].dist, want[k].gamma), rel=1e-9)
+    for extra in [(0, 5.0, 5.0, 1.0), (9003, 5.5, 5.0, 1.0), (9004, 5.0, 5.0, float("nan"))]:
+        variogram.binned(df.unionByName(spark.createDataFrame([extra], df.schema)), "z", 110.0, 25.0).count()
+    assert len(met) == 3
+
+
+def test_dense_whole_places_are_worth_spectra():
+    from krigmesh.operators.lattice import worth
+
+    one = [(None, [{"z": 1.0}])]
+    assert worth(900_000, 10_006.0, 9_972.0, 3000.0, one, 1)
+    assert not worth(15_000, 10_006.0, 9_972.0, 3000.0, one, 1) and not worth(900_000, 1e6, 1e6, 3000.0, one, 1) and not worth(10**9, 1e4, 1e4, 3000.0, one, 1)
