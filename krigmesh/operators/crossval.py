@@ -20,9 +20,10 @@ from ..config import DEFAULT, Config
 from ..functions.numeric import flags
 from ..functions.transforms import back
 from .aggregate import metrics
-from .foldnear import far_neighbours
-from .geo import range_join
-from .kriging import krige
+from .foldnear import fold_sets, place
+from .geo import range_join  # noqa: F401 (tests count the pairs that it meets here: none)
+from .kriging import krige_sets
+from .lattice import lattice_sums
 from .pairsums import pair_sums
 from .trend import fit_without_folds
 from .variogram import candidate_frame, candidates
@@ -102,8 +103,24 @@ def wide_folds(folded: DataFrame, target: str, predictors: list[str], methods: l
     return folded.na.drop(subset=[target, *predictors]).groupBy("code").agg(*keep, *folds)
 
 
+def _lattice_bins(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, cfg: Config) -> DataFrame | None:
+    """What ``fold_bins`` finds, from spectra: each fold's rows are those of the others, its values z and the residual of its trend."""
+    ps, fold = [f"p{i}" for i in range(n_predictors)], [f"f{i}" for i in range(len(methods))]
+    rows = wide.where(F.col("code").isNotNull() & place("x") & place("y"))
+    rows = rows.select("code", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", *ps)], *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in fold])
+    own = trends.collect()  # a row for each method and fold
+    systems = [((fold[methods.index(t.cv_method)], float(t.for_fold)), [{"z": 1.0}, {"z": 1.0, **{p: -t[f"b{i + 1}"] for i, p in enumerate(ps)}}]) for t in own]
+    got = lattice_sums(rows, ["z", *ps, *fold], systems, cfg.variogram_cutoff, cfg.variogram_width)
+    if got is None:
+        return None
+    out = [(t.cv_method, t.for_fold, kind, k, v[0], v[1] / v[0], 0.5 * v[2 + i] / v[0]) for t, s in zip(own, got) for k, v in s.items() for i, kind in enumerate(("ok", "rk"))]
+    return wide.sparkSession.createDataFrame(out, "cv_method string, for_fold int, kind string, bin bigint, np bigint, dist double, gamma double")
+
+
 def fold_bins(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, k: int, cfg: Config) -> DataFrame:
-    """cv_method, for_fold, kind, bin, np, dist, gamma of all folds from one pass over the pairs."""
+    """cv_method, for_fold, kind, bin, np, dist, gamma of all folds from one pass over the pairs, or from spectra."""
+    if (got := _lattice_bins(wide, trends, methods, n_predictors, cfg)) is not None:
+        return got
     ps, base = range(n_predictors), k + 1
     code = reduce(lambda a, b: a * base + b, [F.coalesce(F.col(f"f{i}"), F.lit(0)).cast("bigint") for i in range(len(methods))])  # the folds of all methods in one number
     values = ["z", *(f"p{i}" for i in ps)]
@@ -142,53 +159,36 @@ def fold_models(wide: DataFrame, trends: DataFrame, methods: list[str], n_predic
     return got.select(*by, *[F.coalesce(F.col(f"_{n}"), m).alias(n) for m, n in zip(manual, names)], F.when(F.col("_model").isNull(), "manual").otherwise("refit").alias("status"))
 
 
-def ranked_neighbours(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, radius: float | None, nmax: int) -> DataFrame:
-    """For each point and method its nearest points of other folds, with value and residual; rn by distance and code.
+def neighbour_sets(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, radius: float | None, nmax: int) -> DataFrame:
+    """A row for each point and method: cv_method, for_fold, code, qx, qy, near, the list (rn, h, x, y, value, residual) of its nearest points of other folds.
 
-    Pairs are met once for all methods. A first radius holds some four times nmax points by the mean density, the next
-    sixteen times as many; only points that miss some there look further, leaf by leaf, so pairs grow with the points and not with the radius.
-    Without a radius the search widens until it covers the extent.
+    They are searched leaf by leaf, without a row for a pair or a neighbour. Without a radius the search widens until it covers the extent.
     """
-    n, width, height = wide.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    first = math.sqrt(4 * nmax * width * height / (math.pi * n)) if n and width and height else 0.0
-    if radius is None:
-        radius = 1.0 + math.hypot(width or 0.0, height or 0.0)
-        radii = [r for r in (first * 4**k for k in range(16)) if 0 < r < radius] + [radius]
-    else:
-        radii = [r for r in (first, 4 * first) if 0 < r < radius] + [radius]
-    open_, parts = wide.withColumns({f"o{i}": F.lit(True) for i in range(len(methods))}), []
-    for r in radii:
-        if r == radius and parts:
-            carried = ["x", "y", "z", *(f"p{i}" for i in range(n_predictors))]
-            far = far_neighbours(open_, wide, len(methods), carried, radius, nmax, n, width, height)
-            name = F.array(*[F.lit(m) for m in methods])[F.col("m")]
-            parts.append(far.select(name.alias("cv_method"), *parts[0].columns[1:]))
-            break
-        apart = [F.col(f"l_o{i}") & (F.col(f"l_f{i}") != F.col(f"r_f{i}")) for i in range(len(methods))]
-        met = range_join(open_, wide, r, where=(F.col("l_code") != F.col("r_code")) & reduce(lambda a, b: a | b, apart))
-        each = F.filter(F.array(*[F.when(a, F.struct(F.lit(m).alias("cv_method"), F.col(f"l_f{i}").alias("for_fold"))) for i, (m, a) in enumerate(zip(methods, apart))]), lambda s: s.isNotNull())
-        met = met.withColumn("_g", F.explode(each)).select("_g.*", "h", "l_code", "l_x", "l_y", "r_code", "r_x", "r_y", "r_z", *[f"r_p{i}" for i in range(n_predictors)])
-        w = Window.partitionBy("cv_method", "l_code").orderBy("h", "r_code")
-        near = met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= nmax)
-        if r == radius:
-            parts.append(near)
-            break
-        near = near.withColumn("_most", F.max("rn").over(Window.partitionBy("cv_method", "l_code"))).where(F.col("_most") == nmax).drop("_most")
-        parts.append(near)
-        full = near.where(F.col("rn") == 1).groupBy(F.col("l_code").alias("code")).agg(*[F.max(F.col("cv_method") == m).alias(f"d{i}") for i, m in enumerate(methods)])
-        still = {f"o{i}": F.col(f"o{i}") & ~F.coalesce(f"d{i}", F.lit(False)) for i in range(len(methods))}
-        open_ = open_.join(full, "code", "left").withColumns(still).drop(*[f"d{i}" for i in range(len(methods))])
-        open_ = open_.where(reduce(lambda a, b: a | b, [F.col(f"o{i}") for i in range(len(methods))]))
-    near = reduce(DataFrame.unionByName, parts).join(F.broadcast(trends), ["cv_method", "for_fold"])
-    residual = F.col("r_z") - trend_at([f"p{i}" for i in range(n_predictors)], "r_")
-    return near.select("cv_method", "for_fold", F.col("l_code").alias("code"), "l_x", "l_y", "r_x", "r_y", "h", "rn", F.col("r_z").alias("value"), residual.alias("residual"))
-
-
-def _kriged(near: DataFrame, models: DataFrame, extra: list[str], kinds: dict[str, str]) -> DataFrame:
-    """pred and variance of each kind; kinds: kind -> column of near that it interpolates."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("r_z")) for k, c in kinds.items()])).alias("_k")
-    n = near.select(*extra, "cv_method", "for_fold", "code", "l_x", "l_y", "r_x", "r_y", "rn", each).select("*", "_k.kind", "_k.r_z").drop("_k")
-    return krige(n, models, [*extra, "cv_method", "for_fold", "code", "kind"], ["cv_method", "for_fold", "kind"])
+    carried = ["x", "y", "z", *(f"p{i}" for i in range(n_predictors))]
+    sets = fold_sets(wide, len(methods), carried, radius, nmax).withColumn("cv_method", F.array(*[F.lit(m) for m in methods])[F.col("m")])
+    sets = sets.join(F.broadcast(trends), ["cv_method", "for_fold"])
+
+    def ended(s):
+        trend = F.col("b0")
+        for i in range(n_predictors):
+            trend = trend + F.col(f"b{i + 1}") * s[f"p{i}"]
+        return F.struct(*[s[c].alias(c) for c in ("rn", "h", "x", "y")], s["z"].alias("value"), (s["z"] - trend).alias("residual"))
+
+    return sets.select("cv_method", "for_fold", "code", "qx", "qy", F.transform("near", ended).alias("near"))
+
+
+def ranked_neighbours(wide: DataFrame, trends: DataFrame, methods: list[str], n_predictors: int, radius: float | None, nmax: int) -> DataFrame:
+    """``neighbour_sets`` with a row for each neighbour; rn by distance and code."""
+    near = neighbour_sets(wide, trends, methods, n_predictors, radius, nmax).withColumn("_s", F.explode("near"))
+    return near.select("cv_method", "for_fold", "code", F.col("qx").alias("l_x"), F.col("qy").alias("l_y"), F.col("_s.x").alias("r_x"), F.col("_s.y").alias("r_y"), "_s.h", "_s.rn", "_s.value", "_s.residual")
+
+
+def _kriged(sets: DataFrame, models: DataFrame, extra: list[str], kinds: dict[str, str]) -> DataFrame:
+    """pred and variance of each kind; kinds: kind -> field of the neighbours that it interpolates."""
+    of = lambda c: F.transform("near", lambda s: F.struct(s["rn"].alias("rn"), s["x"].alias("x"), s["y"].alias("y"), s[c].alias("z")))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), of(c).alias("near")) for k, c in kinds.items()])).alias("_k")
+    n = sets.select(*extra, "cv_method", "for_fold", "code", "qx", "qy", each).select(*extra, "cv_method", "for_fold", "code", "qx", "qy", "_k.kind", "_k.near")
+    return krige_sets(n, models, [*extra, "cv_method", "for_fold", "code", "kind"], ["cv_method", "for_fold", "kind"])
 
 
 def compare(folded: DataFrame, target: str, predictors: list[str], cfg: Config = DEFAULT, transform: str = "none") -> DataFrame:
@@ -198,7 +198,7 @@ def compare(folded: DataFrame, target: str, predictors: list[str], cfg: Config =
     """
     methods, trends, p = methods_of(folded), fold_trends(folded, target, predictors), len(predictors)
     wide = wide_folds(folded, target, predictors, methods)
-    near = ranked_neighbours(wide, trends, methods, p, cfg.search_radius if cfg.cv_require_neighbors else None, cfg.nmax_neighbors)
+    near = neighbour_sets(wide, trends, methods, p, cfg.search_radius if cfg.cv_require_neighbors else None, cfg.nmax_neighbors)
     got = _kriged(near, fold_models(wide, trends, methods, p, cfg), [], {"ok": "value", "rk": "residual"})
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     got = got.groupBy("cv_method", F.col("for_fold").alias("fold"), "code").agg(of("ok", "pred").alias("_ok"), of("ok", "variance").alias("ok_variance"), of("rk", "pred").alias("_rk"), of("rk", "variance").alias("rk_residual_variance"))
@@ -236,8 +236,9 @@ def tune(folded: DataFrame, target: str, predictors: list[str], cfg: Config = DE
     methods, trends, p = methods_of(folded), fold_trends(folded, target, predictors), len(predictors)
     tested, wide = with_trend(folded, target, predictors, trends), wide_folds(folded, target, predictors, methods)
     models = fold_models(wide, trends, methods, p, cfg)
-    near = ranked_neighbours(wide, trends, methods, p, max(r for _, r in grid), max(n for n, _ in grid))
-    own = near.crossJoin(F.broadcast(cand)).where((F.col("rn") <= F.col("nmax")) & (F.col("h") <= F.col("radius")))
+    near = neighbour_sets(wide, trends, methods, p, max(r for _, r in grid), max(n for n, _ in grid))
+    within = F.filter("near", lambda s: (s["rn"] <= F.col("nmax")) & (s["h"] <= F.col("radius")))
+    own = near.crossJoin(F.broadcast(cand)).withColumn("near", within).where(F.size("near") > 0)
     rk = _kriged(own, models, ["nmax", "radius"], {"rk": "residual"}).select("nmax", "radius", "cv_method", F.col("for_fold").alias("fold"), "code", "pred", "variance")
     both = tested.crossJoin(F.broadcast(cand)).join(rk, ["nmax", "radius", "cv_method", "fold", "code"], "left")
     b = both.select("nmax", "radius", "cv_method", back(F.col(target), transform).alias("observed"), back(F.col("trend") + F.col("pred"), transform, F.col("variance"), cfg.log_backtransform_bias_correction).alias("predicted"))

@@ -74,31 +74,57 @@ def _unit(methods: int, carried: list[str], radius: float, nmax: int, names: lis
         for m in range(methods):
             s = (col(right, "x"), col(right, "y"), col(right, f"f{m}"), rank)
             q, r, h, rn = nearest((col(left, "x"), col(left, "y"), col(left, f"f{m}") * col(left, f"o{m}")), s, radius, nmax)
-            a, b = left.take(pa.array(q)), right.take(pa.array(r))
-            parts.append(pa.table([pa.array(np.full(len(q), m), pa.int32()), a.column(f"f{m}"), pa.array(h, pa.float64()), *(a.column(c) for c in ("code", "x", "y")), *(b.column(c) for c in ("code", *carried)), pa.array(rn, pa.int32())], names=names))
+            first, b = np.flatnonzero(rn == 1), right.take(pa.array(r, pa.int64()))
+            lists = pa.StructArray.from_arrays([pa.array(rn, pa.int32()), pa.array(h, pa.float64()), *(b.column(c).combine_chunks().cast(pa.float64()) for c in carried)], ["rn", "h", *carried])
+            a = left.take(pa.array(q[first], pa.int64()))
+            parts.append(pa.table([pa.array(np.full(len(first), m), pa.int32()), *(a.column(c) for c in (f"f{m}", "code", "x", "y")), pa.ListArray.from_arrays(pa.array(np.append(first, len(rn)), pa.int32()), lists)], names=names))
         return pa.concat_tables(parts)
 
     return run
 
 
-def far_neighbours(open_: DataFrame, samples: DataFrame, methods: int, carried: list[str], radius: float, nmax: int, n: int, width: float, height: float) -> DataFrame:
-    """m (number of the method), for_fold, h, l_code, l_x, l_y, r_code, r_... (carried), rn: nearest by distance and code.
+def _fold_tiles(wide: DataFrame, methods: int, carried: list[str], r: float, nmax: int, tile: float) -> DataFrame:
+    """The nearest samples of other folds within r for rows that search (o0 ...): a sample goes to tiles that search from another fold."""
+    side, ms = max(tile, r / 8), range(methods)
+    left = wide.where(reduce(lambda a, b: a | b, [F.col(f"o{m}") for m in ms])).select(_tile("x", side).alias("_tx"), _tile("y", side).alias("_ty"), "code", "x", "y", *[F.col(f"f{m}") for m in ms], *[F.col(f"o{m}").cast("int").alias(f"o{m}") for m in ms])
+    ends = [e(F.when((F.col(f"o{m}") == 1) & (F.col(f"f{m}") > 0), F.col(f"f{m}"))).alias(f"_{n}{m}") for m in ms for e, n in ((F.min, "a"), (F.max, "b"))]
+    tiles = left.groupBy("_tx", "_ty").agg(*ends)
+    tiles = F.broadcast(tiles) if tiles.limit(FEW + 1).count() <= FEW else tiles
+    wanted = reduce(lambda a, b: a | b, [F.coalesce((F.col(f"_a{m}") != F.col(f"f{m}")) | (F.col(f"_b{m}") != F.col(f"f{m}")), F.lit(False)) for m in ms])
+    right = _copies(wide.drop(*[f"o{m}" for m in ms]), side, r).join(tiles, ["_tx", "_ty"]).where(wanted).select("_tx", "_ty", "code", *carried, *[f"f{m}" for m in ms])
+    right = right.toDF(*right.columns)  # columns of its own
+    code = dict(wide.dtypes)["code"]
+    schema = f"m int, for_fold int, code {code}, qx double, qy double, near array<struct<rn: int, h: double, {', '.join(f'{c}: double' for c in carried)}>>"
+    return left.groupBy("_tx", "_ty").cogroup(right.groupBy("_tx", "_ty")).applyInArrow(_unit(methods, carried, r, nmax, ["m", "for_fold", "code", "qx", "qy", "near"]), schema)
+
+
+def fold_sets(wide: DataFrame, methods: int, carried: list[str], radius: float | None, nmax: int) -> DataFrame:
+    """m (number of the method), for_fold, code, qx, qy, near: the list (rn, h, carried) of the nmax nearest of other folds, by distance and code.
 
-    open_: code, x, y, fold f0 ... and whether it searches o0 ... for each method; samples: code, x, y, f0 ..., carried.
-    n, width, height: number and extent of the samples.
+    wide: code, x, y, its fold f0 ... under each method, and carried (x and y among them). Rows without a neighbour have no list. A first radius
+    suffices where counts of cells say so; without a largest radius the search widens until it covers the extent.
     """
-    area = (width or 0.0) * (height or 0.0)
-    side = max(math.sqrt(TILE * area / n) if n and area else 0.0, radius / 8)
-    folds = [F.coalesce(F.col(f"f{m}"), F.lit(0)).cast("int").alias(f"f{m}") for m in range(methods)]
-    left = open_.select(_tile("x", side).alias("_tx"), _tile("y", side).alias("_ty"), "code", "x", "y", *folds, *[F.col(f"o{m}").cast("int").alias(f"o{m}") for m in range(methods)])
-    carried_here = [c for c in carried if c not in ("x", "y")]
-    right = _copies(samples.select("code", "x", "y", *folds, *carried_here), side, radius).select("_tx", "_ty", "code", "x", "y", *[f"f{m}" for m in range(methods)], *carried_here)
-    right = right.toDF(*right.columns)  # columns of its own
-    names = ["m", "for_fold", "h", "l_code", "l_x", "l_y", "r_code", *(f"r_{c}" for c in carried), "rn"]
-    code = dict(samples.dtypes)["code"]
-    types = ["int", "int", "double", code, "double", "double", code, *("double" for _ in carried), "int"]
-    schema = ", ".join(f"{c} {t}" for c, t in zip(names, types))
-    return left.groupBy("_tx", "_ty").cogroup(right.groupBy("_tx", "_ty")).applyInArrow(_unit(methods, carried, radius, nmax, names), schema)
+    ms = range(methods)
+    wide = wide.where(place("x") & place("y")).select("code", *[F.col(c).cast("double").alias(c) for c in carried], *[F.coalesce(F.col(f"f{m}"), F.lit(0)).cast("int").alias(f"f{m}") for m in ms])
+    n, width, height, tile, x0, y0 = _extent(wide)
+    first = _first_radius(n, width, height, 2 * nmax)
+    radii = [r for r in (first * 4**k for k in range(16)) if 0 < r < radius][:1] + [radius] if radius is not None else [r for r in (first * 4**k for k in range(16)) if 0 < r < math.hypot(width, height)] + [1.0 + math.hypot(width, height)]
+    open_, parts = wide.withColumns({f"d{m}": F.lit(False) for m in ms}), []
+    for r in radii:
+        flags = {f"o{m}": ~F.col(f"d{m}") for m in ms}
+        if r < radii[-1]:
+            cell = r / math.sqrt(2) * (1 - 1e-9)
+            open_ = open_.withColumns({"_cx": _cell("x", x0, width, cell), "_cy": _cell("y", y0, height, cell)})
+            for m in ms:
+                each = open_.where(f"f{m} > 0").groupBy("_cx", "_cy", f"f{m}").agg(F.count("*").alias("_n"))
+                others = each.groupBy("_cx", "_cy").agg(F.sum("_n").alias("_all"))
+                full = each.join(others, ["_cx", "_cy"]).where(F.col("_all") - F.col("_n") >= nmax).select("_cx", "_cy", f"f{m}", F.lit(True).alias(f"e{m}"))
+                open_ = open_.join(full, ["_cx", "_cy", f"f{m}"], "left").withColumn(f"e{m}", F.coalesce(f"e{m}", F.lit(False)))
+            flags = {f"o{m}": ~F.col(f"d{m}") & F.col(f"e{m}") for m in ms}
+        parts.append(_fold_tiles(open_.withColumns(flags), methods, carried, r, nmax, tile))
+        if r < radii[-1]:
+            open_ = open_.withColumns({f"d{m}": F.col(f"d{m}") | F.col(f"e{m}") for m in ms}).drop("_cx", "_cy", *[f"e{m}" for m in ms])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _tile(c: str, side: float) -> Column:

@@ -8,6 +8,7 @@ alone, so a task holds one slice at a time, and slices add up. The work grows wi
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -84,8 +85,8 @@ class _Rings:
         return out
 
 
-def _slice(x: np.ndarray, y: np.ndarray, kept: list[np.ndarray | None], values: list[list[np.ndarray]], rings: _Rings, lx: int, slices: int, r: int) -> list[np.ndarray]:
-    """Of each system (kept rows, None: all, and their values) (1 + values, 2 * classes): this slice's share in pairs and their lengths, and in squared differences."""
+def _slice(x: np.ndarray, y: np.ndarray, systems: list, rings: _Rings, lx: int, slices: int, r: int) -> list[np.ndarray]:
+    """Of each system (a function for its rows, None: all, and their values) (1 + values, 2 * classes): this slice's share in pairs and their lengths, and in squared differences."""
     nx = int(x.max()) + 1
     at, turn = x * LINE + y % LINE, np.exp(-2j * np.pi * (y * r % rings.ly) / rings.ly)
 
@@ -96,7 +97,7 @@ def _slice(x: np.ndarray, y: np.ndarray, kept: list[np.ndarray | None], values:
     weights = rings.of(r, slices)
     weights = weights.reshape(len(weights), -1)
     share = 0.5 * (1.0 if 2 * r % slices == 0 else 2.0) / rings.ly  # a pair has a lag and its opposite, a slice its mirror
-    c, wait, found = rings.c, [], []
+    c, wait, found, sizes = rings.c, [], [], []
 
     def add(power: np.ndarray, last: bool = False) -> None:
         """Two real spectra in one transform."""
@@ -109,18 +110,20 @@ def _slice(x: np.ndarray, y: np.ndarray, kept: list[np.ndarray | None], values:
         found.extend(weights @ np.ascontiguousarray(p.T).ravel() * share for p in (near.real, near.imag)[: len(wait)])
         wait.clear()
 
-    for s, (w, vs) in enumerate(zip(kept, values)):
+    for s, system in enumerate(systems):
+        w, vs = system()
+        sizes.append(1 + len(vs))
         i, t = (at, turn) if w is None else (at[w], turn[w])
         one = spectrum(t, i)
-        add(one.real**2 + one.imag**2, s == len(kept) - 1 and not vs)
+        add(one.real**2 + one.imag**2, s == len(systems) - 1 and not vs)
         for j, v in enumerate(vs):
             tv = t * v
             f, q = spectrum(tv, i), spectrum(tv * v, i)
-            add(2.0 * (one.real * q.real + one.imag * q.imag - f.real**2 - f.imag**2), s == len(kept) - 1 and j == len(vs) - 1)
+            add(2.0 * (one.real * q.real + one.imag * q.imag - f.real**2 - f.imag**2), s == len(systems) - 1 and j == len(vs) - 1)
     out = []
-    for vs in values:
-        out.append(np.stack(found[: 1 + len(vs)]))
-        del found[: 1 + len(vs)]
+    for size in sizes:
+        out.append(np.stack(found[:size]))
+        del found[:size]
     return out
 
 
@@ -159,19 +162,25 @@ def _task(columns: list[str], systems: list[System], edges: np.ndarray, shape: t
             of = dict(zip(columns, rest))
             order = np.argsort(x, kind="stable")  # near in memory
             x, y, of = x[order].astype(np.int64), y[order].astype(np.int64), {c: v[order] for c, v in of.items()}
-            kept = [None if w is None else np.flatnonzero(of[w[0]] != w[1]) for w, _ in systems]
-            scale, values = [], []
-            for w, (_, vs) in zip(kept, systems):
-                mine = [sum(k * (of[c] if w is None else of[c][w]) for c, k in v.items()) for v in vs]
-                mine = [v - (v.mean() if len(v) else 0.0) for v in mine]  # differences stay
-                scale.append([_scale(v) for v in mine])  # spectra that share a transform are of one size
-                values.append([v / s for v, s in zip(mine, scale[-1])])
+            scale: dict[tuple[int, int], float] = {}
+
+            def system(s, of=of, scale=scale):
+                w, vs = systems[s]
+                kept, out = None if w is None else np.flatnonzero(of[w[0]] != w[1]), []
+                for j, v in enumerate(vs):
+                    v = sum(k * (of[c] if kept is None else of[c][kept]) for c, k in v.items())
+                    v = v - (v.mean() if len(v) else 0.0)  # differences stay
+                    scale[s, j] = _scale(v)  # spectra that share a transform are of one size
+                    out.append(v / scale[s, j])
+                return kept, out
+
+            each = [functools.partial(system, s) for s in range(len(systems))]
             total = None
             for r in range(tasks.index(task), slices // 2 + 1, len(tasks)):
-                got = _slice(x, y, kept, values, rings, lx, slices, r)
+                got = _slice(x, y, each, rings, lx, slices, r)
                 total = got if total is None else [a + b for a, b in zip(total, got)]
             n = len(edges) - 1
-            rows = [(i, j, k + 1, m[j, k] * (scale[i][j - 1] ** 2 if j else 1.0), m[j, n + k]) for i, m in enumerate(total or []) for j in range(len(m)) for k in range(n)]
+            rows = [(i, j, k + 1, m[j, k] * (scale[i, j - 1] ** 2 if j else 1.0), m[j, n + k]) for i, m in enumerate(total or []) for j in range(len(m)) for k in range(n)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], ["system", "value", "bin", "sum", "h"])
 

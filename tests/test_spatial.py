@@ -399,3 +399,25 @@ def test_dense_whole_places_are_worth_spectra():
     one = [(None, [{"z": 1.0}])]
     assert worth(900_000, 10_006.0, 9_972.0, 3000.0, one, 1)
     assert not worth(15_000, 10_006.0, 9_972.0, 3000.0, one, 1) and not worth(900_000, 1e6, 1e6, 3000.0, one, 1) and not worth(10**9, 1e4, 1e4, 3000.0, one, 1)
+
+
+def test_fold_variograms_from_spectra_and_neighbours_without_rows(spark, monkeypatch):
+    """As the pairs say for each fold of two methods; no range join, a list for each point."""
+    from krigmesh.operators import lattice
+
+    rng = np.random.default_rng(41)
+    rows = [(i, float(x), float(y), float(rng.normal() + x / 50), float(i % 3), int(x // 100) + 1, int(i % 3) + 1) for i, (x, y) in enumerate(rng.integers(0, 300, (900, 2)))]
+    wide = spark.createDataFrame(rows, "code int, x double, y double, z double, p0 double, f0 int, f1 int")
+    trends = spark.createDataFrame([(m, f, 1.0, 0.3 * f) for m in "sr" for f in (1, 2, 3)], "cv_method string, for_fold int, b0 double, b1 double")
+    cfg = queries.CFG.with_overrides({"variogram_cutoff": 110.0, "variogram_width": 25.0})
+    bins = lambda: {(r.cv_method, r.for_fold, r.kind, r.bin): r for r in crossval.fold_bins(wide, trends, ["s", "r"], 1, 3, cfg).collect()}
+    want = bins()
+    monkeypatch.setattr(lattice, "worth", lambda *a: True)
+    monkeypatch.setattr(crossval, "pair_sums", None)
+    got = bins()
+    assert got.keys() == want.keys() and len(got) == 2 * 3 * 2 * 5
+    for k, r in got.items():
+        assert r.np == want[k].np and (r.dist, r.gamma) == pytest.approx((want[k].dist, want[k].gamma), rel=1e-9)
+    monkeypatch.setattr(crossval, "range_join", None)
+    sets = crossval.neighbour_sets(wide, trends, ["s", "r"], 1, 60.0, 5).collect()
+    assert len(sets) == len({(s.cv_method, s.code) for s in sets}) and sum(s.cv_method == "r" for s in sets) == 900 and all(len(s.near) == 5 for s in sets if s.cv_method == "r")
